@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import merkle, mixing, packing, substrings, topk, toxicity, url_filter, warc
+from . import jaccard, merkle, mixing, packing, substrings, topk, toxicity, url_filter, warc
 
 
 def tokenizer_path() -> str:
@@ -41,6 +41,10 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.components(table(spark, folder, "documents"), k=4, percent=85)
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -54,7 +58,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_url_filters, op3_fingerprints, op4_substring_dedup, op5_top_k, op6_packing, op8_toxicity, op9_mixing, op10_warc]
+    found = [op2_url_filters, op3_fingerprints, op4_substring_dedup, op5_top_k, op6_packing, op7_ngram_jaccard_join, op8_toxicity, op9_mixing, op10_warc]
     return {f.__name__: f for f in found}
 
 
