@@ -27,6 +27,7 @@ import re
 import sys
 import types
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
@@ -35,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import slices
+from .words import Rolling, _table, slices
 
 WINDOW = 1024
 STEP = 8
@@ -44,7 +45,7 @@ GROUP_ROWS = 32768
 GROUP_TOKENS = 64 << 20
 END_ID = 0
 #: Encoded units are kept for the life of a worker, at most so many.
-CACHED_UNITS = 600_000
+CACHED_UNITS = 1_000_000
 
 
 def combinations(total: int, depth: int) -> list[tuple[int, ...]]:
@@ -94,14 +95,28 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 1000) -> np.ndarray:
 
 
 _ODD = re.compile(r"\s\s|\s\Z")
+_BYTES = _table(31, 256)
+_MARK = np.zeros(256, bool)
+_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+def _latin(data: np.ndarray) -> np.ndarray:
+    """Bytes of letters, of those up to U+023F; others count as no letters."""
+    lead = (data >= 0xC3) & (data <= 0xC8)
+    inner = np.zeros(len(data), bool)
+    inner[1:] = lead[:-1] & ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+    return _LETTER[data] | lead | inner
 
 
 class Encoder:
     """Byte-level BPE by units: a word with the space before it is encoded once.
 
     The tokenizer cuts a text before a space that follows something else than
-    white space, whatever else the text holds, so units can be encoded apart.
-    Texts with runs of white space are encoded whole.
+    white space, and between letters and the marks after them, whatever else the
+    text holds, so those are encoded apart, each once in the life of a worker
+    (known by a 64-bit hash). Texts with runs of white space are encoded whole.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -110,31 +125,92 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         store = sys.modules.setdefault("_sparkloom_worker", types.ModuleType("_sparkloom_worker")).__dict__
         if path not in store:
-            store[path] = Tokenizer.from_file(path), {}
-        self.tokenizer, self.known = store[path]
+            store[path] = types.SimpleNamespace(tokenizer=Tokenizer.from_file(path), at={})
+        self.store, self.tokenizer = store[path], store[path].tokenizer
         self.end = np.array([end_id], "<u4").tobytes()
+        if not self.store.at:
+            self._forget()
+
+    def _forget(self) -> None:
+        self.store.at = {}
+        self.store.ids, self.store.limits = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The number of each piece (with hash h) in the store; new ones are encoded."""
+        store = self.store
+        number = np.array([store.at.get(x, -1) for x in h.tolist()], np.int64)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            ids = self._whole([data[a:b].tobytes().decode() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
+            n = len(store.at)
+            used = int(store.limits[n])
+            flat = np.frombuffer(b"".join(ids), np.uint32)
+            while len(store.limits) <= n + len(new):
+                store.limits = np.concatenate([store.limits, np.zeros_like(store.limits)])
+            while len(store.ids) < used + len(flat):
+                store.ids = np.concatenate([store.ids, np.zeros_like(store.ids)])
+            store.ids[used : used + len(flat)] = flat
+            store.limits[n + 1 : n + 1 + len(new)] = used + np.cumsum([len(x) // 4 for x in ids])
+            number[new] = np.arange(n, n + len(new))
+            store.at.update(zip(h[new].tolist(), number[new].tolist(), strict=True))
+        return number
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without runs of white space."""
+        raw = [t.encode() for t in texts]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        limits = np.cumsum([0, *map(len, raw)])
+        first = data == 32
+        first[limits[:-1][limits[:-1] < len(data)]] = True
+        start = np.flatnonzero(first)
+        end = np.append(start[1:], len(data))
+        roll = Rolling(_BYTES[data])
+        _, one, of = np.unique(roll.runs(start, end), return_index=True, return_inverse=True)
+        start_, end_ = start[one], end[one]
+        # marks at the end of a unit whose rest is letters
+        base = end_.copy()
+        while True:
+            cut = (base > start_ + 1) & _MARK[data[base - 1]] if len(base) else np.zeros(0, bool)
+            if not cut.any():
+                break
+            base[cut] -= 1
+        other = np.r_[0, np.cumsum(~_latin(data))]
+        inner = start_ + (data[start_] == 32)
+        base = np.where((base > inner) & (other[base] == other[inner]), base, end_)
+        if len(self.store.at) > CACHED_UNITS:
+            self._forget()
+        a, b = np.r_[start_, base], np.r_[base, end_]
+        h, which, back = np.unique(roll.runs(a, b), return_index=True, return_inverse=True)
+        number = self._pieces(data, a[which], b[which], h)[back].reshape(2, -1)
+        store = self.store
+        size = store.limits[number + 1] - store.limits[number]
+        # ids of distinct units, then of all units, one after another
+        order = number.T.ravel()
+        unit_ids = store.ids[_ranges(store.limits[order], size.T.ravel())]
+        unit_size = size.sum(0)
+        unit_start = np.cumsum(unit_size) - unit_size
+        ids = unit_ids[_ranges(unit_start[of], unit_size[of])]
+        at = np.r_[0, np.cumsum(unit_size[of])][np.searchsorted(start, limits)]
+        return [ids[x:y].tobytes() + self.end for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text and the end id."""
         odd = [i for i, t in enumerate(texts) if _ODD.search(t)]
-        if len(self.known) > CACHED_UNITS:
-            self.known.clear()
         skip = set(odd)
-        parts = {i: t.split(" ") for i, t in enumerate(texts) if i not in skip}
-        new = set()
-        for p in parts.values():
-            p[1:] = [" " + x for x in p[1:]]
-            new.update(p)
-        new = [x for x in new if x not in self.known]
-        self.known.update(zip(new, self._whole(new), strict=True))
-        out = {i: b"".join(map(self.known.__getitem__, p)) + self.end for i, p in parts.items()}
+        plain = [i for i in range(len(texts)) if i not in skip]
+        out = dict(zip(plain, self._plain([texts[i] for i in plain]), strict=True))
         out |= {i: x + self.end for i, x in zip(odd, self._whole([texts[i] for i in odd]), strict=True)}
         return [out[i] for i in range(len(texts))]
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] of them), start[1], ..."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
 def plan(lengths: list[int], window: int = WINDOW, step: int = STEP, depth: int = DEPTH) -> list[list[tuple[int, int, int]]]:
     """Pack pieces of 1 to window - 1 tokens: a list of sequences, each a list of (piece, first token, tokens)."""
     units = window // step
