@@ -372,3 +372,14 @@ def components(documents: DataFrame, key: str = "doc_id", text: str = "text", k:
     linked = roots.join(nodes.select("node", "id"), "node").groupBy("root").agg(F.min("id").alias("linked_id"))
     named = named.join(linked, "root", "left").select("node", F.coalesce("linked_id", "id").alias("component"))
     return found.join(named, "node", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+
+
+def keep_first(documents: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group of near duplicates stays: that with the smallest key.
+
+    Rows with a null key can't be named and stay; of rows with equal key and text
+    one stays; all columns pass through.
+    """
+    found = components(documents, key, text, k, percent)
+    stay = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
+    return documents.join(stay, key, "left_semi").dropDuplicates([key, text]).unionByName(documents.where(F.col(key).isNull()))

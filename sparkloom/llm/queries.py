@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, merkle, mixing, packing, substrings, topk, toxicity, url_filter, warc
+from . import jaccard, merkle, mixing, packing, substrings, topk, toxicity, url_filter, warc, wrappers
 
 
 def tokenizer_path() -> str:
@@ -21,6 +21,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return wrappers.extract(table(spark, folder, "pages"))
+
+
 def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, folder, "pages"))
 
@@ -58,7 +62,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_url_filters, op3_fingerprints, op4_substring_dedup, op5_top_k, op6_packing, op7_ngram_jaccard_join, op8_toxicity, op9_mixing, op10_warc]
+    found = [op1_html_extraction, op2_url_filters, op3_fingerprints, op4_substring_dedup, op5_top_k, op6_packing, op7_ngram_jaccard_join, op8_toxicity, op9_mixing, op10_warc]
     return {f.__name__: f for f in found}
 
 
