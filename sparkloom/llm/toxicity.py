@@ -56,7 +56,7 @@ class Inputs:
             ends[cut] -= 1
         roll = Rolling(_BYTES[w.data])
         whole = roll.runs(starts, ends)
-        _, at, self.word_of = np.unique(whole, return_index=True, return_inverse=True)
+        self.hash, at, self.word_of = np.unique(whole, return_index=True, return_inverse=True)
         s, e = starts[at], ends[at]
         self.word = (whole[at] & U(ROWS - 1)).astype(np.int64)
         chars = []
@@ -67,6 +67,24 @@ class Inputs:
         self.chars[self.chars == ROWS] = -1
         self.counts, self.first = w.counts, w.first
 
+    @classmethod
+    def of(cls, texts: list[str], chars: int = 1 << 20) -> Inputs:
+        """The same for many texts, with the memory of a part of them."""
+        parts, start, total = [], 0, 0
+        for i, t in enumerate(texts):
+            total += len(t)
+            if total > chars or i == len(texts) - 1:
+                parts.append(cls(pa.array(texts[start : i + 1], pa.large_string())))
+                start, total = i + 1, 0
+        out = cls.__new__(cls)
+        out.hash, at, back = np.unique(np.concatenate([p.hash for p in parts]), return_index=True, return_inverse=True)
+        out.word, out.chars = np.concatenate([p.word for p in parts])[at], np.concatenate([p.chars for p in parts])[at]
+        shift = np.cumsum([0, *(len(p.hash) for p in parts)])
+        out.word_of = np.concatenate([back[p.word_of + s] for p, s in zip(parts, shift, strict=False)])
+        out.counts = np.concatenate([p.counts for p in parts])
+        out.first = np.r_[0, np.cumsum(out.counts)]
+        return out
+
     def windows(self, size: int = WINDOW, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
         """Indices into the distinct words, (windows, size), padded by their number; and the text of each window."""
         n = self.counts
@@ -77,7 +95,7 @@ class Inputs:
         at = (self.first[:-1][text] + start)[:, None] + np.arange(size)
         inside = at < self.first[1:][text][:, None]
         words = np.append(self.word_of, len(self.word))
-        return np.where(inside, words[np.where(inside, at, len(self.word_of))], len(self.word)), text
+        return np.where(inside, words[np.where(inside, at, len(self.word_of))], len(self.word)).astype(np.int32), text
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -189,13 +207,12 @@ class Network:
 def _odds(x: Inputs, text_of_word: np.ndarray, toxic: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
     """Shrunk log-odds of toxic documents by table row; rows (distinct words, k), -1: none."""
     word, column = np.nonzero(rows >= 0)
-    pairs = np.unique(np.stack([text_of_word, x.word_of], 1), axis=0)
-    order = np.argsort(pairs[:, 1], kind="stable")
-    pairs = pairs[order]
-    limits = np.searchsorted(pairs[:, 1], np.arange(len(rows) + 1))
+    pairs = np.unique(x.word_of * (int(text_of_word.max(initial=0)) + 1) + text_of_word)
+    word_of, text_of = np.divmod(pairs, int(text_of_word.max(initial=0)) + 1)
+    limits = np.searchsorted(word_of, np.arange(len(rows) + 1))
     seen, bad = np.zeros(n_rows), np.zeros(n_rows)
     count = np.diff(limits)
-    harm = np.add.reduceat(np.append(toxic[pairs[:, 0]], 0), np.minimum(limits[:-1], len(pairs))) * (count > 0)
+    harm = np.add.reduceat(np.append(toxic[text_of], 0), np.minimum(limits[:-1], len(pairs))) * (count > 0)
     np.add.at(seen, rows[word, column], count[word])
     np.add.at(bad, rows[word, column], harm[word])
     rate = toxic.mean()
@@ -210,7 +227,7 @@ def fit(texts: list[str], toxic: list[int], curve: list[bool], seed: int = 5) ->
     if len({*y[learn]}) < 2:
         return None
     net, rng = Network(seed), np.random.default_rng(seed)
-    x = Inputs(pa.array(texts, pa.large_string()))
+    x = Inputs.of(texts)
     text_of_word = np.repeat(np.arange(len(texts)), x.counts)
     known = learn[text_of_word]
     own = Inputs.__new__(Inputs)
