@@ -40,6 +40,7 @@ from .words import Rolling, U, Words, by_bucket, joined, mix, slices
 
 WINDOW, SEED = 50, 8
 ENTRY = "bucket int, hash binary, more binary, doc binary, crc binary, at binary, decided boolean"
+REPLY = "bucket int, doc binary, crc binary, at binary"
 FOUND = "id long, crc long, at binary"
 
 
@@ -101,11 +102,19 @@ def _send(h: np.ndarray, more: np.ndarray, doc: np.ndarray, crc: np.ndarray, at:
 
 
 ENTRY_ARROW = pa.schema([("bucket", pa.int32()), ("hash", pa.binary()), ("more", pa.binary()), ("doc", pa.binary()), ("crc", pa.binary()), ("at", pa.binary()), ("decided", pa.bool_())])
+REPLY_ARROW = pa.schema([("bucket", pa.int32()), ("doc", pa.binary()), ("crc", pa.binary()), ("at", pa.binary())])
 FOUND_ARROW = pa.schema([("id", pa.int64()), ("crc", pa.int64()), ("at", pa.binary())])
 
 
-def _found(doc: np.ndarray, crc: np.ndarray, at: np.ndarray) -> pa.Table:
+def _reply(doc: np.ndarray, crc: np.ndarray, at: np.ndarray, buckets: int) -> pa.Table:
+    """Places on their way back to their documents, by a bucket of those."""
+    rows = by_bucket((mix(doc.view(np.uint64)) % U(buckets)).astype(np.int64), doc, crc, at)
+    return pa.Table.from_pylist([dict(zip(REPLY_ARROW.names, r, strict=True)) for r in rows], REPLY_ARROW)
+
+
+def _found(table: pa.Table) -> pa.Table:
     """A row for each (document, crc) with its places."""
+    doc, crc, at = joined(table["doc"], np.int64), joined(table["crc"], np.int64), joined(table["at"], np.int32)
     order = np.lexsort((at, crc, doc))
     doc, crc, at = doc[order], crc[order], at[order]
     limits = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1]), True]) if len(doc) else np.zeros(1, np.int64)
@@ -134,10 +143,12 @@ def _by_id(table: pa.Table, key: str, text: str) -> Iterator[tuple[pa.RecordBatc
             yield batch, batch.column(batch.schema.get_field_index(key)).cast(pa.int64()).to_numpy(zero_copy_only=False), batch.column(batch.schema.get_field_index(text))
 
 
-def repeated_windows(documents: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(texts, found): texts (id, text, crc) dealt by (id, crc); found (id, crc, at): words that start a window which also starts in a document with a smaller id."""
-    buckets = 4 * partitions(documents.sparkSession)
-    docs = documents.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def repeated_windows(documents: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(texts, found): texts (id, text, crc, carried) dealt by (id, crc); found (id, crc, at): words that start a window which also starts in a document with a smaller id."""
+    buckets = 2 * partitions(documents.sparkSession)
+    docs = documents.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*(F.col(c) for c in carry) or (F.lit(0).alias("none"),)).alias("carried"))
+    # a null id has crc -1, which meets no other; without nulls both joins can use one exchange of the texts
+    crc = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.crc32(F.col("text").cast("binary")))
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, ids, texts in _by_id(batches, "id", "text"):
@@ -155,19 +166,18 @@ def repeated_windows(documents: DataFrame, key: str = "doc_id", text: str = "tex
         np.minimum.at(low, run, doc[order])
         np.maximum.at(high, run, doc[order])
         keep = order[(low < high)[run]] if n else order
-        return _found(doc[keep], crc[keep], at[keep])
+        return _reply(doc[keep], crc[keep], at[keep], buckets)
 
-    places = docs.mapInArrow(seeds, ENTRY).groupBy("bucket").applyInArrow(several, FOUND).groupBy("id", "crc").agg(F.collect_list("at").alias("at"))
-    texts = docs.withColumn("crc", F.crc32(F.col("text").cast("binary"))).repartition(partitions(documents.sparkSession), "id", "crc")
+    places = docs.select("id", "text").mapInArrow(seeds, ENTRY).groupBy("bucket").applyInArrow(several, REPLY).groupBy("bucket").applyInArrow(_found, FOUND)
+    texts = docs.select(F.coalesce("id", F.lit(0)).alias("id"), "text", F.coalesce(crc, F.lit(-1)).alias("crc"), "carried").repartition(partitions(documents.sparkSession), "id", "crc")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, ids, part in _by_id(batches, "id", "text"):
             s = Sampled(part, window, seed)
             first = s.words.first[:-1]
             wanted = np.zeros(len(s.words.starts) + 1, bool)
-            for i, blobs in enumerate(batch.column(batch.schema.get_field_index("at")).to_pylist()):
-                for b in blobs:
-                    wanted[np.frombuffer(b, np.int32) + first[i]] = True
+            for i, blob in enumerate(batch.column(batch.schema.get_field_index("at")).to_pylist()):
+                wanted[np.frombuffer(blob, np.int32) + first[i]] = True
             start = s.start[wanted[s.place]]
             of = s.words.text_of[start]
             h = s.roll.runs(start, start + window)
@@ -195,10 +205,10 @@ def repeated_windows(documents: DataFrame, key: str = "doc_id", text: str = "tex
         np.minimum.at(low, run, doc[order])
         keep = order[doc[order] > low[run]] if len(run) else order
         _, _, doc2, crc2, at2 = _columns(late)
-        return _found(np.r_[doc[keep], doc2], np.r_[crc[keep], crc2], np.r_[at[keep], at2])
+        return _reply(np.r_[doc[keep], doc2], np.r_[crc[keep], crc2], np.r_[at[keep], at2], buckets)
 
     entries = texts.join(places, ["id", "crc"]).mapInArrow(prefixes, ENTRY)
-    return texts, entries.groupBy("bucket").applyInArrow(nodes, FOUND)
+    return texts, entries.groupBy("bucket").applyInArrow(nodes, REPLY).groupBy("bucket").applyInArrow(_found, FOUND)
 
 
 def spans(at: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -210,32 +220,31 @@ def spans(at: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
     return list(zip(at[np.r_[0, cut + 1]].tolist(), (at[np.r_[cut, len(at) - 1]] + window).tolist(), strict=True))
 
 
-def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED, texts_too: bool = False) -> DataFrame:
-    """Per document: key, n_words, n_removed, kept_sha256, spans; with texts_too also kept, the text without its repeats.
+def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED, carry: tuple[str, ...] = (), texts_too: bool = False) -> DataFrame:
+    """Per document: key, n_words, n_removed, kept_sha256, spans, the columns in carry; with texts_too also kept, the text without its repeats.
 
     kept is the text itself where nothing was removed, else the words left,
     joined by one space; kept_sha256 is always of the words so joined.
     """
-    texts, found = repeated_windows(documents, key, text, window, seed)
-    marks = found.groupBy("id", "crc").agg(F.collect_list("at").alias("at"))
-    rows = texts.join(marks, ["id", "crc"], "left").select("id", "text", "at")
+    texts, found = repeated_windows(documents, key, text, window, seed, carry)
+    rows = texts.join(found, ["id", "crc"], "left").select(F.when(F.col("crc") >= 0, F.col("id")).alias("id"), "text", "at", "carried")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 out: list[list] = [[], [], [], [], []]
-                for body, blobs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for body, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     words = body.encode().split()  # at the same six bytes as the contract's pattern
-                    n, cuts = len(words), spans(np.frombuffer(b"".join(blobs or ()), np.int32), window)
+                    n, cuts = len(words), spans(np.frombuffer(blob or b"", np.int32), window)
                     for a, b in reversed(cuts):
                         del words[a:b]
                     kept = b" ".join(words)
                     for column, x in zip(out, (n, n - len(words), hashlib.sha256(kept).hexdigest(), cuts, (kept.decode() if cuts else body) if texts_too else None), strict=True):
                         column.append(x)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array([[{"start": a, "end": b} for a, b in s] for s in out[3]], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(out[4], pa.string())], names=["id", "n_words", "n_removed", "kept_sha256", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array([[{"start": a, "end": b} for a, b in s] for s in out[3]], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(out[4], pa.string()), batch.column(3)], names=["id", "n_words", "n_removed", "kept_sha256", "spans", "kept", "carried"])
 
-    result = rows.mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>, kept string").withColumnRenamed("id", key)
-    return result if texts_too else result.drop("kept")
+    result = rows.mapInArrow(run, f"id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>, kept string, carried {rows.schema['carried'].dataType.simpleString()}")
+    return result.select(F.col("id").alias(key), "n_words", "n_removed", "kept_sha256", "spans", *(["kept"] if texts_too else []), *(F.col("carried")[c].alias(c) for c in carry))
 
 
 ORACLE_SQL = r"""
