@@ -31,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_folder
+from .shared import checkpointed, shared_folder
 
 SEGMENT_BYTES = 64 << 10
 CHUNK_BYTES = 16 << 10
 LEAST_BYTES = 100
 RECORDS_PER_FILE = 4000
+#: Repeated payloads (about 100 bytes each) are broadcast up to this many.
+FEW_GROUPS = 50_000
 END = b"\r\n"
 #: Fixed value: there is no capture time in the tables.
 DATE = "2000-01-01T00:00:00Z"
@@ -48,7 +50,9 @@ def roles(pages: DataFrame, key: str, payload: str, least_bytes: int = LEAST_BYT
     rows = pages.select(F.col(key).cast("long").alias("id"), F.col("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("body"))
     rows = rows.withColumn("n_bytes", F.octet_length("body").cast("long")).withColumn("digest", F.sha2("body", 256))
     groups = rows.where(F.col("n_bytes") >= least_bytes).groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("digest", "least")
-    joined = rows.join(groups, "digest", "left")
+    groups = checkpointed(groups)
+    # few repeated payloads go to every task, so that no payload is shuffled; many are met by a shuffled join
+    joined = rows.join(F.broadcast(groups) if groups.count() <= FEW_GROUPS else groups, "digest", "left")
     return joined.withColumn("refers_to", F.when(F.col("least") < F.col("id"), F.col("least"))).drop("least")
 
 
@@ -157,12 +161,18 @@ def _decoded(fields: dict, block: bytes) -> dict:
 def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """A row for each page in the archives below folder; without payloads, only what is computed from them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def reader(segments: bool):
+        """Whole records decoded, or the segments as they are."""
+        return lambda batches: run(batches, segments)
+
+    def run(batches: Iterator[pa.RecordBatch], segments: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
                 out, size = [], 0
                 for fields, block in parse(data.as_py()):
                     number = _long(fields.get("warc-segment-number"))
+                    if (number is None) == segments:
+                        continue
                     if number is None:
                         row = _decoded(fields, block)
                         if not payloads:
@@ -194,10 +204,9 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
 
     # nothing was written for an empty table
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
-    rows = files.mapInArrow(run, PARTS)
     columns = [x.split()[0] for x in PAGES.split(", ")]
-    segments = rows.where("origin is not null")
-    return rows.where("origin is null").select(*columns).unionByName(segments.groupBy("origin").applyInArrow(assemble, PAGES))
+    whole = files.mapInArrow(reader(False), PARTS).select(*columns)
+    return whole.unionByName(files.mapInArrow(reader(True), PARTS).groupBy("origin").applyInArrow(assemble, PAGES))
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, payloads: bool = False) -> DataFrame:
