@@ -5,23 +5,31 @@ from pyspark.sql import functions as F
 
 from .registry import query
 
-BY_CUSTOMER = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-BY_PRICE = W.partitionBy("p_type").orderBy("p_retailprice", "p_partkey")
-PRICE_TIES = W.partitionBy("p_type").orderBy("p_size")
 
+def by_customer():
+    return W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
 
-def _ranked(name: str, sql: str, column, window: W):
+
+def by_price():
+    return W.partitionBy("p_type").orderBy("p_retailprice", "p_partkey")
+
+
+def price_ties():
+    return W.partitionBy("p_type").orderBy("p_size")
+
+
+def _ranked(name: str, sql: str, column, window):
     @query(name, f"SELECT p_partkey, {sql} AS r FROM part")
     def _(t):
-        return t.part.select("p_partkey", column().over(window).alias("r"))
+        return t.part.select("p_partkey", column().over(window()).alias("r"))
 
 
-_ranked("win01_row_number", "CAST(row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice, p_partkey) AS INTEGER)", F.row_number, BY_PRICE)
-_ranked("win02_rank", "CAST(rank() OVER (PARTITION BY p_type ORDER BY p_size) AS INTEGER)", F.rank, PRICE_TIES)
-_ranked("win03_dense_rank", "CAST(dense_rank() OVER (PARTITION BY p_type ORDER BY p_size) AS INTEGER)", F.dense_rank, PRICE_TIES)
-_ranked("win04_percent_rank", "percent_rank() OVER (PARTITION BY p_type ORDER BY p_size)", F.percent_rank, PRICE_TIES)
-_ranked("win05_cume_dist", "cume_dist() OVER (PARTITION BY p_type ORDER BY p_size)", F.cume_dist, PRICE_TIES)
-_ranked("win06_ntile", "CAST(ntile(4) OVER (PARTITION BY p_type ORDER BY p_retailprice, p_partkey) AS INTEGER)", lambda: F.ntile(4), BY_PRICE)
+_ranked("win01_row_number", "CAST(row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice, p_partkey) AS INTEGER)", F.row_number, by_price)
+_ranked("win02_rank", "CAST(rank() OVER (PARTITION BY p_type ORDER BY p_size) AS INTEGER)", F.rank, price_ties)
+_ranked("win03_dense_rank", "CAST(dense_rank() OVER (PARTITION BY p_type ORDER BY p_size) AS INTEGER)", F.dense_rank, price_ties)
+_ranked("win04_percent_rank", "percent_rank() OVER (PARTITION BY p_type ORDER BY p_size)", F.percent_rank, price_ties)
+_ranked("win05_cume_dist", "cume_dist() OVER (PARTITION BY p_type ORDER BY p_size)", F.cume_dist, price_ties)
+_ranked("win06_ntile", "CAST(ntile(4) OVER (PARTITION BY p_type ORDER BY p_retailprice, p_partkey) AS INTEGER)", lambda: F.ntile(4), by_price)
 
 
 def _ordered(name: str, sql: str, column):
@@ -31,14 +39,14 @@ def _ordered(name: str, sql: str, column):
 
 
 OVER = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
-_ordered("win07_lag", f"lag(o_totalprice, 2, 0.0) {OVER})", lambda: F.lag("o_totalprice", 2, 0.0).over(BY_CUSTOMER))
-_ordered("win08_lead", f"lead(o_orderstatus) {OVER})", lambda: F.lead("o_orderstatus").over(BY_CUSTOMER))
-_ordered("win09_first_value", f"first_value(o_totalprice) {OVER})", lambda: F.first_value("o_totalprice").over(BY_CUSTOMER))
-_ordered("win10_last_value", f"last_value(o_totalprice) {OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)", lambda: F.last_value("o_totalprice").over(BY_CUSTOMER.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-_ordered("win11_nth_value", f"nth_value(o_totalprice, 3) {OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)", lambda: F.nth_value("o_totalprice", 3).over(BY_CUSTOMER.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-_ordered("win12_moving_average", f"round(avg(o_totalprice) {OVER} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 3)", lambda: F.round(F.avg("o_totalprice").over(BY_CUSTOMER.rowsBetween(-2, 0)), 3))
-_ordered("win13_running_total", f"round(sum(o_totalprice) {OVER} ROWS UNBOUNDED PRECEDING), 2)", lambda: F.round(F.sum("o_totalprice").over(BY_CUSTOMER.rowsBetween(W.unboundedPreceding, 0)), 2))
-_ordered("win14_moving_sum", f"round(sum(o_totalprice) {OVER} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 2)", lambda: F.round(F.sum("o_totalprice").over(BY_CUSTOMER.rowsBetween(-1, 1)), 2))
+_ordered("win07_lag", f"lag(o_totalprice, 2, 0.0) {OVER})", lambda: F.lag("o_totalprice", 2, 0.0).over(by_customer()))
+_ordered("win08_lead", f"lead(o_orderstatus) {OVER})", lambda: F.lead("o_orderstatus").over(by_customer()))
+_ordered("win09_first_value", f"first_value(o_totalprice) {OVER})", lambda: F.first_value("o_totalprice").over(by_customer()))
+_ordered("win10_last_value", f"last_value(o_totalprice) {OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)", lambda: F.last_value("o_totalprice").over(by_customer().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+_ordered("win11_nth_value", f"nth_value(o_totalprice, 3) {OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)", lambda: F.nth_value("o_totalprice", 3).over(by_customer().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+_ordered("win12_moving_average", f"round(avg(o_totalprice) {OVER} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 3)", lambda: F.round(F.avg("o_totalprice").over(by_customer().rowsBetween(-2, 0)), 3))
+_ordered("win13_running_total", f"round(sum(o_totalprice) {OVER} ROWS UNBOUNDED PRECEDING), 2)", lambda: F.round(F.sum("o_totalprice").over(by_customer().rowsBetween(W.unboundedPreceding, 0)), 2))
+_ordered("win14_moving_sum", f"round(sum(o_totalprice) {OVER} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 2)", lambda: F.round(F.sum("o_totalprice").over(by_customer().rowsBetween(-1, 1)), 2))
 
 
 def _preceding(name: str, interval: str) -> None:
@@ -85,7 +93,7 @@ def _(t):
 
 @query("win19_status_changes", "SELECT o_orderkey, prev, o_orderstatus FROM (SELECT *, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM orders) WHERE prev <> o_orderstatus")
 def _(t):
-    return t.orders.withColumn("prev", F.lag("o_orderstatus").over(BY_CUSTOMER)).where("prev <> o_orderstatus").select("o_orderkey", "prev", "o_orderstatus")
+    return t.orders.withColumn("prev", F.lag("o_orderstatus").over(by_customer())).where("prev <> o_orderstatus").select("o_orderkey", "prev", "o_orderstatus")
 
 
 @query("win20_event_gaps", "SELECT event_id, gap FROM (SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) WHERE gap > 36000000000")
