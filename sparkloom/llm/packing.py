@@ -44,8 +44,10 @@ DEPTH = 3
 GROUP_ROWS = 32768
 GROUP_TOKENS = 64 << 20
 END_ID = 0
+#: Bytes of text that are encoded at a time.
+SLICE = 2 << 20
 #: Encoded units are kept for the life of a worker, at most so many.
-CACHED_UNITS = 1_000_000
+CACHED_UNITS = 500_000
 
 
 def combinations(total: int, depth: int) -> list[tuple[int, ...]]:
@@ -309,7 +311,7 @@ def pack(documents: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
         key_type = None
         for whole in batches:
             key_type = whole.schema.field(0).type
-            for batch in slices(whole, whole.schema.names[1]):
+            for batch in slices(whole, whole.schema.names[1], SLICE):
                 for k, ids in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                     tokens = len(ids) // 4
                     full = tokens // window * window
