@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import checkpointed
 from .words import slices
 
 DEEPEST = 200
@@ -43,6 +44,8 @@ HELD_HOSTS = 5000
 #: A text that is the same on at least so many pages of a host, and on all of them, is the template's.
 CONSTANT_PAGES = 3
 LINK_SHARE = 0.7
+#: Roots (some hundred bytes each) are broadcast up to this many hosts; beyond, pages meet them by host and salt.
+FEW_HOSTS, SALTS = 20_000, 16
 
 #: Element names and marks of HTML pages.
 RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "select", "xmp")
@@ -392,7 +395,7 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per page: key, url, text, n_chars."""
-    roots = wrappers(pages, url, html).select(F.col("host").alias("_host"), "root")
+    roots = checkpointed(wrappers(pages, url, html).select(F.col("host").alias("_host"), "root"))
     rows = pages.select(key, url, F.col(html).alias("html"), F.coalesce(F.expr(HOST.format(url=f"`{url}`")), F.lit("")).alias("_host"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,4 +410,9 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[key, url, "text", "n_chars"])
 
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (key, url)}
-    return rows.join(roots, "_host", "left").select(key, url, "html", "root").mapInArrow(run, f"`{key}` {kinds[key]}, `{url}` {kinds[url]}, text string, n_chars long")
+    if roots.count() <= FEW_HOSTS:
+        joined = rows.join(F.broadcast(roots), "_host", "left")
+    else:  # a host may hold a third of the pages
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(key, "html"), F.lit(SALTS)))
+        joined = salted.join(roots.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_host", "_salt"], "left")
+    return joined.select(key, url, "html", "root").mapInArrow(run, f"`{key}` {kinds[key]}, `{url}` {kinds[url]}, text string, n_chars long")

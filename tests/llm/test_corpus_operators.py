@@ -397,7 +397,9 @@ def test_url_index_finds_what_all_rules_find():
 PAGE = '<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var x="</p>";</script></head><body><nav><ul><li><a href="/a">m</a></li></ul></nav><header class="site">H</header><div class="ad">buy</div><article><h1>Title &amp; {n}</h1><p>One  two<br>three {n}</p><p><b>open<br><p>Four&nbsp;five</p><div class="comments"><p>nice</p></div></article><aside class="sidebar">s</aside><form><input>f</form><footer>&copy; f</footer></body></html>'
 
 
-def test_html_extraction(spark):
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_html_extraction(spark, monkeypatch, few):
+    monkeypatch.setattr(wrappers, "FEW_HOSTS", few)
     pages = [(i, f"http://h{i % 2}.com/x{i}", PAGE.replace("{n}", str(i))) for i in range(12)]
     pages += [(20, None, "<p>alone</p>"), (21, "http://h0.com/", None), (22, "http://h0.com/", ""), (23, "http://other.com/", "plain <b>te</b>xt"), (24, "http://deep.com/", "<div>" * 3000 + "deep" + "</div>" * 3000), (25, "http://cut.com/", "<article><p>a<!-- open"), (26, "http://big.com/", "<article>" + "<p>w x</p>" * 5000 + "</article>"), (None, "http://h1.com/", PAGE)]
     df = spark.createDataFrame([(*p, "x", "y") for p in pages] + [(*pages[0], "x", "y")], "page_id long, url string, html string, host string, text string")
@@ -421,7 +423,9 @@ def test_wrappers_generalise(spark):
     assert texts == {0: "x\n\n1", 1: "y\n\n2\n\n3\n\n4", 2: "x\n\n5"}
 
 
-def test_warc_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_warc_round_trip(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(warc, "FEW_GROUPS", few)
     long_ = "".join(random.Random(1).choice("abé\U0001f600\r\n<") for _ in range(300_000))
     pages = [(5, "http://a/", "x" * 200), (3, "http://b/\r\nInjected: 1", "x" * 200), (9, None, "x" * 200), (1, "u", "short"), (2, "u", "short"), (4, "u", None), (6, "u", ""), (7, "u", long_), (8, "u", long_), (10, "u", "WARC/1.1\r\nContent-Length: 3\r\n\r\n0\r\n\r\n" * 9), (None, "u", "y" * 150), (11, "u", "z" * 64000)]
     df = spark.createDataFrame([(*p, "q") for p in pages] + [(*pages[7], "q"), (*pages[0], "q")], "page_id long, url string, html string, digest string")
