@@ -136,6 +136,15 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new)
 
 
+def _ends(doc: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest and largest document of each run."""
+    n = int(run[-1]) + 1 if len(run) else 0
+    low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+    np.minimum.at(low, run, doc)
+    np.maximum.at(high, run, doc)
+    return low, high
+
+
 def _by_id(table: pa.Table, key: str, text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Array]]:
     for whole in table:
         whole = whole.filter(pc.is_valid(whole.column(whole.schema.get_field_index(key))))
@@ -154,19 +163,30 @@ def repeated_windows(documents: DataFrame, key: str = "doc_id", text: str = "tex
         for batch, ids, texts in _by_id(batches, "id", "text"):
             s = Sampled(texts, window, seed)
             h, of, at = s.seed_entries()
-            first = s.words.first[:-1]
-            crc = _crcs(texts)
-            yield pa.RecordBatch.from_pylist(list(_send(h, np.zeros(len(h), np.uint32), ids[of], crc[of], (at - first[of]).astype(np.int32), buckets)), ENTRY_ARROW)
+            none, doc, crc, at = np.zeros(len(h), np.uint32), ids[of], _crcs(texts)[of], (at - s.words.first[:-1][of]).astype(np.int32)
+            # of a seed in several documents here, those with the smallest and the largest id go on; the others are decided
+            order, run = _runs(h, doc)
+            same, node = _runs(h)
+            low, high = _ends(doc[same], node)
+            least, most = np.empty_like(doc), np.empty_like(doc)
+            least[same], most[same] = low[node], high[node]
+            go = np.zeros(len(h), bool)
+            go[order[np.r_[True, run[1:] != run[:-1]]] if len(h) else order] = True
+            go &= (doc == least) | (doc == most)
+            late = ~go & (least < most)
+            go |= least == most
+            out = list(_send(h[go], none[go], doc[go], crc[go], at[go], buckets))
+            out += _send(mix(doc[late].astype(np.uint64)), none[late], doc[late], crc[late], at[late], buckets, True)
+            yield pa.RecordBatch.from_pylist(out, ENTRY_ARROW)
 
     def several(table: pa.Table) -> pa.Table:
-        h, _, doc, crc, at = _columns(table)
+        late = table.filter(table["decided"])
+        h, _, doc, crc, at = _columns(table.filter(pc.invert(table["decided"])))
         order, run = _runs(h)
-        n = int(run[-1]) + 1 if len(run) else 0
-        low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
-        np.minimum.at(low, run, doc[order])
-        np.maximum.at(high, run, doc[order])
-        keep = order[(low < high)[run]] if n else order
-        return _reply(doc[keep], crc[keep], at[keep], buckets)
+        low, high = _ends(doc[order], run)
+        keep = order[(low < high)[run]]
+        _, _, doc2, crc2, at2 = _columns(late)
+        return _reply(np.r_[doc[keep], doc2], np.r_[crc[keep], crc2], np.r_[at[keep], at2], buckets)
 
     places = docs.select("id", "text").mapInArrow(seeds, ENTRY).groupBy("bucket").applyInArrow(several, REPLY).groupBy("bucket").applyInArrow(_found, FOUND)
     texts = docs.select(F.coalesce("id", F.lit(0)).alias("id"), "text", F.coalesce(crc, F.lit(-1)).alias("crc"), "carried").repartition(partitions(documents.sparkSession), "id", "crc")
@@ -183,13 +203,10 @@ def repeated_windows(documents: DataFrame, key: str = "doc_id", text: str = "tex
             h = s.roll.runs(start, start + window)
             more = (mix(s.roll.raw(start, start + window) ^ U(0x5851F42D4C957F2D)) >> U(32)).astype(np.uint32)
             doc, crc, at = ids[of], batch.column(batch.schema.get_field_index("crc")).to_numpy(zero_copy_only=False)[of], (start - first[of]).astype(np.int32)
-            order, run = _runs(h, more, doc)
             # equal windows here: the smallest document's first goes on, those of other documents are decided
             same, node = _runs(h, more)
-            lead = np.full(int(node[-1]) + 1 if len(node) else 0, np.iinfo(np.int64).max)
-            np.minimum.at(lead, node, doc[same])
             least = np.empty(len(h), np.int64)
-            least[same] = lead[node] if len(node) else 0
+            least[same] = _ends(doc[same], node)[0][node]
             go = doc == least
             out = list(_send(h[go], more[go], doc[go], crc[go], at[go], buckets))
             late = ~go
@@ -201,9 +218,7 @@ def repeated_windows(documents: DataFrame, key: str = "doc_id", text: str = "tex
         late = table.filter(table["decided"])
         h, more, doc, crc, at = _columns(table.filter(pc.invert(table["decided"])))
         order, run = _runs(h, more)
-        low = np.full(int(run[-1]) + 1 if len(run) else 0, np.iinfo(np.int64).max)
-        np.minimum.at(low, run, doc[order])
-        keep = order[doc[order] > low[run]] if len(run) else order
+        keep = order[doc[order] > _ends(doc[order], run)[0][run]]
         _, _, doc2, crc2, at2 = _columns(late)
         return _reply(np.r_[doc[keep], doc2], np.r_[crc[keep], crc2], np.r_[at[keep], at2], buckets)
 
