@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .operators import annotate, checks, corpus, profile, refine, relations, semantics, workload
 from .sources.store import JsonStore, MemoryStore
-from .sources.tables import NAMES, Tables, healthy, register
+from .sources.catalog import Catalog
+from .sources.tables import healthy
 
 RELATIONAL = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -30,27 +31,28 @@ class Settings:
 
 
 class Engine:
-    """Analysis, generation and diagnosis over a data folder."""
+    """Analysis, generation and diagnosis over a data folder (or a catalog of tables from elsewhere)."""
 
-    def __init__(self, spark: SparkSession, folder: str, store: JsonStore | MemoryStore | None = None, settings: Settings | None = None, reviewer: refine.Reviewer | None = None):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, source: str | Catalog, store: JsonStore | MemoryStore | None = None, settings: Settings | None = None, reviewer: refine.Reviewer | None = None):
+        self.spark = spark
         self.settings, self.store, self.reviewer = settings or Settings(), store or MemoryStore(), reviewer
+        self.catalog = source if isinstance(source, Catalog) else Catalog.of_folder(spark, source, self.settings.tables, self.settings.name)
         if self.settings.benchmark:
-            workload.assert_train_only(self.settings.benchmark, self.settings.name)
+            workload.assert_train_only(self.settings.benchmark, self.catalog.name)
         if not healthy(spark):
             raise RuntimeError("the session doesn't answer")
-        register(spark, folder, tuple(n for n in NAMES if n in self.settings.tables))
+        self.catalog.register()
         self.knowledge: refine.Knowledge | None = None
 
     def analyze(self) -> refine.Knowledge:
         """K1 to K6; each layer is saved and kept."""
-        t = Tables(self.spark, self.folder)
-        k1 = profile.profile_all({n: getattr(t, n) for n in self.settings.tables}, self.settings.blocked).cache()
+        c = self.catalog
+        k1 = profile.profile_all(c.frames, self.settings.blocked, c.primary, c.foreign).cache()
         k3 = semantics.classify(k1).cache()
         k4 = annotate.column_descriptions(k1, k3).cache()
         k5 = annotate.table_descriptions(semantics.patterns(k3), semantics.key_columns(k1)).cache()
-        k6 = relations.merged(relations.declared(k1), relations.by_name(k1)).cache()
-        k2 = annotate.domain(k1, self.settings.name).cache()
+        k6 = relations.merged(relations.declared(k1, c.foreign), relations.by_name(k1)).cache()
+        k2 = annotate.domain(k1, c.name).cache()
         for name, rows in zip(("k1", "k2", "k3", "k4", "k5", "k6"), (k1, k2, k3, k4, k5, k6), strict=True):
             self.store.save(name, rows)
         self.knowledge = refine.Knowledge(k1, k2, k3, k4, k5, k6)
@@ -82,6 +84,11 @@ class Engine:
             samples.append(refine.Sample(q, d.question, d.sql, think))
         return samples
 
+    def summary(self) -> DataFrame:
+        """Rows of each knowledge layer."""
+        k = self.knowledge or self.analyze()
+        return semantics.layer_summary(k1=k.k1, k2=k.k2, k3=k.k3, k4=k.k4, k5=k.k5, k6=k.k6)
+
     def diagnose(self, samples: list[refine.Sample]) -> DataFrame:
         """The audit table of the samples after refinement; it is appended to the logs."""
         k = self.knowledge or self.analyze()

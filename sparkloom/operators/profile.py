@@ -54,10 +54,11 @@ def profile(df: DataFrame, table: str, primary: list[str] | None = None, foreign
     return out.select("table_name", "ordinal", "column_name", "data_type", "kind", "nullable", "primary_key", "foreign_key", "row_count", "n_distinct", level.alias("entropy_level"), F.coalesce("sample_values", F.expr("array()").cast("array<string>")).alias("sample_values"))
 
 
-def profile_all(frames: dict[str, DataFrame], blocked: tuple[str, ...] = ("aid_info",)) -> DataFrame:
-    """K1 of several tables; those whose name holds a blocked part are left out."""
+def profile_all(frames: dict[str, DataFrame], blocked: tuple[str, ...] = ("aid_info",), primary: dict | None = None, foreign: dict | None = None) -> DataFrame:
+    """K1 of several tables; those whose name holds a blocked part are left out. primary and foreign: declared keys, those of the test tables by default."""
     use = {n: d for n, d in frames.items() if not any(b in n for b in blocked)}
-    return reduce(DataFrame.unionByName, (profile(d, n) for n, d in use.items()))
+    own = lambda n: (None if primary is None else primary.get(n, []), None if foreign is None else [c for t, c in foreign if t == n])
+    return reduce(DataFrame.unionByName, (profile(d, n, *own(n)) for n, d in use.items()))
 
 
 def ddl(columns: DataFrame, comments: bool = False) -> DataFrame:

@@ -23,10 +23,10 @@ def variants(tables: DataFrame) -> DataFrame:
     return tables.select("table_name").distinct().select(F.explode(forms).alias("variant"), F.col("table_name").alias("target_table"))
 
 
-def declared(columns: DataFrame) -> DataFrame:
+def declared(columns: DataFrame, foreign: dict | None = None) -> DataFrame:
     """Declared foreign keys of the tables in K1."""
     spark = columns.sparkSession
-    rows = [(s, c, t, k, "many_to_one", 0.9, "declared foreign key") for (s, c), (t, k) in FOREIGN_KEYS.items()]
+    rows = [(s, c, t, k, "many_to_one", 0.9, "declared foreign key") for (s, c), (t, k) in (FOREIGN_KEYS if foreign is None else foreign).items()]
     known = spark.createDataFrame(rows, SCHEMA)
     there = columns.select("table_name").distinct()
     return known.join(F.broadcast(there.withColumnRenamed("table_name", "source_table")), "source_table", "left_semi").join(F.broadcast(there.withColumnRenamed("table_name", "target_table")), "target_table", "left_semi").select(*known.columns)

@@ -111,10 +111,10 @@ def _(t):
     return profile.ddl(k1(t, ("region",))).select(profile.shortened(F.col("ddl"), 10).alias("ddl"))
 
 
-@query("prf14_domain_confidence", "SELECT 0.72 AS three_of_five, 1.0 AS all_of_five")
+@query("prf14_domain_confidence", "SELECT 0.72::DOUBLE AS three_of_five, 1.0::DOUBLE AS all_of_five")
 def _(t):
     x, none = F.lit("x"), F.lit(None).cast("string")
-    return t.spark.range(1).select(F.round(semantics.domain_confidence(x, x, x, none, F.lit("")), 6).cast("decimal(3,2)").alias("three_of_five"), F.round(semantics.domain_confidence(x, x, x, x, x), 6).cast("decimal(2,1)").alias("all_of_five"))
+    return t.spark.range(1).select(F.round(semantics.domain_confidence(x, x, x, none, F.lit("")), 6).alias("three_of_five"), F.round(semantics.domain_confidence(x, x, x, x, x), 6).alias("all_of_five"))
 
 
 @query("prf15_importance", f"SELECT table_name, column_name, CASE WHEN primary_key OR foreign_key THEN 'high' WHEN category IN ('measure', 'dimension') THEN 'medium' ELSE 'low' END AS importance, category IN ('measure', 'dimension') AS measure_or_dimension FROM ({K3_SQL})")
@@ -366,9 +366,9 @@ def _(t):
     return workload.grid(t.spark).select("main_scenario", "sub_scenario", "complexity_level")
 
 
-@query("scn02_use_case_weights", "SELECT s AS sub_scenario, l AS complexity_level, 1.0 AS total FROM (VALUES " + ", ".join(f"('{p}')" for p in workload.USE_CASES) + ") v(s), (VALUES (1), (2), (3), (4)) w(l)")
+@query("scn02_use_case_weights", "SELECT s AS sub_scenario, l AS complexity_level, 1.0::DOUBLE AS total FROM (VALUES " + ", ".join(f"('{p}')" for p in workload.USE_CASES) + ") v(s), (VALUES (1), (2), (3), (4)) w(l)")
 def _(t):
-    return workload.use_cases(t.spark).groupBy("sub_scenario", "complexity_level").agg(F.round(F.sum("weight"), 6).cast("decimal(2,1)").alias("total"))
+    return workload.use_cases(t.spark).groupBy("sub_scenario", "complexity_level").agg(F.round(F.sum("weight"), 6).alias("total"))
 
 
 @query("scn03_tasks", "SELECT 100::BIGINT AS n, 36::BIGINT AS combinations")
