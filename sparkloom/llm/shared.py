@@ -2,40 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import checkpointed, shared_folder  # noqa: F401
+
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = _own(spark)
-    return folder.rstrip("/")
-
-
-def _own(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    if not getattr(context, "_sparkloom_folder", None):
-        context._sparkloom_folder = Path(tempfile.gettempdir(), f"checkpoints/{context.applicationId}").as_uri()
-    return context._sparkloom_folder
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from there, so that a lost executor costs no earlier stage."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Components of an undirected graph: from edges (u, v) to rows (node, root), root the smallest node reachable.
 

@@ -36,7 +36,7 @@ MAX_TOXIC, MAX_CLEAN = 1500, 2500
 ROWS = 1 << 16
 WIDTH, HIDDEN, ATTENTION = 6, 8, 8
 PREFIXES = (2, 3, 4, 5, 6, 8)
-EPOCHS, BATCH, RATE = 6, 256, 0.01
+EPOCHS, BATCH, RATE, TABLE_RATE = 6, 256, 0.01, 0.05
 FLOOR = -12.0
 _BYTES = _table(23, 256)
 
@@ -58,17 +58,17 @@ class Inputs:
         whole = roll.runs(starts, ends)
         self.hash, at, self.word_of = np.unique(whole, return_index=True, return_inverse=True)
         s, e = starts[at], ends[at]
-        self.word = (whole[at] & U(ROWS - 1)).astype(np.int64)
+        self.word = (whole[at] & U(ROWS - 1)).astype(np.int32)
         chars = []
         for n in PREFIXES:
-            chars.append(np.where(e - s >= n, (roll.runs(s, np.minimum(s + n, e)) ^ U(n * 7919)) % U(ROWS), U(ROWS)).astype(np.int64))
-        chars.append(((roll.runs(np.maximum(s, e - 4), e) ^ U(104729)) % U(ROWS)).astype(np.int64))
-        self.chars = np.stack(chars, 1) if len(s) else np.zeros((0, len(PREFIXES) + 1), np.int64)
+            chars.append(np.where(e - s >= n, (roll.runs(s, np.minimum(s + n, e)) ^ U(n * 7919)) % U(ROWS), U(ROWS)).astype(np.int32))
+        chars.append(((roll.runs(np.maximum(s, e - 4), e) ^ U(104729)) % U(ROWS)).astype(np.int32))
+        self.chars = np.stack(chars, 1) if len(s) else np.zeros((0, len(PREFIXES) + 1), np.int32)
         self.chars[self.chars == ROWS] = -1
         self.counts, self.first = w.counts, w.first
 
     @classmethod
-    def of(cls, texts: list[str], chars: int = 1 << 20) -> Inputs:
+    def of(cls, texts: list[str], chars: int = 1 << 19) -> Inputs:
         """The same for many texts, with the memory of a part of them."""
         parts, start, total = [], 0, 0
         for i, t in enumerate(texts):
@@ -85,17 +85,20 @@ class Inputs:
         out.first = np.r_[0, np.cumsum(out.counts)]
         return out
 
-    def windows(self, size: int = WINDOW, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, size: int = WINDOW, stride: int = STRIDE, block: int = 8192) -> tuple[np.ndarray, np.ndarray]:
         """Indices into the distinct words, (windows, size), padded by their number; and the text of each window."""
         n = self.counts
         many = np.where(n == 0, 0, np.where(n <= size, 1, 1 + -(-(n - size) // stride)))
         text = np.repeat(np.arange(len(n)), many)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-        start = np.minimum(nth * stride, np.maximum(n[text] - size, 0))
-        at = (self.first[:-1][text] + start)[:, None] + np.arange(size)
-        inside = at < self.first[1:][text][:, None]
-        words = np.append(self.word_of, len(self.word))
-        return np.where(inside, words[np.where(inside, at, len(self.word_of))], len(self.word)).astype(np.int32), text
+        start = self.first[:-1][text] + np.minimum(nth * stride, np.maximum(n[text] - size, 0))
+        words = np.append(self.word_of, len(self.word)).astype(np.int32)
+        out = np.empty((len(text), size), np.int32)
+        for i in range(0, len(text), block):
+            at = start[i : i + block, None] + np.arange(size)
+            inside = at < self.first[1:][text[i : i + block]][:, None]
+            out[i : i + block] = np.where(inside, words[np.where(inside, at, len(self.word_of))], len(self.word))
+        return out, text
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -116,9 +119,13 @@ class Network:
 
     def vectors(self, x: Inputs) -> np.ndarray:
         """Input vectors of distinct words."""
-        there = x.chars >= 0
-        chars = (self.p["char"][np.where(there, x.chars, 0)] * there[..., None]).sum(1) / np.maximum(there.sum(1), 1)[:, None]
-        return np.concatenate([self.p["word"][x.word], chars], 1).astype(np.float32)
+        out = np.empty((len(x.word), 2 * WIDTH), np.float32)
+        out[:, :WIDTH] = self.p["word"][x.word]
+        for i in range(0, len(out), 1 << 14):
+            rows = x.chars[i : i + (1 << 14)]
+            there = rows >= 0
+            out[i : i + (1 << 14), WIDTH:] = (self.p["char"][np.where(there, rows, 0)] * there[..., None]).sum(1) / np.maximum(there.sum(1), 1)[:, None]
+        return out
 
     def _run(self, proj: np.ndarray, mask: np.ndarray, way: str, keep: list | None) -> np.ndarray:
         """States of one way; proj (steps, batch, 3 hidden) in that way's order."""
@@ -237,7 +244,7 @@ def fit(texts: list[str], toxic: list[int], curve: list[bool], seed: int = 5) ->
     char_odds = _odds(own, text_of_word[known], y, x.chars, ROWS)
     net.p["word"][:, 0], net.p["char"][:, 0] = word_odds / 2, char_odds / 2
     windows, text = x.windows()
-    suspicion = np.append(word_odds[x.word] + np.where(x.chars >= 0, char_odds[x.chars], -2).max(1), -9)[windows].max(1)
+    suspicion = np.append(word_odds[x.word] + np.where(x.chars >= 0, char_odds[x.chars], -2).max(1), -9).astype(np.float32)[windows].max(1)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
     usable = learn[text]
@@ -269,7 +276,7 @@ def fit(texts: list[str], toxic: list[int], curve: list[bool], seed: int = 5) ->
                     total = np.zeros((len(rows), WIDTH), np.float32)
                     np.add.at(total, back, d[1])
                     second[rows] += total**2
-                    net.p[k][rows] -= 0.05 * total / (np.sqrt(second[rows]) + 1e-6)
+                    net.p[k][rows] -= TABLE_RATE * total / (np.sqrt(second[rows]) + 1e-6)
                 else:
                     first[:] = 0.9 * first + 0.1 * d
                     second[:] = 0.999 * second + 0.001 * d * d

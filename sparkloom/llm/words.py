@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 U = np.uint64
 
 
@@ -43,9 +43,10 @@ class Rolling:
         np.multiply.accumulate(powers, out=powers)
         inverse = np.full(n + 1, pow(self.base, -1, 1 << 64), np.uint64)
         inverse[0] = 1
-        self.inverse = np.multiply.accumulate(inverse)
+        self.inverse = np.multiply.accumulate(inverse, out=inverse)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * powers[:n], out=self.sums[1:])
+        powers[:n] *= values
+        np.cumsum(powers[:n], out=self.sums[1:])
 
     def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.inverse[start]
