@@ -31,6 +31,7 @@ from array import array
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ END_ID = 0
 #: Bytes of text that are encoded at a time.
 SLICE = 2 << 20
 #: Encoded units are kept for the life of a worker, at most so many.
-CACHED_UNITS = 500_000
+CACHED_UNITS = 1_500_000
 
 
 def combinations(total: int, depth: int) -> list[tuple[int, ...]]:
@@ -127,37 +128,44 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         store = sys.modules.setdefault("_sparkloom_worker", types.ModuleType("_sparkloom_worker")).__dict__
         if path not in store:
-            store[path] = types.SimpleNamespace(tokenizer=Tokenizer.from_file(path), at={})
+            store[path] = types.SimpleNamespace(tokenizer=Tokenizer.from_file(path), keys=None)
         self.store, self.tokenizer = store[path], store[path].tokenizer
         self.end = np.array([end_id], "<u4").tobytes()
-        if not self.store.at:
+        if self.store.keys is None:
             self._forget()
 
     def _forget(self) -> None:
-        self.store.at = {}
+        # hashes of known pieces, sorted, and their numbers; limits and ids by number
+        self.store.keys, self.store.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.store.ids, self.store.limits = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """The number of each piece (with hash h) in the store; new ones are encoded."""
+        """The number of each piece (with hash h, sorted) in the store; new ones are encoded."""
         store = self.store
-        number = np.array([store.at.get(x, -1) for x in h.tolist()], np.int64)
+        place = np.searchsorted(store.keys, h)
+        number = np.full(len(h), -1, np.int64)
+        there = np.flatnonzero(place < len(store.keys))
+        there = there[store.keys[place[there]] == h[there]]
+        number[there] = store.numbers[place[there]]
         new = np.flatnonzero(number < 0)
         if len(new):
-            ids = self._whole([data[a:b].tobytes().decode() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
-            n = len(store.at)
+            texts = [data[a:b].tobytes().decode() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            sizes = list(map(len, ids))
+            n = len(store.keys)
             used = int(store.limits[n])
-            flat = np.frombuffer(b"".join(ids), np.uint32)
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, sum(sizes))
             while len(store.limits) <= n + len(new):
                 store.limits = np.concatenate([store.limits, np.zeros_like(store.limits)])
             while len(store.ids) < used + len(flat):
                 store.ids = np.concatenate([store.ids, np.zeros_like(store.ids)])
             store.ids[used : used + len(flat)] = flat
-            store.limits[n + 1 : n + 1 + len(new)] = used + np.cumsum([len(x) // 4 for x in ids])
+            store.limits[n + 1 : n + 1 + len(new)] = used + np.cumsum(sizes)
             number[new] = np.arange(n, n + len(new))
-            store.at.update(zip(h[new].tolist(), number[new].tolist(), strict=True))
+            store.keys, store.numbers = np.insert(store.keys, place[new], h[new]), np.insert(store.numbers, place[new], number[new])
         return number
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -182,7 +190,7 @@ class Encoder:
         other = np.r_[0, np.cumsum(~_latin(data))]
         inner = start_ + (data[start_] == 32)
         base = np.where((base > inner) & (other[base] == other[inner]), base, end_)
-        if len(self.store.at) > CACHED_UNITS:
+        if len(self.store.keys) > CACHED_UNITS:
             self._forget()
         a, b = np.r_[start_, base], np.r_[base, end_]
         h, which, back = np.unique(roll.runs(a, b), return_index=True, return_inverse=True)
