@@ -245,3 +245,18 @@ def test_streams(spark, folder, tmp_path):
         q = build(stream).writeStream.outputMode("append" if name == "user_sessions" else "update").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination()
         assert spark.table(name).count() > 0
+
+
+def test_decisions_partition_the_samples(spark):
+    rows = [(f"{e}{q}{o}", bool(e), q, o) for e in (0, 1) for q in (0, 1, 3) for o in (0, 2)]
+    got = corpus.admit(spark.createDataFrame(rows, "question_id string, executable boolean, question_errors int, other_errors int")).collect()
+    assert len(got) == len(rows) and {r.decision for r in got} == {"accepted", "rejected", "unresolved"}
+    assert all(r.executable and not r.question_errors and not r.other_errors for r in got if r.decision == "accepted")
+
+
+def test_tasks_go_on_across_batches(spark):
+    whole = {r.task_id: (r.main_scenario, r.sub_scenario, r.complexity_level, r.use_case) for r in workload.tasks(spark, 75).collect()}
+    parts = {}
+    for start in (0, 25, 50):
+        parts |= {r.task_id: (r.main_scenario, r.sub_scenario, r.complexity_level, r.use_case) for r in workload.tasks(spark, 25, start).collect()}
+    assert whole == parts and len({x[:3] for x in whole.values()}) == 36
