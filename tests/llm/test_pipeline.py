@@ -19,7 +19,7 @@ def test_stages(spark, folder):
         assert ids <= {r.doc_id for r in before.select("doc_id").collect()} and len(ids) == seen[-1]
         if name == "substring_dedup":
             assert docs.where("n_chars <> char_length(text)").count() == 0
-    assert seen[0] > seen[1] > seen[2] == seen[3] > seen[4] > 0
+    assert seen[0] >= seen[1] > seen[2] == seen[3] > seen[4] > 0
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == ids
 
