@@ -383,3 +383,16 @@ def keep_first(documents: DataFrame, key: str = "doc_id", text: str = "text", k:
     found = components(documents, key, text, k, percent)
     stay = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
     return documents.join(stay, key, "left_semi").dropDuplicates([key, text]).unionByName(documents.where(F.col(key).isNull()))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+places AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS sh FROM places),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+e AS (SELECT x AS u, y AS v FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT u AS node, v AS reach FROM e UNION SELECT r.node, e.v FROM r JOIN e ON r.reach = e.u)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(m.low, w.doc_id)) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT node, min(reach) AS low FROM r GROUP BY node) m ON m.node = w.doc_id"""
