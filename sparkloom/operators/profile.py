@@ -31,34 +31,44 @@ def entropy_level(distinct: Column, rows: Column) -> Column:
     return F.when(F.coalesce(distinct, F.lit(0)) == 0, "medium").when(ratio < LOW, "low").when(ratio > HIGH, "high").otherwise("medium")
 
 
-def column_values(df: DataFrame) -> DataFrame:
-    """(ordinal, value): each distinct value of each column, nulls left out, as text."""
-    pairs = F.array(*(F.struct(F.lit(i).alias("ordinal"), F.col(f"`{f.name}`").cast("string").alias("value")) for i, f in enumerate(df.schema)))
-    return df.select(F.inline(pairs)).where("value IS NOT NULL").distinct()
+def column_values(frames: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, ordinal, value): each distinct value of each column, nulls left out, as text."""
 
+    def pairs(table: str, df: DataFrame) -> DataFrame:
+        fields = (F.struct(F.lit(i).alias("ordinal"), F.col(f"`{f.name}`").cast("string").alias("value")) for i, f in enumerate(df.schema))
+        return df.select(F.inline(F.array(*fields))).where("value IS NOT NULL").select(F.lit(table).alias("table_name"), "ordinal", "value")
 
-def profile(df: DataFrame, table: str, primary: list[str] | None = None, foreign: list[str] | None = None) -> DataFrame:
-    """A row for each column of df: the K1 layer of one table."""
-    primary = PRIMARY_KEYS.get(table, []) if primary is None else primary
-    foreign = [c for t, c in FOREIGN_KEYS if t == table] if foreign is None else foreign
-    values = column_values(df)
-    first = Window.partitionBy("ordinal").orderBy("value")
+    return reduce(DataFrame.unionByName, (pairs(t, d) for t, d in frames.items())).distinct()
+
+
+def profile_all(frames: dict[str, DataFrame], blocked: tuple[str, ...] = ("aid_info",), primary: dict | None = None, foreign: dict | None = None) -> DataFrame:
+    """The K1 layer: a row for each column of each table; tables whose name holds a blocked part are left out.
+
+    primary and foreign are declared keys, those of the test tables by default.
+    All tables go through one distinct of (table, column, value), whose rows
+    spread by value, so neither a long table nor a hot column is one task's.
+    """
+    use = {n: d for n, d in frames.items() if not any(b in n for b in blocked)}
+    primary, foreign = PRIMARY_KEYS if primary is None else primary, FOREIGN_KEYS if foreign is None else foreign
+    key = ["table_name", "ordinal"]
+    values = column_values(use)
+    first = Window.partitionBy(*key).orderBy("value")
     samples = values.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLES)
-    samples = samples.groupBy("ordinal").agg(F.array_sort(F.collect_list(F.substring("value", 1, SAMPLE_CHARS))).alias("sample_values"))
-    counts = values.groupBy("ordinal").agg(F.count("*").alias("n_distinct"))
-    rows = df.agg(F.count("*").alias("row_count"))
-    schema = [(table, i, f.name, f.dataType.simpleString(), kind_of(f.dataType), f.nullable, f.name in primary, f.name in foreign) for i, f in enumerate(df.schema)]
-    columns = df.sparkSession.createDataFrame(schema, "table_name string, ordinal int, column_name string, data_type string, kind string, nullable boolean, primary_key boolean, foreign_key boolean")
-    out = columns.crossJoin(rows).join(counts, "ordinal", "left").join(samples, "ordinal", "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0).cast("long")))
+    samples = samples.groupBy(*key).agg(F.array_sort(F.collect_list(F.substring("value", 1, SAMPLE_CHARS))).alias("sample_values"))
+    counts = values.groupBy(*key).agg(F.count("*").alias("n_distinct"))
+    rows = reduce(DataFrame.unionByName, (d.agg(F.count("*").alias("row_count")).select(F.lit(n).alias("table_name"), "row_count") for n, d in use.items()))
+    schema = [(t, i, f.name, f.dataType.simpleString(), kind_of(f.dataType), f.nullable, f.name in primary.get(t, []), (t, f.name) in foreign) for t, d in use.items() for i, f in enumerate(d.schema)]
+    spark = next(iter(use.values())).sparkSession
+    columns = spark.createDataFrame(schema, "table_name string, ordinal int, column_name string, data_type string, kind string, nullable boolean, primary_key boolean, foreign_key boolean")
+    # a row a column of the catalogue: small on every side
+    out = columns.join(rows, "table_name").join(counts, key, "left").join(samples, key, "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0).cast("long")))
     level = entropy_level(F.col("n_distinct"), F.col("row_count"))
     return out.select("table_name", "ordinal", "column_name", "data_type", "kind", "nullable", "primary_key", "foreign_key", "row_count", "n_distinct", level.alias("entropy_level"), F.coalesce("sample_values", F.expr("array()").cast("array<string>")).alias("sample_values"))
 
 
-def profile_all(frames: dict[str, DataFrame], blocked: tuple[str, ...] = ("aid_info",), primary: dict | None = None, foreign: dict | None = None) -> DataFrame:
-    """K1 of several tables; those whose name holds a blocked part are left out. primary and foreign: declared keys, those of the test tables by default."""
-    use = {n: d for n, d in frames.items() if not any(b in n for b in blocked)}
-    own = lambda n: (None if primary is None else primary.get(n, []), None if foreign is None else [c for t, c in foreign if t == n])
-    return reduce(DataFrame.unionByName, (profile(d, n, *own(n)) for n, d in use.items()))
+def profile(df: DataFrame, table: str, primary: list[str] | None = None, foreign: list[str] | None = None) -> DataFrame:
+    """K1 of one table."""
+    return profile_all({table: df}, (), None if primary is None else {table: primary}, None if foreign is None else {(table, c): None for c in foreign})
 
 
 def ddl(columns: DataFrame, comments: bool = False) -> DataFrame:
