@@ -37,6 +37,13 @@ def _(t):
     return t.orders.where(F.col("o_totalprice").between(1000, 50000) & (F.col("o_custkey") >= 10) & (F.col("o_orderkey") < 10000)).select("o_orderkey", "o_totalprice")
 
 
+@query("flt02_ranges_whole", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 1000 AND 50000 AND o_orderdate >= TIMESTAMP '1995-07-01' AND o_orderdate < TIMESTAMP '2000-01-01'")
+def _(t):
+    # ranges of values, not of keys: the share of orders is the same in every table
+    span = (F.col("o_orderdate") >= F.lit("1995-07-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp_ntz"))
+    return t.orders.where(F.col("o_totalprice").between(1000, 50000) & span).select("o_orderkey", "o_totalprice")
+
+
 @query("flt03_and_or", "SELECT p_partkey FROM part WHERE (p_size < 10 OR p_size > 40) AND NOT (p_retailprice > 1500 AND p_brand = 'Brand#4')")
 def _(t):
     return t.part.where(((F.col("p_size") < 10) | (F.col("p_size") > 40)) & ~((F.col("p_retailprice") > 1500) & (F.col("p_brand") == "Brand#4"))).select("p_partkey")

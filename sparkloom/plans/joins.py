@@ -33,6 +33,19 @@ def _(t):
     return c.join(s, on, "left").unionByName(s.join(c, on, "left_anti").select(F.lit(None).cast("bigint").alias("c_custkey"), "s_suppkey"))
 
 
+@query("jon04_full_whole", "SELECT c.c_custkey, o.o_orderkey FROM customer c FULL JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 400000")
+def _(t):
+    # both tables whole: cheap orders and customers without a dear one stand alone
+    return t.customer.join(t.orders, (F.col("c_custkey") == F.col("o_custkey")) & (F.col("o_totalprice") > 400000), "full").select("c_custkey", "o_orderkey")
+
+
+@query("jon04_full_whole_rewrite", "SELECT c.c_custkey, o.o_orderkey FROM customer c FULL JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 400000")
+def _(t):
+    c, o = t.customer.select("c_custkey"), t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    on = (F.col("c_custkey") == F.col("o_custkey")) & (F.col("o_totalprice") > 400000)
+    return c.join(o, on, "left").select("c_custkey", "o_orderkey").unionByName(o.join(c, on, "left_anti").select(F.lit(None).cast("bigint").alias("c_custkey"), "o_orderkey"))
+
+
 @query("jon05_cross", "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n")
 def _(t):
     # both are fixed tables of a few rows
