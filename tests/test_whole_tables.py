@@ -2,6 +2,7 @@
 
 import pytest
 
+from sparkloom.plans import sets
 from sparkloom.plans.surface import QUERIES
 
 
@@ -20,3 +21,16 @@ def test_ranges_know_no_key(spark, folder, tmp_path):
     orders = spark.read.parquet(f"{folder}/orders.parquet")
     orders.withColumn("o_orderkey", orders.o_orderkey + 1_000_000_000).write.parquet(f"{tmp_path}/orders.parquet")
     assert QUERIES["flt02_ranges_whole"](spark, str(tmp_path)).count() == before > 0
+
+
+@pytest.mark.parametrize("stretch", [7, 4096])
+def test_every_order_is_ranked(stretch, spark, folder, monkeypatch):
+    monkeypatch.setattr(sets, "RANK_STRETCH", stretch)
+    rows = sorted(QUERIES["srt04_null_placement_whole"](spark, folder).collect(), key=lambda r: r.r)
+    orders = spark.read.parquet(f"{folder}/orders.parquet").collect()
+    status = {o.o_orderkey: None if o.o_orderstatus == "F" else o.o_orderstatus for o in orders}
+    assert [r.r for r in rows] == list(range(1, len(orders) + 1))
+    right = sorted(k for k, s in status.items() if s)
+    right.sort(key=lambda k: status[k], reverse=True)
+    right += sorted(k for k, s in status.items() if s is None)
+    assert [r.o_orderkey for r in rows] == right and rows[0].status and rows[-1].status is None
