@@ -19,7 +19,8 @@ Results for odd input: null or empty html gives an empty text; a null url, or
 one without ``://``, has the empty host, which is a host like any other; a page
 in which the root is missing is read from its body; unclosed and stray tags
 are tolerated, comments and raw elements without an end run to the end of the
-page, nesting beyond ``DEEPEST`` counts as inline; repeated rows give repeated
+page (a self-closed svg is empty, ``<svg-icon>`` an element like any other),
+nesting beyond ``DEEPEST`` counts as inline; repeated rows give repeated
 results; an empty table gives an empty result; extra columns are left out.
 """
 
@@ -59,7 +60,7 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dial
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login register social share sharing sidebar sidebars rail menu menus navbar nav navigation breadcrumb breadcrumbs footer masthead comment comments disqus reply replies respond discussion related recommended recommendations widget widgets toolbar pagination pager search hidden disclaimer".split())
 ROOT_NOISE = frozenset("comment comments reply replies ad ads advert advertisement related promo sponsored teaser".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>%s)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)" % "|".join(RAW), re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<svg(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*/>|<(?P<raw>%s)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)" % "|".join(RAW), re.S | re.I)
 ATTRIBUTE = re.compile(r"(?i)(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
