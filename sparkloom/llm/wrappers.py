@@ -20,7 +20,8 @@ one without ``://``, has the empty host, which is a host like any other; a page
 in which the root is missing is read from its body; unclosed and stray tags
 are tolerated, comments and raw elements without an end run to the end of the
 page (a self-closed svg is empty, ``<svg-icon>`` an element like any other),
-nesting beyond ``DEEPEST`` counts as inline; repeated rows give repeated
+the wrapper, which is packed recursively, ends at depth ``DEEPEST``, while pages
+are read at any depth; repeated rows give repeated
 results; an empty table gives an empty result; extra columns are left out.
 """
 
@@ -122,8 +123,22 @@ class Node:
 
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name or text, attributes) with implied ends: kind is open, close, void or text."""
+    """(kind, name or text, attributes) with implied ends: kind is open, close, void or text. Opens and closes balance at any depth."""
     stack: list[str] = []
+    places: dict[str, list[int]] = {}  # where the stack has each name
+
+    def last(names: frozenset[str]) -> int:
+        at = -1
+        for n in names:
+            if (found := places.get(n)) and found[-1] > at:
+                at = found[-1]
+        return at
+
+    def pop() -> tuple[str, str, str]:
+        top = stack.pop()
+        places[top].pop()
+        return "close", top, ""
+
     for m in TOKEN.finditer(page):
         if (text := m["text"]) is not None:
             yield "text", text, ""
@@ -132,12 +147,10 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             continue
         name = m["name"].lower()
         if m["end"]:
-            if name in stack:
-                while True:
-                    top = stack.pop()
-                    yield "close", top, ""
-                    if top == name:
-                        break
+            if places.get(name):
+                at = places[name][-1]
+                while len(stack) > at:
+                    yield pop()
             elif name in ("p", "br"):
                 yield "void", "br", ""
             continue
@@ -145,25 +158,28 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
         if name in ENDS_P:
             closes = closes | {"p"}
         if closes:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i] in closes or (stack[i] in HOLDS and stack[i] not in closes)), -1)
-            while at >= 0 and stack[at] in closes:
+            at = last(closes)
+            if at >= 0 and at < last(HOLDS - closes):
+                at = -1
+            while at >= 0:
                 while len(stack) > at:
-                    yield "close", stack.pop(), ""
+                    yield pop()
                 at = len(stack) - 1 if stack and stack[-1] in closes else -1
         if name in VOID or m["attrs"].endswith("/") and name not in BLOCK:
             yield "void", name, m["attrs"]
-        elif len(stack) < DEEPEST:
+        else:
+            places.setdefault(name, []).append(len(stack))
             stack.append(name)
             yield "open", name, m["attrs"]
     while stack:
-        yield "close", stack.pop(), ""
+        yield pop()
 
 
 def tree(page: str) -> Node:
-    """The page as nested tokens, each repeated run of siblings folded."""
+    """The page as nested tokens down to DEEPEST, each repeated run of siblings folded; what is below counts as text of the deepest."""
     root, path = Node(""), []
     path.append(root)
-    in_link = 0
+    in_link = surplus = 0
     for kind, x, attrs in events(page):
         if kind == "text":
             if x.isspace():
@@ -171,14 +187,20 @@ def tree(page: str) -> Node:
             size = len(x.strip())
             path[-1].kids.append(Node("#", text=zlib.crc32(x.strip().encode("utf-8", "replace")), size=size, links=size if in_link else 0))
         elif kind == "open":
+            in_link += x == "a"
+            if len(path) > DEEPEST:
+                surplus += 1
+                continue
             marks = _marks(attrs)
             node = Node(f"{x} {marks}" if marks else x)
             path[-1].kids.append(node)
             path.append(node)
-            in_link += x == "a"
         elif kind == "close":
-            node = path.pop()
             in_link -= x == "a"
+            if surplus:
+                surplus -= 1
+                continue
+            node = path.pop()
             node.kids = fold(node.kids)
         elif x != "br":
             path[-1].kids.append(Node(x))
