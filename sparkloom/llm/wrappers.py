@@ -13,7 +13,9 @@ From the wrapper the host's content root is chosen: an article or main element
 if one holds text, else the lowest element that holds all text which isn't
 boilerplate (by tag, by class, id or role, by being mostly links, or by being
 the same text on every page). A page's main text is what stands below that root,
-without boilerplate elements.
+without boilerplate elements; there, a class or id has to be a layout name as
+a whole, and one of everyday words counts only if the wrapper shows a constant
+text or mostly links.
 
 Results for odd input: null or empty html gives an empty text; a null url, or
 one without ``://``, has the empty host, which is a host like any other; a page
@@ -60,6 +62,10 @@ NOISE_TAGS = frozenset("head nav footer aside form button input dialog menu obje
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login register social share sharing sidebar sidebars rail menu menus navbar nav navigation breadcrumb breadcrumbs footer masthead comment comments disqus reply replies respond discussion related recommended recommendations widget widgets toolbar pagination pager search hidden disclaimer".split())
 ROOT_NOISE = frozenset("comment comments reply replies ad ads advert advertisement related promo sponsored teaser".split())
+#: Inside content a mark counts only if it is a layout name as a whole: these words, and one of noise. Words that aren't SURE may be a title's: the wrapper has to confirm them.
+LAYOUT_WORDS = frozenset("area bar block body bottom box btn button buttons col column container content desktop dropdown entry fixed form global group head header heading icon icons inline inner item items left link links list local main mobile outer page panel post posts primary right row secondary section site slot sticky text thread title toggle top unit wrap wrapper".split())
+SURE = frozenset("ad ads adv advert adverts advertisement adsense breadcrumb breadcrumbs comment comments disqus gdpr masthead navbar sidebar sidebars".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<svg(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*/>|<(?P<raw>%s)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)" % "|".join(RAW), re.S | re.I)
 ATTRIBUTE = re.compile(r"(?i)(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -85,8 +91,8 @@ def _marks(attrs: str) -> str:
     return " ".join(sorted(set(found)))
 
 
-def is_noise(token: str, inside_content: bool) -> bool:
-    """Whether an element of this token is boilerplate; inside_content: below an article or main element."""
+def is_noise(token: str, inside_content: bool, confirmed: frozenset[str] | None = None) -> bool:
+    """Whether an element of this token is boilerplate; inside_content: below an article or main element; confirmed: inside content, the host's tokens for which doubtful marks hold."""
     name, _, marks = token.partition(" ")
     if name in NOISE_TAGS or (name == "header" and not inside_content):
         return True
@@ -102,7 +108,15 @@ def is_noise(token: str, inside_content: bool) -> bool:
         parts = {x.lower() for x in WORD.findall(mark)}
         if parts & {"no", "has", "with", "without"}:
             continue
-        if parts & (ROOT_NOISE if name in ("article", "main") else NOISE_WORDS):
+        own = name in ("article", "main")
+        noise = parts & (ROOT_NOISE if own else NOISE_WORDS)
+        if not noise:
+            continue
+        if confirmed is None and not own:
+            return True
+        if name in HEADINGS or parts - noise - NOISE_WORDS - LAYOUT_WORDS:
+            continue
+        if confirmed is None or token in confirmed or noise & (SURE | ROOT_NOISE - {"related", "promo"} if own else SURE):
             return True
     return False
 
@@ -276,7 +290,26 @@ def expression(node: Node) -> str:
     return f"({body}){node.flag}" if node.flag else body
 
 
-def content_root(wrapper: Node, pages: int) -> list[str] | None:
+def confirmed_noise(wrapper: Node, pages: int) -> frozenset[str]:
+    """Tokens with marks of noise whose text is mostly links, or the same on every page of a host."""
+    found: dict[str, list[int]] = {}
+
+    def visit(node: Node, always: bool) -> tuple[int, int, int]:
+        """Characters below node, those within links, and those of constant texts."""
+        always = always and node.flag in ("", "+")
+        if node.token == "#":
+            return node.size, node.links, node.size if always and node.text is not None and pages >= CONSTANT_PAGES else 0
+        below = [visit(k, always) for k in node.kids]
+        sums = [sum(x[i] for x in below) for i in range(3)]
+        if " " in node.token and is_noise(node.token, True):
+            found[node.token] = [a + b for a, b in zip(found.get(node.token, (0, 0, 0)), sums, strict=True)]
+        return tuple(sums)
+
+    visit(wrapper, True)
+    return frozenset(t for t, (size, links, constant) in found.items() if constant == size or links >= LINK_SHARE * size)
+
+
+def content_root(wrapper: Node, pages: int, confirmed: frozenset[str] = frozenset()) -> list[str] | None:
     """Tokens from the top to the content root of a host; None if it has no text of its own."""
 
     def live(node: Node, inside: bool, tags_only: bool) -> tuple[int, int]:
@@ -285,7 +318,7 @@ def content_root(wrapper: Node, pages: int) -> list[str] | None:
             constant = node.text is not None and pages >= CONSTANT_PAGES
             return (0, 0) if constant else (node.size, node.links)
         name = node.token.partition(" ")[0]
-        if name in NOISE_TAGS if tags_only else is_noise(node.token, inside):
+        if name in NOISE_TAGS if tags_only else is_noise(node.token, inside, confirmed if inside else None):
             return 0, 0
         below = [live(k, inside or name in ("article", "main"), tags_only) for k in node.kids]
         size, links = sum(x[0] for x in below), sum(x[1] for x in below)
@@ -325,7 +358,7 @@ def content_root(wrapper: Node, pages: int) -> list[str] | None:
     return None
 
 
-def main_text(page: str, root: list[str] | None) -> str:
+def main_text(page: str, root: list[str] | None, confirmed: frozenset[str] = frozenset()) -> str:
     """Blocks below the content root, in page order, joined by an empty line."""
     blocks: list[str] = []
     held: list[str] = []
@@ -358,7 +391,7 @@ def main_text(page: str, root: list[str] | None) -> str:
             path.append(token)
             if inside and x in BLOCK:
                 end()
-            if skipped < 0 and is_noise(token, content > 0):
+            if skipped < 0 and is_noise(token, content > 0, confirmed if content or depth and inside else None):
                 skipped = len(path)
             content += x in ("article", "main")
             if depth and not inside and skipped < 0 and len(path) == depth and path == root:
@@ -376,7 +409,7 @@ def main_text(page: str, root: list[str] | None) -> str:
                 inside = False
     end()
     if depth and not found:
-        return main_text(page, None)
+        return main_text(page, None, confirmed)
     return "\n\n".join(blocks)
 
 
@@ -384,7 +417,7 @@ HOST = "translate(regexp_extract({url}, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRS
 
 
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Per host: host, pages, wrapper (as an expression), root (JSON of the content root's path, or null)."""
+    """Per host: host, pages, wrapper (as an expression), root (JSON of the content root's path, or null), noise (JSON of confirmed tokens)."""
     rows = pages.select(F.coalesce(F.expr(HOST.format(url=f"`{url}`")), F.lit("")).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,26 +443,27 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
         for pages_, text in sorted(zip(table["pages"].to_pylist(), table["wrapper"].to_pylist(), strict=True)):
             node = Node.unpacked(json.loads(text))
             n, wrapper = n + pages_, node if wrapper is None else _both(wrapper, node, False)
-        root = content_root(wrapper, n)
-        return pa.table({"host": table["host"][:1].cast(pa.string()), "pages": pa.array([n], pa.int64()), "wrapper": pa.array([expression(wrapper)], pa.string()), "root": pa.array([None if root is None else json.dumps(root)], pa.string())})
+        noise = confirmed_noise(wrapper, n)
+        root = content_root(wrapper, n, noise)
+        return pa.table({"host": table["host"][:1].cast(pa.string()), "pages": pa.array([n], pa.int64()), "wrapper": pa.array([expression(wrapper)], pa.string()), "root": pa.array([None if root is None else json.dumps(root)], pa.string()), "noise": pa.array([json.dumps(sorted(noise))], pa.string())})
 
-    return rows.mapInArrow(partial, "host string, pages long, wrapper string").groupBy("host").applyInArrow(joined, "host string, pages long, wrapper string, root string")
+    return rows.mapInArrow(partial, "host string, pages long, wrapper string").groupBy("host").applyInArrow(joined, "host string, pages long, wrapper string, root string, noise string")
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per page: key, url, text, n_chars."""
-    roots = checkpointed(wrappers(pages, url, html).select(F.col("host").alias("_host"), "root"))
+    roots = checkpointed(wrappers(pages, url, html).select(F.col("host").alias("_host"), "root", "noise"))
     rows = pages.select(key, url, F.col(html).alias("html"), F.coalesce(F.expr(HOST.format(url=f"`{url}`")), F.lit("")).alias("_host"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str | None, list | None] = {None: None}
+        known: dict[tuple, tuple] = {}
         for whole in batches:
             for batch in slices(whole, "html"):
                 texts = []
-                for page, root in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    if root not in known:
-                        known[root] = json.loads(root)
-                    texts.append(main_text(page or "", known[root]))
+                for page, *of in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                    if (of := tuple(of)) not in known:
+                        known[of] = of[0] and json.loads(of[0]), frozenset(json.loads(of[1] or "[]"))
+                    texts.append(main_text(page or "", *known[of]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[key, url, "text", "n_chars"])
 
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (key, url)}
@@ -438,4 +472,4 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     else:  # a host may hold a third of the pages
         salted = rows.withColumn("_salt", F.pmod(F.xxhash64(key, "html"), F.lit(SALTS)))
         joined = salted.join(roots.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_host", "_salt"], "left")
-    return joined.select(key, url, "html", "root").mapInArrow(run, f"`{key}` {kinds[key]}, `{url}` {kinds[url]}, text string, n_chars long")
+    return joined.select(key, url, "html", "root", "noise").mapInArrow(run, f"`{key}` {kinds[key]}, `{url}` {kinds[url]}, text string, n_chars long")

@@ -82,3 +82,19 @@ def plain_events(page):
     while stack:
         pop()
     return out
+
+
+SLUGS = ['<h2 id="search-algorithms">t</h2><p>x{n}</p>', '<h2 id="search">t</h2><p>x{n}</p>', '<section id="discussion"><h2>t</h2><p>x{n}</p></section>', '<div id="related-work"><h3>t</h3><p>x{n}</p></div>', '<section id="alert-rules"><p>t</p><p>x{n}</p></section>', '<div class="notice"><p>t</p><p>x{n}</p></div>']
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+@pytest.mark.parametrize("pages", [1, 4])
+def test_title_words_are_no_boilerplate(spark, tag, pages):
+    for url in ("http://h{}.com/", "http://one.com/{}"):
+        made = [f"<html><body><div class='menu'><a href='/'>home</a></div><{tag} class='body'><p>one{n}{i}</p>{x.replace('{n}', str(n))}<p>two{n}</p></{tag}></body></html>" for n in range(pages) for i, x in enumerate(SLUGS)]
+        assert texts(spark, made, url) == [f"one{n}{i}\n\nt\n\nx{n}\n\ntwo{n}" for n in range(pages) for i in range(len(SLUGS))]
+
+
+def test_wrappers_confirm_boilerplate(spark):
+    page = "<html><body><article><p>one{n}</p><div class='share-buttons'>Tell your friends</div><div id='related'><a href='/{n}'>more {n}</a></div><div class='ad-slot'>buy {n}</div><p>two{n}</p></article></body></html>"
+    assert texts(spark, [page.replace("{n}", str(n)) for n in range(4)], "http://one.com/{}") == [f"one{n}\n\ntwo{n}" for n in range(4)]
