@@ -15,7 +15,7 @@ Groups are dealt to buckets by hash. A task sends each prefix once: of equal
 windows within a slice only that of the smallest document goes on, the
 others are decided on the spot, so that a passage shared by very many documents
 sends one entry a slice. Entries travel as blobs of numbers. Prefix equality is
-that of 96 bits of hash (64 for seeds, which are only a filter).
+that of one 64-bit rolling hash (seeds are only a filter).
 
 Results for odd input: null or empty texts have no word; a null id repeats
 nothing and is no one's earlier copy, its row is kept whole; rows of one id are
