@@ -6,7 +6,7 @@ nodes and gives components, so copies are never made into pairs.
 Light sets (up to a boundary size) enumerate fixed-size subsets: two sets of a
 and b shingles are similar if they share ceil(p (a + b) / (100 + p)) of them, so
 each light set files all its subsets of that size for every partner size, and
-meeting subsets are links, with nothing left to verify.
+meeting subsets (by 128-bit keys) are links, held against the sets once more.
 
 Heavy sets (and those near the boundary, which may have a heavy partner) scan
 inverted lists. A first scan holds the shingles with the smallest hashes only:
@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import checkpointed, connected, partitions
-from .words import Rolling, U, Words, by_bucket, grams, joined, mix, slices
+from .words import U, Words, by_bucket, grams, joined, mix, run_hashes, slices
 
 #: Sets up to this size may be light; they travel with the table of nodes.
 LIGHT_MOST = 32
@@ -69,12 +69,12 @@ def demand(n):
 def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, hash) of every distinct shingle, sorted, and the number of shingles of each text."""
     w = Words(texts, lower=True)
-    h, at = grams(w, k)
+    h, at, values = grams(w, k)
     of = w.text_of[at]
-    short = np.flatnonzero((w.counts > 0) & (w.counts < k))
-    if len(short):
-        whole = Rolling(w.hashes()).runs(w.first[short], w.first[short + 1])
-        h, of = np.r_[h, whole], np.r_[of, short]
+    for n in range(1, k):
+        short = np.flatnonzero(w.counts == n)
+        if len(short):
+            h, of = np.r_[h, run_hashes(values, n)[w.first[short]]], np.r_[of, short]
     order = np.lexsort((h, of))
     h, of = h[order], of[order]
     new = np.ones(len(h), bool)
@@ -93,19 +93,20 @@ def digests(of: np.ndarray, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return mix(sums + counts.astype(np.uint64) * U(0xA0761D6478BD642F)).view(np.int64)
 
 
-def nodes_of(documents: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(id, n, node, small): the set's size and digest; its shingles if it may be light."""
+def nodes_of(documents: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
+    """(id, text_hash, n, node, small, low): the set's size and digest; its shingles if it may be light; its smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, whole.schema.names[1]):
                 of, h, n = shingles(batch.column(1), k)
-                ends = np.cumsum(n)
-                small = [h[e - c : e].tobytes() if 0 < c <= LIGHT_MOST else None for c, e in zip(n.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(digests(of, h, n)), pa.array(small, pa.binary())], names=["id", "n", "node", "small"])
+                start, size = (np.cumsum(n) - n).tolist(), n.tolist()
+                small = [h[a : a + c].tobytes() if 0 < c <= LIGHT_MOST else None for a, c in zip(start, size, strict=True)]
+                low = [h[a : a + c].tobytes() for a, c in zip(start, (n - least(n, percent) + demand(n)).tolist(), strict=True)]  # a set's hashes are sorted
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(digests(of, h, n)), pa.array(small, pa.binary()), pa.array(low, pa.binary())], names=["id", "text_hash", "n", "node", "small", "low"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n long, node long, small binary")
+    return documents.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, f"id {kind}, text_hash long, n long, node long, small binary, low binary")
 
 
 def boundary(sizes: dict[int, int], percent: int) -> int:
@@ -123,36 +124,54 @@ def boundary(sizes: dict[int, int], percent: int) -> int:
 
 
 def light_links(nodes: DataFrame, most: int, percent: int) -> DataFrame:
-    """Links (u, v) among sets of up to ``most`` shingles: a star around the smallest node of each shared subset."""
+    """Links (u, v) among sets of up to ``most`` shingles: a star around the smallest node of each shared subset.
+
+    A subset's key is 128 bits; each link is held against the sets themselves.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_key, out_node, out_n, out_same = [], [], [], []
+            out: list[list] = [[], [], [], [], []]
             n_all = batch.column(1).to_numpy(zero_copy_only=False)
             node_all = batch.column(0).to_numpy(zero_copy_only=False)
             blobs = batch.column(2)
             for a in np.unique(n_all).tolist():
                 rows = np.flatnonzero(n_all == a)
                 sets = np.frombuffer(b"".join(blobs[int(i)].as_py() for i in rows), np.uint64).reshape(-1, a)
-                sets = mix(sets ^ U(0x2545F4914F6CDD1D))
-                total = sets.sum(1, dtype=np.uint64)
+                lanes = [mix(sets ^ U(c)) for c in (0x2545F4914F6CDD1D, 0xA24BAED4963EE407)]
                 for b in range(least(a, percent), min(most, 100 * a // percent) + 1):
                     o = overlap(a, b, percent)
                     if o > min(a, b):
                         continue
                     gone = np.array(list(combinations(range(a), a - o)), np.int64).reshape(comb(a, o), a - o)
+                    sizes = U(min(a, b) * 1_000_003 + max(a, b))
                     for i in range(0, len(rows), 4096):
-                        left = total[i : i + 4096, None] - sets[i : i + 4096][:, gone].sum(2, dtype=np.uint64)
-                        out_key.append(mix(left + U(min(a, b) * 1_000_003 + max(a, b))).ravel().view(np.int64))
-                        out_node.append(np.repeat(node_all[rows[i : i + 4096]], len(gone)))
-                        out_n.append(np.full(left.size, a))
-                        out_same.append(np.full(left.size, a == b))
-            if out_key:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_key, out_node, out_n, out_same)], names=["key", "node", "n", "same"])
-
-    filed = nodes.where(F.col("n").between(1, most)).select("node", "n", "small").mapInArrow(run, "key long, node long, n long, same boolean").distinct()
-    stars = filed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far"), ((F.min("n") < F.max("n")) | F.first("same")).alias("linked")).where("linked and hub < far")
-    return filed.join(stars, "key").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+                        for column, lane in zip(out, lanes, strict=False):
+                            part = lane[i : i + 4096]
+                            left = part.sum(1, dtype=np.uint64)[:, None] - part[:, gone].sum(2, dtype=np.uint64)
+                            column.append(mix(left + sizes).ravel().view(np.int64))
+                        out[2].append(np.repeat(node_all[rows[i : i + 4096]], len(gone)))
+                        out[3].append(np.full(left.size, a))
+                        out[4].append(np.full(left.size, a == b))
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["key", "more", "node", "n", "same"])
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    light = nodes.where(F.col("n").between(1, most)).select("node", "n", "small")
+    filed = light.mapInArrow(run, "key long, more long, node long, n long, same boolean").distinct()
+    stars = filed.groupBy("key", "more").agg(F.min("node").alias("hub"), F.max("node").alias("far"), ((F.min("n") < F.max("n")) | F.first("same")).alias("linked")).where("linked and hub < far")
+    links = filed.join(stars, ["key", "more"]).where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    sets = light.select("node", "small")
+    links = links.join(sets.toDF("u", "own"), "u").join(sets.toDF("v", "other"), "v")
+    return links.select("u", "v", "own", "other").mapInArrow(hold, "u long, v long")
 
 
 ENTRY = "bucket int, hash binary, node binary, n binary"
@@ -178,31 +197,55 @@ def _lists(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return h, node, n, np.bincount(run)[run] if len(h) else run
 
 
-def survivors(documents: DataFrame, text: str, k: int, percent: int, smallest: int) -> DataFrame:
-    """(node, n) of sets from ``smallest`` on that share enough of their smallest hashes with other sets."""
-    buckets = 2 * partitions(documents.sparkSession)
+def survivors(found: DataFrame, percent: int, smallest: int) -> DataFrame:
+    """(node, n) of sets from ``smallest`` on that share enough of their smallest hashes with other sets.
+
+    Of a hash that several sets of a batch hold, those sets are told on the spot
+    and one entry goes on, so a shingle of all documents sends one a batch.
+    """
+    buckets = 2 * partitions(found.sparkSession)
+    # n = 0 marks an entry that stands for several sets; decided rows hold counts by node
     back = pa.schema([("bucket", pa.int32()), ("node", pa.binary()), ("n", pa.binary()), ("shared", pa.binary())])
+    sent = pa.schema([*ENTRY_ARROW, ("shared", pa.binary())])
+
+    def counted(node: np.ndarray, n: np.ndarray) -> Iterator[tuple]:
+        one, at, count = np.unique(node, return_index=True, return_counts=True)
+        return by_bucket((mix(one.view(np.uint64)) % U(buckets)).astype(np.int64), one, n[at].astype(np.int32), count.astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, whole.schema.names[0]):
-                of, h, n = shingles(batch.column(0), k)
-                node = digests(of, h, n)
-                _, one = np.unique(node, return_index=True)  # copies within a slice send one
-                use = np.zeros(len(n), bool)
-                use[one] = True
-                use &= n >= smallest
-                length = np.where(use, n - least(n, percent) + demand(n), 0)
-                rank = np.arange(len(h)) - (np.cumsum(n) - n)[of]  # a set's hashes are sorted
-                take = rank < length[of]
-                yield _entries(h[take], node[of[take]], n[of[take]], buckets)
+            for batch in slices(whole, "low"):
+                node, one = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)  # copies send one
+                n = batch.column(1).to_numpy(zero_copy_only=False)[one]
+                blobs = batch.column(2).take(pa.array(one)).to_pylist()
+                size = np.array([len(b) // 8 for b in blobs], np.int64)
+                h = np.frombuffer(b"".join(blobs), np.uint64)
+                of = np.repeat(np.arange(len(one)), size)
+                order = np.argsort(h, kind="stable")
+                h, of = h[order], of[order]
+                new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
+                single = new & np.r_[new[1:], True] if len(h) else new
+                first = new & ~single
+                go = single | first
+                rows = by_bucket((h[go] % U(buckets)).astype(np.int64), h[go], node[of[go]], np.where(single, n[of], 0)[go].astype(np.int32))
+                yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "hash", "node", "n"), r, strict=True)) for r in rows], sent)
+                told = of[~single]
+                yield pa.RecordBatch.from_pylist([dict(zip(back.names, r, strict=True)) for r in counted(node[told], n[told])], sent)
 
     def shared(table: pa.Table) -> pa.Table:
-        _, node, n, length = _lists(table)
-        several = length > 1
-        found, at, count = np.unique(node[several], return_index=True, return_counts=True)
-        rows = by_bucket((mix(found.view(np.uint64)) % U(buckets)).astype(np.int64), found, n[several][at], count.astype(np.int32))
-        return pa.Table.from_pylist([dict(zip(back.names, r, strict=True)) for r in rows], back)
+        late = table.filter(pc.is_valid(table["shared"])).select(back.names).cast(back)
+        rows = table.filter(pc.is_null(table["shared"]))
+        h, node, n = joined(rows["hash"], np.uint64), joined(rows["node"], np.int64), joined(rows["n"], np.int32)
+        order = np.lexsort((node, n, h))
+        h, node, n = h[order], node[order], n[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1]) | (n[1:] != n[:-1])
+        h, node, n = h[new], node[new], n[new]
+        run_ = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1 if len(h) else np.zeros(0, np.int64)
+        several = (np.bincount(run_) > 1) | (np.bincount(run_, n == 0) > 0) if len(h) else run_
+        keep = several[run_] & (n > 0) if len(h) else run_.astype(bool)
+        rows = pa.Table.from_pylist([dict(zip(back.names, r, strict=True)) for r in counted(node[keep], n[keep])], back)
+        return pa.concat_tables([rows, late])
 
     def enough(table: pa.Table) -> pa.Table:
         node, n, count = joined(table["node"], np.int64), joined(table["n"], np.int32).astype(np.int64), joined(table["shared"], np.int32)
@@ -212,29 +255,27 @@ def survivors(documents: DataFrame, text: str, k: int, percent: int, smallest: i
         keep = total >= demand(least(n, percent))
         return pa.table({"node": node[keep], "n": n[keep]})
 
-    filed = documents.select(text).mapInArrow(run, ENTRY).groupBy("bucket").applyInArrow(shared, "bucket int, node binary, n binary, shared binary")
+    rows = found.where(F.col("n") >= smallest).select("node", "n", "low")
+    filed = rows.mapInArrow(run, ENTRY + ", shared binary").groupBy("bucket").applyInArrow(shared, "bucket int, node binary, n binary, shared binary")
     return filed.groupBy("bucket").applyInArrow(enough, "node long, n long")
 
 
-def whole_sets(documents: DataFrame, kept: DataFrame, text: str, k: int) -> DataFrame:
-    """(node, n, hashes) of the nodes in kept."""
-
-    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, whole.schema.names[0]):
-                node = digests(*shingles(batch.column(0), k))
-                _, one = np.unique(node, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(node[one]), batch.column(0).take(pa.array(one))], names=["node", "text"])
+def whole_sets(documents: DataFrame, found: DataFrame, kept: DataFrame, text: str, k: int) -> DataFrame:
+    """(node, n, hashes) of the nodes in kept; a node may stand twice, by texts that differ in case or white space."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                _, h, n = shingles(batch.column(1), k)
+                of, h, n = shingles(batch.column(0), k)
+                node = digests(of, h, n)
+                _, one = np.unique(node, return_index=True)
                 ends = np.cumsum(n)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array([h[e - c : e].tobytes() for c, e in zip(n.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["node", "n", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[one]), pa.array(n[one]), pa.array([h[e - c : e].tobytes() for c, e in zip(n[one].tolist(), ends[one].tolist(), strict=True)], pa.binary())], names=["node", "n", "hashes"])
 
-    texts = documents.select(text).mapInArrow(tag, "node long, text string")
-    return texts.join(kept.select("node"), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(sets, "node long, n long, hashes binary")
+    # texts are found by a hash of their bytes: one row of each text is read, no text is hashed into shingles but those wanted
+    wanted = found.join(kept.select("node"), "node", "left_semi").select("text_hash").distinct()
+    texts = documents.select(F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")).join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash", "text"])
+    return texts.select("text").mapInArrow(sets, "node long, n long, hashes binary")
 
 
 def candidate_links(sets: DataFrame, percent: int) -> DataFrame:
@@ -316,7 +357,7 @@ def verified_links(sets: DataFrame, links: DataFrame, percent: int) -> DataFrame
     """Links (u, v) that join exactly the similar sets within each candidate group."""
     spark = sets.sparkSession
     groups = connected(links)
-    members = checkpointed(groups.join(sets, "node"))
+    members = checkpointed(groups.join(sets.dropDuplicates(["node"]), "node"))
     shape = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     shape = shape.select("root", F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
     rows = members.join(shape, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -358,12 +399,12 @@ def verified_links(sets: DataFrame, links: DataFrame, percent: int) -> DataFrame
 
 def components(documents: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """Per document: key, n_shingles, component_id (the smallest key reachable by links)."""
-    found = checkpointed(nodes_of(documents, key, text, k))
+    found = checkpointed(nodes_of(documents, key, text, k, percent))
     nodes = found.where("n > 0").groupBy("node", "n").agg(F.min("id").alias("id"), F.first("small").alias("small"))
     sizes = {r["n"]: r["c"] for r in nodes.where(F.col("n") <= LIGHT_MOST).groupBy("n").agg(F.count("*").alias("c")).collect()}
     most = boundary(sizes, percent)
-    kept = survivors(documents, text, k, percent, int(least(most + 1, percent)))
-    sets = checkpointed(whole_sets(documents, kept, text, k))
+    kept = survivors(found, percent, int(least(most + 1, percent)))
+    sets = checkpointed(whole_sets(documents, found, kept, text, k))
     links = verified_links(sets, candidate_links(sets, percent), percent)
     links = links.unionByName(light_links(nodes, most, percent))
     roots = connected(links)

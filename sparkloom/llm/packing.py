@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import Rolling, _table, slices
+from .words import distinct, ranges, slices
 
 WINDOW = 1024
 STEP = 8
@@ -48,7 +48,7 @@ END_ID = 0
 #: Bytes of text that are encoded at a time.
 SLICE = 2 << 20
 #: Encoded units are kept for the life of a worker, at most so many.
-CACHED_UNITS = 1_500_000
+CACHED_UNITS = 1_000_000
 
 
 def combinations(total: int, depth: int) -> list[tuple[int, ...]]:
@@ -98,7 +98,6 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 1000) -> np.ndarray:
 
 
 _ODD = re.compile(r"\s\s|\s\Z")
-_BYTES = _table(31, 256)
 _MARK = np.zeros(256, bool)
 _MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _LETTER = np.zeros(256, bool)
@@ -119,7 +118,7 @@ class Encoder:
     The tokenizer cuts a text before a space that follows something else than
     white space, and between letters and the marks after them, whatever else the
     text holds, so those are encoded apart, each once in the life of a worker
-    (known by a 64-bit hash). Texts with runs of white space are encoded whole.
+    (known by its bytes). Texts with runs of white space are encoded whole.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -135,25 +134,23 @@ class Encoder:
             self._forget()
 
     def _forget(self) -> None:
-        # hashes of known pieces, sorted, and their numbers; limits and ids by number
-        self.store.keys, self.store.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        # the number of each known piece; limits and ids by number
+        self.store.keys = {}
         self.store.ids, self.store.limits = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """The number of each piece (with hash h, sorted) in the store; new ones are encoded."""
+    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
+        """The number of each piece in the store; new ones are encoded."""
         store = self.store
-        place = np.searchsorted(store.keys, h)
-        number = np.full(len(h), -1, np.int64)
-        there = np.flatnonzero(place < len(store.keys))
-        there = there[store.keys[place[there]] == h[there]]
-        number[there] = store.numbers[place[there]]
+        if len(store.keys) + len(pieces) > CACHED_UNITS:
+            self._forget()
+        number = np.fromiter((store.keys.get(p, -1) for p in pieces), np.int64, len(pieces))
         new = np.flatnonzero(number < 0)
         if len(new):
-            texts = [data[a:b].tobytes().decode() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            fresh = [pieces[i] for i in new.tolist()]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in fresh], add_special_tokens=False)]
             sizes = list(map(len, ids))
             n = len(store.keys)
             used = int(store.limits[n])
@@ -165,7 +162,7 @@ class Encoder:
             store.ids[used : used + len(flat)] = flat
             store.limits[n + 1 : n + 1 + len(new)] = used + np.cumsum(sizes)
             number[new] = np.arange(n, n + len(new))
-            store.keys, store.numbers = np.insert(store.keys, place[new], h[new]), np.insert(store.numbers, place[new], number[new])
+            store.keys.update(zip(fresh, range(n, n + len(new)), strict=True))
         return number
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -176,33 +173,29 @@ class Encoder:
         first = data == 32
         first[limits[:-1][limits[:-1] < len(data)]] = True
         start = np.flatnonzero(first)
-        end = np.append(start[1:], len(data))
-        roll = Rolling(_BYTES[data])
-        _, one, of = np.unique(roll.runs(start, end), return_index=True, return_inverse=True)
-        start_, end_ = start[one], end[one]
+        of, units = distinct(data, np.append(start, len(data)))
+        own = np.frombuffer(b"".join(units), np.uint8)
+        ends = np.cumsum(list(map(len, units)), dtype=np.int64)
+        starts = np.r_[0, ends[:-1]] if len(ends) else ends
         # marks at the end of a unit whose rest is letters
-        base = end_.copy()
+        base = ends.copy()
         while True:
-            cut = (base > start_ + 1) & _MARK[data[base - 1]] if len(base) else np.zeros(0, bool)
+            cut = (base > starts + 1) & _MARK[own[base - 1]] if len(base) else np.zeros(0, bool)
             if not cut.any():
                 break
             base[cut] -= 1
-        other = np.r_[0, np.cumsum(~_latin(data))]
-        inner = start_ + (data[start_] == 32)
-        base = np.where((base > inner) & (other[base] == other[inner]), base, end_)
-        if len(self.store.keys) > CACHED_UNITS:
-            self._forget()
-        a, b = np.r_[start_, base], np.r_[base, end_]
-        h, which, back = np.unique(roll.runs(a, b), return_index=True, return_inverse=True)
-        number = self._pieces(data, a[which], b[which], h)[back].reshape(2, -1)
+        other = np.r_[0, np.cumsum(~_latin(own))]
+        inner = starts + (own[starts] == 32) if len(starts) else starts
+        base = np.where((base > inner) & (other[base] == other[inner]), base, ends)
+        back, pieces = distinct(own, np.append(np.stack([starts, base], 1).ravel(), len(own)))
+        number = self._numbers(pieces)[back]
         store = self.store
         size = store.limits[number + 1] - store.limits[number]
-        # ids of distinct units, then of all units, one after another
-        order = number.T.ravel()
-        unit_ids = store.ids[_ranges(store.limits[order], size.T.ravel())]
-        unit_size = size.sum(0)
+        # ids of distinct units, each of two pieces (the second may be empty), then of all units, one after another
+        unit_ids = store.ids[ranges(store.limits[number], size)]
+        unit_size = size.reshape(-1, 2).sum(1)
         unit_start = np.cumsum(unit_size) - unit_size
-        ids = unit_ids[_ranges(unit_start[of], unit_size[of])]
+        ids = unit_ids[ranges(unit_start[of], unit_size[of])]
         at = np.r_[0, np.cumsum(unit_size[of])][np.searchsorted(start, limits)]
         return [ids[x:y].tobytes() + self.end for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
@@ -216,11 +209,6 @@ class Encoder:
         return [out[i] for i in range(len(texts))]
 
 
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... (size[0] of them), start[1], ..."""
-    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-
-
 def plan(lengths: list[int], window: int = WINDOW, step: int = STEP, depth: int = DEPTH) -> list[list[tuple[int, int, int]]]:
     """Pack pieces of 1 to window - 1 tokens: a list of sequences, each a list of (piece, first token, tokens)."""
     units = window // step

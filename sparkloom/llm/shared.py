@@ -12,25 +12,33 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def unused(name: str, *taken: str) -> str:
+    """``name``, with as many underscores after it as keep it apart from the names taken (Spark doesn't tell A from a)."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
+def connected(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph: from edges (u, v) to rows (node, root), root the smallest node reachable.
 
     Alternates two star steps: each node first hands the smallest neighbour to
     its larger neighbours, then to its smaller ones. The edges shrink to stars
     around the roots in a logarithmic number of rounds; each round is written
-    to the shared folder. Nodes without edges have no row.
+    to the shared folder. It ends when a round changes nothing: in each before,
+    some edge gets smaller ends. Nodes without edges have no row.
     """
     edges = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = checkpointed(small)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = state
-    raise RuntimeError("the components didn't settle")

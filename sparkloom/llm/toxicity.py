@@ -1,90 +1,129 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word enters as two vectors, one by the whole word and one by the mean over
-its character prefixes of several lengths and its ending, both from hashed
-tables. Windows of ``WINDOW`` words start every ``STRIDE`` words and cover all of
-a text; in each, a GRU runs both ways, attention weighs its states, and the
-weighted state gives a logit. A document's logit is its highest window's, made a
-score by a logistic curve that is fitted on labelled documents the network
-didn't learn from.
-
-The network is fitted on the driver, on a bounded sample of labelled documents
-(``MAX_TOXIC`` and ``MAX_CLEAN`` of them, by order of a hash of their ids).
-Documents with crc32(doc_id as text) mod 5 = 0 are never learned from; those with
-remainder 1 set the curve. Of a toxic document, only its most suspect
-windows count as toxic. Scoring covers every document and every window.
+A word is a run of letters, digits and bytes beyond ASCII. It enters as two
+vectors, one by the whole word and one by the mean over its characters' rows (its
+beginnings of several lengths, its ending, all its inner runs of ``INNER`` bytes),
+both from hashed tables. Windows of ``WINDOW`` words start every ``STRIDE`` words and
+cover all of a text; in each, a GRU runs both ways, attention weighs its states, and
+the weighted state gives a logit. A document's evidence (the highest logit, the mean
+of the ``TOP`` highest, the mean of all) becomes a score by a logistic curve.
+
+The network is fitted on the driver, on a bounded sample of labelled documents:
+``MAX_TOXIC`` and ``MAX_CLEAN`` of them, by order of a hash of their ids, and of each
+kind no more than ``SAMPLE_BYTES``; a document that doesn't fit any more is passed
+over whole. Documents with crc32(doc_id as text) mod 5 = 0 are never learned from.
+The curve is cross-fitted: two networks learn from a half each, and the evidence they
+give for the other half sets the curve of the network that learned from both. Of a
+toxic document, its ``TOXIC_WINDOWS`` most suspect windows count as toxic (fewer of a
+short one); of a clean one the ``CLEAN_WINDOWS`` most suspect and a share
+``CLEAN_SHARE`` of the others are learned. Scoring covers every document and window.
 
 Results for odd input: null and empty texts have no window and take the lowest
 logit; a null id is not held out and has no label; labels that are null, or that
-differ among repeated rows of an id, are left out; without labels of both kinds
-every score is 0; repeated rows have equal scores; extra columns are left out.
+differ among repeated rows of an id, are left out; of an id with several texts the
+shortest is learned from; without labels of both kinds every score is 0; repeated
+rows have equal scores; extra columns are left out (:func:`with_score` keeps them,
+and takes a free name where they hold a ``score``).
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .words import Rolling, U, Words, _table, slices
+from .shared import unused
+from .words import U, Words, mix, ranges, slices
 
 WINDOW, STRIDE = 32, 16
-MAX_TOXIC, MAX_CLEAN = 1500, 2500
+MAX_TOXIC, MAX_CLEAN, SAMPLE_BYTES = 1500, 2500, 16 << 20
+TOXIC_WINDOWS, CLEAN_WINDOWS, CLEAN_SHARE = 3, 3, 0.03
 ROWS = 1 << 16
 WIDTH, HIDDEN, ATTENTION = 6, 8, 8
-PREFIXES = (2, 3, 4, 5, 6, 8)
-EPOCHS, BATCH, RATE, TABLE_RATE = 6, 256, 0.01, 0.05
-FLOOR = -12.0
-_BYTES = _table(23, 256)
+PREFIXES, INNER = (2, 3, 4, 5, 6, 8), 5
+EPOCHS, BATCH, RATE, TABLE_RATE = 2, 128, 0.005, 0.05
+#: The logit of a text without windows; how many windows count besides the highest and all; what holds the curve's weights small.
+FLOOR, TOP, RIDGE = -12.0, 4, 1.0
+#: Bytes of words: digits, letters and all beyond ASCII.
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
 class Inputs:
-    """Words of texts as indices into two tables: one row by word, several by characters (-1: none)."""
+    """Words of texts as indices into two tables: one row by word, several by its characters (those of word i: chars[limits[i] : limits[i + 1]])."""
 
     def __init__(self, texts: pa.Array):
-        w = Words(texts, lower=True)
-        letter = np.zeros(256, bool)
-        letter[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-        starts, ends = w.starts, w.ends.copy()
-        for _ in range(8):  # marks at the end
-            cut = (ends > starts + 1) & ~letter[w.data[ends - 1]] if len(ends) else np.zeros(0, bool)
-            if not cut.any():
-                break
-            ends[cut] -= 1
-        roll = Rolling(_BYTES[w.data])
-        whole = roll.runs(starts, ends)
-        self.hash, at, self.word_of = np.unique(whole, return_index=True, return_inverse=True)
-        s, e = starts[at], ends[at]
-        self.word = (whole[at] & U(ROWS - 1)).astype(np.int32)
-        chars = []
-        for n in PREFIXES:
-            chars.append(np.where(e - s >= n, (roll.runs(s, np.minimum(s + n, e)) ^ U(n * 7919)) % U(ROWS), U(ROWS)).astype(np.int32))
-        chars.append(((roll.runs(np.maximum(s, e - 4), e) ^ U(104729)) % U(ROWS)).astype(np.int32))
-        self.chars = np.stack(chars, 1) if len(s) else np.zeros((0, len(PREFIXES) + 1), np.int32)
-        self.chars[self.chars == ROWS] = -1
+        w = Words(texts, lower=True, letters=_LETTERS)
+        self.word_of, self.known = w.coded()
         self.counts, self.first = w.counts, w.first
+        self._rows()
+
+    def _rows(self) -> None:
+        """Table rows of the distinct words: by the whole word; by its beginnings, its ending and all its runs of INNER bytes."""
+        size = np.array(list(map(len, self.known)), np.int64)
+        end = np.cumsum(size)
+        start = end - size
+        data = np.frombuffer(b"".join(self.known) + bytes(8), np.uint8).astype(np.uint64)
+        run = data[: len(data) - 7].copy()  # eight bytes from each place, then fewer
+        for j in range(1, 8):
+            run |= data[j : len(data) - 7 + j] << U(8 * j)
+        row = lambda at, n, kind: (mix((run[at] & U((1 << 8 * n) - 1)) * U(257) + U(1000 * kind + n)) % U(ROWS)).astype(np.int32)
+        word, rows = [], []
+        for n in PREFIXES:
+            there = np.flatnonzero(size >= n)
+            word.append(there)
+            rows.append(row(start[there], n, 1))
+        there = np.flatnonzero(size > 0)
+        tail = np.minimum(size[there], 4)
+        word.append(there)
+        rows.append(np.where(tail == 4, row(end[there] - tail, 4, 2), row(start[there], 3, 2)).astype(np.int32))
+        many = np.maximum(size - INNER, 0)
+        word.append(np.repeat(np.arange(len(size)), many))
+        rows.append(row(ranges(start + 1, many), INNER, 3))
+        word, rows = np.concatenate(word), np.concatenate(rows)
+        order = np.argsort(word, kind="stable")
+        self.chars, self.limits = rows[order], np.searchsorted(word[order], np.arange(len(size) + 1))
+        self.word = (np.fromiter(map(zlib.crc32, self.known), np.int64, len(size)) % ROWS).astype(np.int32)
 
     @classmethod
     def of(cls, texts: list[str], chars: int = 1 << 19) -> Inputs:
         """The same for many texts, with the memory of a part of them."""
-        parts, start, total = [], 0, 0
+        words, first, total = [], 0, 0
+        numbers: dict[bytes, int] = {}
+        counts = []
         for i, t in enumerate(texts):
             total += len(t)
             if total > chars or i == len(texts) - 1:
-                parts.append(cls(pa.array(texts[start : i + 1], pa.large_string())))
-                start, total = i + 1, 0
+                w = Words(pa.array(texts[first : i + 1], pa.large_string()), lower=True, letters=_LETTERS)
+                code, known = w.coded()
+                words.append(np.array([numbers.setdefault(k, len(numbers)) for k in known], np.int64)[code])
+                counts.append(w.counts)
+                first, total = i + 1, 0
         out = cls.__new__(cls)
-        out.hash, at, back = np.unique(np.concatenate([p.hash for p in parts]), return_index=True, return_inverse=True)
-        out.word, out.chars = np.concatenate([p.word for p in parts])[at], np.concatenate([p.chars for p in parts])[at]
-        shift = np.cumsum([0, *(len(p.hash) for p in parts)])
-        out.word_of = np.concatenate([back[p.word_of + s] for p, s in zip(parts, shift, strict=False)])
-        out.counts = np.concatenate([p.counts for p in parts])
+        out.word_of, out.known, out.counts = np.concatenate(words), list(numbers), np.concatenate(counts)
         out.first = np.r_[0, np.cumsum(out.counts)]
+        out._rows()
         return out
 
+    def part(self, words: np.ndarray) -> Inputs:
+        """The table rows of some of the distinct words."""
+        out = Inputs.__new__(Inputs)
+        size = np.diff(self.limits)[words]
+        out.word, out.chars, out.limits = self.word[words], self.chars[ranges(self.limits[words], size)], np.r_[0, np.cumsum(size)]
+        return out
+
+    def mean(self, values: np.ndarray) -> np.ndarray:
+        """The mean of values (one for each of chars) over each word's."""
+        if not len(self.word):
+            return values[:0]
+        # every word has a row at least
+        return np.add.reduceat(values, self.limits[:-1]) / np.diff(self.limits).reshape(-1, *[1] * (values.ndim - 1))
+
     def windows(self, size: int = WINDOW, stride: int = STRIDE, block: int = 8192) -> tuple[np.ndarray, np.ndarray]:
         """Indices into the distinct words, (windows, size), padded by their number; and the text of each window."""
         n = self.counts
@@ -115,16 +154,14 @@ class Network:
         for way in "fb":
             self.p |= {f"x{way}": f(2 * WIDTH, 3 * HIDDEN), f"h{way}": f(HIDDEN, 3 * HIDDEN), f"c{way}": np.zeros(3 * HIDDEN, np.float32)}
         self.p |= {"wa": f(2 * HIDDEN, ATTENTION), "ba": np.zeros(ATTENTION, np.float32), "va": f(ATTENTION), "wo": f(2 * HIDDEN), "bo": np.zeros(1, np.float32)}
-        self.slope, self.shift = 1.0, 0.0
+        #: weights of a document's evidence, and the shift
+        self.curve = np.array([1.0, 0.0, 0.0, 0.0])
 
     def vectors(self, x: Inputs) -> np.ndarray:
         """Input vectors of distinct words."""
         out = np.empty((len(x.word), 2 * WIDTH), np.float32)
         out[:, :WIDTH] = self.p["word"][x.word]
-        for i in range(0, len(out), 1 << 14):
-            rows = x.chars[i : i + (1 << 14)]
-            there = rows >= 0
-            out[i : i + (1 << 14), WIDTH:] = (self.p["char"][np.where(there, rows, 0)] * there[..., None]).sum(1) / np.maximum(there.sum(1), 1)[:, None]
+        out[:, WIDTH:] = x.mean(self.p["char"][x.chars])
         return out
 
     def _run(self, proj: np.ndarray, mask: np.ndarray, way: str, keep: list | None) -> np.ndarray:
@@ -142,17 +179,25 @@ class Network:
             out[t] = h = new
         return out
 
-    def logits(self, vectors: np.ndarray, windows: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    def tables(self, vectors: np.ndarray) -> dict[str, np.ndarray]:
+        """What each distinct word adds to the gates, by way, and a row of zeros for no word."""
+        out = {}
+        for way in "fb":
+            out[way] = np.zeros((len(vectors) + 1, 3 * HIDDEN), vectors.dtype)
+            out[way][:-1] = vectors @ self.p["x" + way] + self.p["c" + way]
+        return out
+
+    def logits(self, vectors: np.ndarray, windows: np.ndarray, keep: dict | None = None, tables: dict | None = None) -> np.ndarray:
         """Logit of each window; vectors of distinct words, windows of indices into them (their number: no word)."""
         p, none = self.p, len(vectors)
+        tables = tables or self.tables(vectors)
         index = windows.T  # steps first
         mask = index < none
         states = []
         for way in "fb":
-            table = np.vstack([vectors @ p["x" + way] + p["c" + way], np.zeros((1, 3 * HIDDEN), np.float32)])
             order = slice(None) if way == "f" else slice(None, None, -1)
             cells = [] if keep is not None else None
-            states.append(self._run(table[index[order]], mask[order], way, cells)[order])
+            states.append(self._run(tables[way][index[order]], mask[order], way, cells)[order])
             if keep is not None:
                 keep[way] = cells
         s = np.concatenate(states, 2)
@@ -205,49 +250,62 @@ class Network:
         used = np.flatnonzero(np.abs(dv[:-1]).sum(1))
         dv = dv[used]
         g["word"] = (x.word[used], dv[:, :WIDTH])
-        there = x.chars[used] >= 0
-        share = dv[:, None, WIDTH:] * (there / np.maximum(there.sum(1), 1)[:, None])[..., None]
-        g["char"] = (x.chars[used][there], share[there])
+        size = np.diff(x.limits)[used]
+        g["char"] = (x.chars[ranges(x.limits[used], size)], np.repeat(dv[:, WIDTH:] / size[:, None], size, axis=0))
         return g
 
 
-def _odds(x: Inputs, text_of_word: np.ndarray, toxic: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
-    """Shrunk log-odds of toxic documents by table row; rows (distinct words, k), -1: none."""
-    word, column = np.nonzero(rows >= 0)
-    pairs = np.unique(x.word_of * (int(text_of_word.max(initial=0)) + 1) + text_of_word)
-    word_of, text_of = np.divmod(pairs, int(text_of_word.max(initial=0)) + 1)
-    limits = np.searchsorted(word_of, np.arange(len(rows) + 1))
-    seen, bad = np.zeros(n_rows), np.zeros(n_rows)
-    count = np.diff(limits)
-    harm = np.add.reduceat(np.append(toxic[text_of], 0), np.minimum(limits[:-1], len(pairs))) * (count > 0)
-    np.add.at(seen, rows[word, column], count[word])
-    np.add.at(bad, rows[word, column], harm[word])
-    rate = toxic.mean()
+def _unique(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def _odds(word_of: np.ndarray, text_of_word: np.ndarray, toxic: np.ndarray, rows: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """Shrunk log-odds of toxic documents by table row; the rows of distinct word i are rows[limits[i] : limits[i + 1]]."""
+    texts = int(text_of_word.max(initial=0)) + 1
+    word, text = np.divmod(_unique(word_of * texts + text_of_word), texts)
+    size = np.diff(limits)[word]
+    # a row counts once in a text
+    row, text = np.divmod(_unique(rows[ranges(limits[word], size)].astype(np.int64) * texts + np.repeat(text, size)), texts)
+    seen, bad = np.bincount(row, minlength=ROWS).astype(float), np.bincount(row, toxic[text], ROWS)
+    rate = toxic[np.unique(text_of_word)].mean()
     odds = np.log((bad + 4 * rate) / (seen + 4) / rate) - np.log((seen - bad + 4 * (1 - rate)) / (seen + 4) / (1 - rate))
     return np.clip(odds * seen / (seen + 3), -2, 4).astype(np.float32)
 
 
-def fit(texts: list[str], toxic: list[int], curve: list[bool], seed: int = 5) -> Network | None:
-    """Learn from texts where curve is false, set the curve by the others; None without both kinds of text."""
-    y, curve = np.array(toxic, np.float32), np.array(curve, bool)
-    learn = ~curve
-    if len({*y[learn]}) < 2:
+def fit(texts: list[str], toxic: list[int], half: list[bool], seed: int = 5) -> Network | None:
+    """A network that learned from all texts, with a curve set by networks that learned from the other half; None without both kinds of text."""
+    y, half = np.array(toxic, np.float32), np.array(half, bool)
+    if len({*y}) < 2:
         return None
-    net, rng = Network(seed), np.random.default_rng(seed)
     x = Inputs.of(texts)
-    text_of_word = np.repeat(np.arange(len(texts)), x.counts)
-    known = learn[text_of_word]
-    own = Inputs.__new__(Inputs)
-    own.word_of = x.word_of[known]
+    windows, text = x.windows()
+    net = learn(x, windows, text, y, np.ones(len(y), bool), seed)
+    own = np.zeros((len(y), 3))
+    for side in (False, True):
+        others, here = half != side, half == side
+        # where a half holds one kind only, the network itself has to do
+        judge = learn(x, windows, text, y, others, seed) if len({*y[others]}) == 2 else net
+        use = here[text]
+        number = np.cumsum(here) - 1
+        own[here] = evidence(_scored(judge, judge.vectors(x), windows[use]), number[text[use]], int(here.sum()))
+    net.curve = _curve(own, y)
+    return net
+
+
+def learn(x: Inputs, windows: np.ndarray, text: np.ndarray, y: np.ndarray, of: np.ndarray, seed: int = 5) -> Network:
+    """A network that learned from the texts in ``of``."""
+    net, rng = Network(seed), np.random.default_rng(seed)
+    text_of_word = np.repeat(np.arange(len(y)), x.counts)
+    known = of[text_of_word]
     # a first guess in one column of each table; the rest is learned
-    word_odds = _odds(own, text_of_word[known], y, x.word[:, None], ROWS)
-    char_odds = _odds(own, text_of_word[known], y, x.chars, ROWS)
+    word_odds = _odds(x.word_of[known], text_of_word[known], y, x.word, np.arange(len(x.word) + 1))
+    char_odds = _odds(x.word_of[known], text_of_word[known], y, x.chars, x.limits)
     net.p["word"][:, 0], net.p["char"][:, 0] = word_odds / 2, char_odds / 2
-    windows, text = x.windows()
-    suspicion = np.append(word_odds[x.word] + np.where(x.chars >= 0, char_odds[x.chars], -2).max(1), -9).astype(np.float32)[windows].max(1)
+    suspicion = np.append(word_odds[x.word] + np.maximum.reduceat(char_odds[x.chars], x.limits[:-1]), -9).astype(np.float32)[windows].max(1)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
-    usable = learn[text]
+    usable = of[text]
     for epoch in range(EPOCHS):
         vectors = net.vectors(x)
         if epoch:
@@ -256,61 +314,68 @@ def fit(texts: list[str], toxic: list[int], curve: list[bool], seed: int = 5) ->
         order = np.lexsort((-suspicion, text))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order)) - np.searchsorted(text[order], text[order])
-        size = np.bincount(text, minlength=len(texts))
-        bad = usable & (y[text] == 1) & (rank < np.maximum(1, np.minimum(3, size[text] // 6)))
-        clean = usable & (y[text] == 0) & ((rank < 3) | (rng.random(len(text)) < 0.03))
+        size = np.bincount(text, minlength=len(y))
+        bad = usable & (y[text] == 1) & (rank < np.maximum(1, np.minimum(TOXIC_WINDOWS, size[text] // 6)))
+        clean = usable & (y[text] == 0) & ((rank < CLEAN_WINDOWS) | (rng.random(len(text)) < CLEAN_SHARE))
         chosen = rng.permutation(np.flatnonzero(bad | clean))
         balance = max(1.0, clean.sum() / max(1, bad.sum()) / 3)
         for i in range(0, len(chosen), BATCH):
             at = chosen[i : i + BATCH]
             local, inverse = np.unique(windows[at], return_inverse=True)
-            part = Inputs.__new__(Inputs)
-            real = local[local < len(x.word)]
-            part.word, part.chars = x.word[real], x.chars[real]
+            part = x.part(local[local < len(x.word)])
             g = net.gradients(part, net.vectors(part), inverse.reshape(len(at), -1), y[text[at]], np.where(y[text[at]] == 1, balance, 1.0))
             step += 1
             for k, d in g.items():
                 first, second = moments[k]
                 if isinstance(d, tuple):
-                    rows, back = np.unique(d[0], return_inverse=True)
-                    total = np.zeros((len(rows), WIDTH), np.float32)
-                    np.add.at(total, back, d[1])
+                    order = np.argsort(d[0], kind="stable")
+                    first_of = np.flatnonzero(np.r_[True, np.diff(d[0][order]) != 0])
+                    rows, total = d[0][order][first_of], np.add.reduceat(d[1][order], first_of)
                     second[rows] += total**2
                     net.p[k][rows] -= TABLE_RATE * total / (np.sqrt(second[rows]) + 1e-6)
                 else:
                     first[:] = 0.9 * first + 0.1 * d
                     second[:] = 0.999 * second + 0.001 * d * d
                     net.p[k] -= (RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    vectors = net.vectors(x)
-    top = _highest(_scored(net, vectors, windows), text, len(texts))
-    sure = curve if len({*y[curve]}) == 2 else learn
-    net.slope, net.shift = _curve(top[sure], y[sure])
     return net
 
 
-def _curve(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve by Newton steps, with targets drawn in a little (so that it stays finite)."""
+def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights and shift of a logistic curve by Newton steps, with targets drawn in a little and weights held small (so that they stay finite)."""
     good, bad = (y == 0).sum(), (y == 1).sum()
     t = np.where(y == 1, (bad + 1) / (bad + 2), 1 / (good + 2))
-    x = np.stack([logit, np.ones_like(logit)], 1).astype(np.float64)
-    w = np.array([0.5, 0.0])
+    x = np.column_stack([x, np.ones(len(x))]).astype(np.float64)
+    w = np.zeros(x.shape[1])
+    w[0] = 0.5
+    ridge = np.r_[np.full(len(w) - 1, RIDGE), 1e-4]
     for _ in range(60):
         s = sigmoid(x @ w)
-        hess = x.T @ (x * (s * (1 - s))[:, None]) + 1e-4 * np.eye(2)
-        move = np.linalg.solve(hess, x.T @ (s - t) + 1e-4 * w)
-        w -= np.clip(move, -0.5, 0.5)
-    return max(float(w[0]), 1e-3), float(w[1])
+        hess = x.T @ (x * (s * (1 - s))[:, None]) + np.diag(ridge)
+        w -= np.clip(np.linalg.solve(hess, x.T @ (s - t) + ridge * w), -0.5, 0.5)
+    return w
 
 
 def _scored(net: Network, vectors: np.ndarray, windows: np.ndarray, block: int = 2048) -> np.ndarray:
-    parts = [net.logits(vectors, windows[i : i + block]) for i in range(0, len(windows), block)]
+    tables = net.tables(vectors)
+    parts = [net.logits(vectors, windows[i : i + block], tables=tables) for i in range(0, len(windows), block)]
     return np.concatenate(parts) if parts else np.zeros(0, np.float32)
 
 
-def _highest(logit: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
-    top = np.full(n, FLOOR)
-    np.maximum.at(top, text, logit)
-    return top
+def evidence(logit: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """Of each text: its highest window's logit, the mean of its TOP highest, and the mean of all; FLOOR without windows."""
+    out = np.full((n, 3), FLOOR)
+    if not len(logit):
+        return out
+    order = np.lexsort((-logit, text))  # text ascends already
+    logit = logit[order].astype(np.float64)
+    first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+    size = np.diff(np.r_[first, len(text)])
+    rank = np.arange(len(text)) - np.repeat(first, size)
+    at = text[first]
+    out[at, 0] = logit[first]
+    out[at, 1] = np.add.reduceat(np.where(rank < TOP, logit, 0), first) / np.minimum(size, TOP)
+    out[at, 2] = np.add.reduceat(logit, first) / size
+    return out
 
 
 def score_texts(net: Network | None, texts: pa.Array) -> np.ndarray:
@@ -318,41 +383,51 @@ def score_texts(net: Network | None, texts: pa.Array) -> np.ndarray:
         return np.zeros(len(texts))
     x = Inputs(texts)
     windows, text = x.windows()
-    top = _highest(_scored(net, net.vectors(x), windows), text, len(texts))
-    return sigmoid(net.slope * top + net.shift)
+    found = evidence(_scored(net, net.vectors(x), windows), text, len(texts))
+    return sigmoid(found @ net.curve[:-1] + net.curve[-1])
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> list:
-    """The labelled sample: rows (key, text, label, curve), bounded by MAX_TOXIC and MAX_CLEAN."""
+def training_rows(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> list[tuple]:
+    """The labelled sample: (key, text, label, half), bounded by MAX_TOXIC, MAX_CLEAN and SAMPLE_BYTES of each kind."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2")
     part = F.pmod(F.crc32(F.col("k").cast("string")), F.lit(5))
-    known = known.withColumn("part", part).where("part <> 0").withColumn("h", F.xxhash64("k"))
-    known = known.join(documents.select(F.col(key).alias("k")).distinct(), "k", "left_semi")
-    chosen = known.where("y = 1").orderBy("h", "k").limit(MAX_TOXIC).unionByName(known.where("y = 0").orderBy("h", "k").limit(MAX_CLEAN))
-    rows = documents.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "k").select("k", "text", "y", (F.col("part") == 1).alias("curve")).collect()
-    return sorted(rows, key=lambda r: (r["k"], r["text"]))
+    known = known.withColumn("part", part).where("part <> 0").select("k", "y", "part", F.xxhash64("k").alias("h"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    docs = documents.select(F.col(key).alias("k"), F.octet_length(body).alias("size"), F.xxhash64(body).alias("mark"))
+    sizes = docs.groupBy("k").agg(F.min(F.struct("size", "mark")).alias("best")).join(known, "k").select("k", "y", "part", "h", "best.size", "best.mark")
+    chosen = []
+    for kind, most in ((1, MAX_TOXIC), (0, MAX_CLEAN)):
+        held = 0
+        for r in sizes.where(F.col("y") == kind).orderBy("h", "k").limit(most).collect():
+            if held + r["size"] <= SAMPLE_BYTES:
+                held += r["size"]
+                chosen.append((r["k"], r["y"], r["part"] % 2 == 0, r["mark"]))
+    if not chosen:
+        return []
+    wanted = documents.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("k", documents.schema[key].dataType), T.StructField("y", T.IntegerType()), T.StructField("half", T.BooleanType()), T.StructField("mark", T.LongType())]))
+    rows = documents.select(F.col(key).alias("k"), body.alias("text")).withColumn("mark", F.xxhash64("text")).join(F.broadcast(wanted), ["k", "mark"])
+    return sorted(map(tuple, rows.select("k", "text", "y", "half").dropDuplicates(["k"]).collect()))
 
 
 def train(documents: DataFrame, labels: DataFrame, **names: str) -> Network | None:
     rows = training_rows(documents, labels, **names)
-    return fit([r["text"] for r in rows], [r["y"] for r in rows], [r["curve"] for r in rows])
+    return fit([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows])
 
 
-def with_score(documents: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
-    """documents with a column ``score``."""
+def with_score(documents: DataFrame, net: Network | None, text: str = "text", name: str = "score") -> DataFrame:
+    """documents with one more column, the score; ``name`` must be none of theirs (see :func:`shared.unused`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text):
                 texts = batch.column(batch.schema.get_field_index(text))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_texts(net, texts), pa.float64())], names=[*batch.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_texts(net, texts), pa.float64())], names=[*batch.schema.names, name])
 
-    fields = [(f"`{f.name}`", f.dataType.simpleString()) for f in documents.schema if f.name != "score"]
-    return documents.select(*(f[0] for f in fields)).mapInArrow(run, ", ".join(" ".join(f) for f in fields) + ", score double")
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def score(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: key, held_out, score, predicted."""
     net = train(documents, labels, key=key, text=text)
     held = F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(5)) == 0, F.lit(False))
-    return with_score(documents.select(key, text), net, text).select(key, held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return with_score(documents.select(F.col(key).alias(key), F.col(text).alias(text)), net, text, unused("score", key, text)).toDF(key, "text", "score").select(key, held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

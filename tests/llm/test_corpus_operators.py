@@ -149,9 +149,10 @@ def test_substring_dedup(spark, corpus, window, seed):
 
 
 def test_spans():
-    assert substrings.spans(np.array([], np.int32), 50) == []
-    assert substrings.spans(np.array([3, 1, 2, 52, 200], np.int32), 50) == [(1, 102), (200, 250)]
-    assert substrings.spans(np.array([0, 51], np.int32), 50) == [(0, 50), (51, 101)]
+    pairs = lambda *p: np.array(p, np.int32).reshape(-1, 2)
+    assert substrings.spans(pairs()) == []
+    assert substrings.spans(pairs((3, 53), (1, 51), (2, 52), (52, 102), (200, 250))) == [(1, 102), (200, 250)]
+    assert substrings.spans(pairs((0, 50), (51, 101))) == [(0, 50), (51, 101)]
 
 
 def test_fingerprints(spark, corpus):
