@@ -30,7 +30,7 @@ def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    return merkle.edited(table(spark, folder, "documents"))
+    return merkle.edited(table(spark, folder, "documents")).drop("edits")
 
 
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": url_filter.ORACLE_SQL, "op4_substring_dedup": substrings.ORACLE_SQL, "op7_ngram_jaccard_join": jaccard.ORACLE_SQL, "op5_top_k": topk.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
+    return {"op2_url_filters": url_filter.ORACLE_SQL, "op3_fingerprints": merkle.ORACLE_SQL, "op4_substring_dedup": substrings.ORACLE_SQL, "op7_ngram_jaccard_join": jaccard.ORACLE_SQL, "op5_top_k": topk.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}

@@ -155,6 +155,46 @@ def test_spans():
     assert substrings.spans(pairs((0, 50), (51, 101))) == [(0, 50), (51, 101)]
 
 
+def brute_fingerprint(text):
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    sections = []
+    for section in text.split("\n\n"):
+        below, digests = "", []
+        for paragraph in section.split("\n"):
+            phrases, rest = [], paragraph
+            while rest:
+                n = next((i for i in range(2, 65) if i <= len(rest) and rest[i - 1] in " \t\n\x0b\x0c\r" and rest[i - 2] in "enrst.,;:!?|"), min(64, len(rest)))
+                phrases.append(sha(rest[:n]))
+                rest = rest[n:]
+            digests.append(sha(".".join(phrases)))
+            below += "," + digests[-1][:16] + "".join("." + p[:12] for p in phrases)
+        sections.append((sha(",".join(digests)), below))
+    return sha(";".join(d for d, _ in sections)) + "".join(";" + d[:16] + b for d, b in sections)
+
+
+def brute_likeness(a, b):
+    if a[:64] == b[:64]:
+        return 1.0
+    common, sides = 0, [{*x.split(";")[1:]} for x in (a, b)]
+    for cut in (",", "."):
+        common += sum(x.count(".") for x in sides[0] & sides[1])
+        sides = [{p for x in own - other for p in x.split(cut)[1:]} for own, other in (sides, sides[::-1])]
+    total = 2 * common + len(sides[0]) + len(sides[1])
+    return min(0.9999, 2.0 * (common + len(sides[0] & sides[1])) / total) if total else 0.0
+
+
+def brute_differing(a, b):
+    if a[:64] == b[:64]:
+        return []
+    out, one, two = [], a.split(";")[1:], b.split(";")[1:]
+    for i in range(max(len(one), len(two))):
+        x, y = (s[i] if i < len(s) else "" for s in (one, two))
+        if x[:16] != y[:16]:
+            p, q = x.split(",")[1:], y.split(",")[1:]
+            out += [(i, j) for j in range(max(len(p), len(q))) if p[j : j + 1] == [] or q[j : j + 1] == [] or p[j][:16] != q[j][:16]]
+    return out
+
+
 def test_fingerprints(spark, corpus):
     rows = [r for r in corpus if r[0] is not None and corpus.count(r) == 1] + [(500, "x\n\ny\n"), (501, "x\n\ny"), (502, "x\ny\n\n"), (503, "\U0001f600" * 90)]
     got = {r.doc_id: r for r in merkle.edited(documents(spark, rows)).collect()}
@@ -165,8 +205,15 @@ def test_fingerprints(spark, corpus):
         assert (got[d].n_chars, got[d].edited_sha256) == (len(t), hashlib.sha256((t[: len(t) - third] + following[:third]).encode()).hexdigest())
     texts = {d: t or "" for d, t in rows}
     for a in texts:
+        assert got[a].fingerprint == brute_fingerprint(texts[a])
         for b in texts:
             assert (texts[a] == texts[b]) == (got[a].fingerprint == got[b].fingerprint)
+    for i, (d, t) in enumerate(order):
+        following, third = texts[order[(i + 1) % len(order)][0]], len(texts[d]) // 3
+        own, other = got[d].fingerprint, brute_fingerprint(texts[d][: len(texts[d]) - third] + following[:third])
+        assert got[d].edited_fingerprint == other
+        assert got[d].near_edited == brute_likeness(own, other) and got[d].near_next == brute_likeness(own, brute_fingerprint(following))
+        assert [tuple(e) for e in got[d].edits] == brute_differing(own, other)
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got.values())
     long_ = [r for d, r in got.items() if len(texts[d]) > 300]
     assert np.mean([r.near_edited for r in long_]) > 0.55 and np.median([r.near_next for r in long_]) < 0.1
@@ -267,15 +314,50 @@ def test_packing_plans():
 
 def test_mixing(spark):
     rng = random.Random(2)
-    rows = [(i, "w" * rng.randint(0, 3000), rng.choice(["a", "a", "a", "b", None]), rng.choice(["en", "de"]), "x", True) for i in range(3000)]
-    rows += [(None, None, "a", "en", "x", True), rows[0], rows[0]]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string, kept boolean")
-    got = mixing.mix(df, {"source": {"b": 0.3, "a": 0.6}, "lang": 1.0, "topic": 1.0}, keep=0.4)
-    assert got.count() == len(rows) and {"source", "lang", "n_tokens", "probability", "kept"} <= set(got.columns)
-    r = got.agg(F.min("probability").alias("low"), F.max("probability").alias("high"), F.sum("n_tokens").alias("total"), F.sum(F.col("n_tokens") * F.col("probability")).alias("kept"), F.sum(F.when(F.col("source") == "b", F.col("n_tokens") * F.col("probability"))).alias("b"), F.sum(F.when(F.col("kept"), F.col("n_tokens"))).alias("drawn")).first()
+    rows = [(i, "w " * rng.randint(0, 3000), rng.choice(["a", "a", "a", "b", None]), rng.choice(["en", "de"]), "mine", True, "l", 7) for i in range(3000)]
+    rows += [(None, None, "a", "en", "mine", True, "l", 7), rows[0], rows[0]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string, kept boolean, _lang string, N_Tokens int")
+    topic, tokens, probability, kept = mixing.added(df)
+    assert (topic, tokens, probability, kept) == ("topic_", "n_tokens_", "probability", "kept_")
+    targets = {"source": {"b": 0.3, "a": 0.6}, "lang": 1.0, "topic": 1.0}
+    got = mixing.mix(df, targets, keep=0.4)
+    assert got.columns == [*df.columns, topic, tokens, probability, kept] and got.count() == len(rows)
+    assert got.where("topic = 'mine' and kept and _lang = 'l' and N_Tokens = 7").count() == len(rows)
+    n = F.col(tokens)
+    r = got.agg(F.min(probability).alias("low"), F.max(probability).alias("high"), F.sum(n).alias("total"), F.sum(n * F.col(probability)).alias("kept"), F.sum(F.when(F.col("source") == "b", n * F.col(probability))).alias("b"), F.sum(F.when(F.col(kept), n)).alias("drawn")).first()
+    assert r.total == sum(max(1, len((t or "").split())) for _, t, *_ in rows)
     assert r.low >= 0 and r.high <= 1 and abs(r.kept / r.total - 0.4) < 0.02 and abs(r.b / r.kept - 0.3) < 0.02 and abs(r.drawn / r.kept - 1) < 0.1
-    again = mixing.mix(df, {"source": {"b": 0.3, "a": 0.6}, "lang": 1.0, "topic": 1.0}, keep=0.4)
-    assert {(x.doc_id, x.kept) for x in got.collect()} == {(x.doc_id, x.kept) for x in again.collect()}
+    by = {r.doc_id: r for r in got.collect()}
+    for i, t, *_ in rows[::7]:
+        draw = int(hashlib.sha256(f"1:{'' if i is None else i}:{t or ''}".encode()).hexdigest()[:13], 16) / 2**52
+        assert by[i][kept] == (draw < by[i][probability])
+    sample = mixing.sample(df, targets=targets, keep=0.4)
+    assert sample.columns == df.columns and sorted((r.doc_id is None, r.doc_id) for r in sample.collect()) == sorted((r.doc_id is None, r.doc_id) for r in got.collect() if r[kept])
+
+
+def test_topics_come_from_the_words(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TOPIC_SHARE", 1)
+    monkeypatch.setattr(mixing, "TOPIC_MOST", 0.5)
+    rows = [(i, f"{'common ' * 3} {['Whale', 'RIVER', 'x'][i % 3]} {['whale', 'river', 'y'][i % 3]}! {'whale' if i == 1 else ''}") for i in range(30)] + [(30, "whale river"), (31, None), (32, ""), (33, "river whale river")]
+    docs = documents(spark, rows).drop("topic")
+    names = mixing.topic_words(docs, topics=2)
+    assert names == ["whale", "river"]  # common is in more than half of all, the others are too short
+    got = {r.doc_id: (r.t, r.n) for r in mixing.described(docs, names, "text", "t", "n").collect()}
+    assert [got[i][0] for i in (0, 1, 2, 30, 31, 32, 33)] == ["whale", "river", "other", "whale", "other", "other", "river"]
+    assert got[0][1] == 5 and got[31][1] == got[32][1] == 1
+    assert mixing.described(docs.limit(1), [], "text", "t", "n").first().t == "other"
+
+
+def test_marginals_tell_what_is_reached(spark):
+    rows = [("=a", "=x", "=other", 100), ("=a", "=y", "=t", 300), ("=b", "=x", "=t", 50), ("null", "=y", "=other", 10)]
+    cells = spark.createDataFrame(rows, "_source string, _lang string, _topic string, tokens long")
+    for small in (True, False):
+        raked = mixing.rake(cells, {"source": 1.0, "lang": {"x": 0.5}, "topic": 1.0}, keep=0.5, small=small)
+        told = {(r.dimension, r.value): r for r in mixing.marginals(raked).collect()}
+        assert told["lang", "=x"].target == 0.5 * 460 * 0.5 and told["topic", "=other"].target is None
+        assert abs(told["topic", "=t"].achieved - told["topic", "=t"].target) < 1
+        assert sum(r.tokens for (d, _), r in told.items() if d == "lang") == 460
+    assert mixing.rake(cells.limit(0)).count() == 0
 
 
 def test_raking_agrees_with_plain_loops(spark):
