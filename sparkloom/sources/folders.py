@@ -9,9 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset, as in tests."""
+    """spark.checkpoint.dir of the session; a temporary folder only where it is unset and Spark runs on this machine alone, as in tests."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or Path(tempfile.gettempdir(), f"checkpoints/{spark.sparkContext.applicationId}").as_uri()).rstrip("/")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
+        folder = Path(tempfile.gettempdir(), f"checkpoints/{spark.sparkContext.applicationId}").as_uri()
+    return folder.rstrip("/")
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate results, by the file system that its name belongs to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
