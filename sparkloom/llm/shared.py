@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.folders import checkpointed, shared_folder  # noqa: F401
+from ..sources.folders import checkpointed, removed, shared_folder  # noqa: F401
 
 
 def partitions(spark: SparkSession) -> int:
