@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, shared_folder
+from .shared import checkpointed, removed, shared_folder
 
 SEGMENT_BYTES = 64 << 10
 CHUNK_BYTES = 16 << 10
@@ -83,9 +83,9 @@ def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"Content-Length: %d\r\n\r\n" % len(block) + block
 
 
-def records_of(key: int | None, url: str | None, body: bytes, digest: str, refers_to: int | None, segment_bytes: int) -> Iterator[bytes]:
-    """The records of one page, without the line ends after each."""
-    name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key}\n{url}\n{digest}')}>"
+def records_of(key: int | None, url: str | None, body: bytes, digest: str, refers_to: int | None, segment_bytes: int, place: str = "") -> Iterator[bytes]:
+    """The records of one page, without the line ends after each; place tells rows of the same page apart."""
+    name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key}\n{url}\n{digest}\n{place}')}>"
     uri = None if url is None else re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
     common = [("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Page-ID", None if key is None else str(key)), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Payload-Length", str(len(body)))]
     if refers_to is not None:
@@ -106,10 +106,14 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", payload:
     """Write a record for each row of pages into files below folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             out, size = [], 0
             for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                for record in records_of(*row, segment_bytes):
+                n += 1
+                for record in records_of(*row, segment_bytes, f"{task} {n}"):
                     out.append(record)
                     size += len(record)
                 if size > 4 << 20:
@@ -169,7 +173,10 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
         for batch in batches:
             for data in batch.column(0):
                 out, size = [], 0
-                for fields, block in parse(data.as_py()):
+                data = data.as_py()
+                if segments and b"WARC-Segment-Number" not in data:
+                    continue
+                for fields, block in parse(data):
                     number = _long(fields.get("warc-segment-number"))
                     if (number is None) == segments:
                         continue
@@ -190,9 +197,6 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
 
     def assemble(table: pa.Table) -> pa.Table:
         parts = sorted(table.to_pylist(), key=lambda r: r["number"])
-        # a page that occurs as repeated rows has each segment as often; rows of one origin are copies
-        copies = max(1, sum(r["number"] == 1 for r in parts))
-        parts = parts[::copies] if all(parts[i]["number"] == parts[i - i % copies]["number"] for i in range(len(parts))) else parts
         first = parts[0]
         block = b"".join(r["block"] for r in parts)
         whole = [r["number"] for r in parts] == list(range(1, len(parts) + 1)) and parts[-1]["total"] == len(block)
@@ -200,7 +204,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
         row = _decoded(fields, block) if whole else {"page_id": first["page_id"], "url": first["url"], "record_type": first["record_type"], "intact": False}
         if not payloads:
             row["payload"] = None
-        return pa.Table.from_pylist([row] * copies, PAGE_ARROW)
+        return pa.Table.from_pylist([row], PAGE_ARROW)
 
     # nothing was written for an empty table
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
@@ -212,9 +216,13 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
 def round_trip(pages: DataFrame, folder: str | None = None, payloads: bool = False) -> DataFrame:
     """Write pages as archives and read them back."""
     spark = pages.sparkSession
-    folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(pages, folder)
-    return read_archives(spark, folder, payloads)
+    own = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    write_archives(pages, folder or own)
+    found = read_archives(spark, folder or own, payloads)
+    if folder is None and not payloads:  # what was computed is small; the archives can go
+        found = checkpointed(found)
+        removed(spark, own)
+    return found
 
 
 ORACLE_SQL = """

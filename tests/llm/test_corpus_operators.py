@@ -1,5 +1,6 @@
 """Corpus operators against brute force on small inputs: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import functools
 import hashlib
 import math
 import random
@@ -463,18 +464,62 @@ def test_url_filters(spark):
     assert by[14] == "block" and by[15] == "allow" and by[16] == "block" and by[11] == "allow"
 
 
+def random_rules(rng, names, n):
+    rules = [url_filter.host_rule(".".join(rng.choices(names, k=rng.randint(1, 3))) + "/" + "/".join(rng.choices(names, k=rng.randint(0, 2))) + rng.choice(["", "/"]), rng.choice(["block", "allow"])) for _ in range(n)]
+    for _ in range(n):
+        middle = "".join(rng.choice([*names, "*", "^", "/", ".", "="]) for _ in range(rng.randint(1, 5)))
+        rules.append(url_filter.pattern_rule(rng.choice(["", "@@"]) + rng.choice(["", "|", "||"]) + middle + rng.choice(["", "|"])))
+    return [*rules, url_filter.pattern_rule("/zz+/"), url_filter.word_rule("dd")]
+
+
+def random_urls(rng, names, n):
+    return ["x://" + ".".join(rng.choices(names, k=rng.randint(1, 4))) + "/" + "/".join(rng.choices([*names, "ddx", "zzz"], k=rng.randint(0, 3))) + rng.choice(["", "?a=bb", "?dd", "?c1=e&bb=", "#dd"]) for _ in range(n)]
+
+
+@functools.cache
+def compiled(pattern):
+    return re.compile(pattern, re.S)
+
+
+def best_of_all(rules, url):
+    host, path, whole = url_filter.split_url(url)
+    found = [r for r in rules if compiled(r.pattern).search(host + path if r.listed else whole)] if whole else []
+    return min(found, key=lambda r: (not r.listed, -len(r.name), r.name), default=None)
+
+
 def test_url_index_finds_what_all_rules_find():
     rng = random.Random(7)
     names = ["a", "bb", "c1", "dd", "e"]
-    rules = [url_filter.host_rule(".".join(rng.choices(names, k=rng.randint(1, 3))) + "/" + "/".join(rng.choices(names, k=rng.randint(0, 2))) + rng.choice(["", "/"]), rng.choice(["block", "allow"])) for _ in range(60)]
-    rules.append(url_filter.Rule("any", "block", "zz+", (), listed=False))
-    index = url_filter.Index(rules, {"a": 5, "bb": 1})
-    for _ in range(2000):
-        host, path = ".".join(rng.choices(names, k=rng.randint(1, 4))), "/" + "/".join(rng.choices([*names, "ddx", "zzz"], k=rng.randint(0, 3)))
-        fits = [r for r in rules if re.search(r.pattern, host + path, re.S)]
-        want = min(fits, key=lambda r: (not r.listed, -len(r.name), r.name), default=None)
-        got = index.judge(host, path)
-        assert (got and got.name) == (want and want.name)
+    for _ in range(20):
+        rules = random_rules(rng, names, 60)
+        index = url_filter.Index(rules, {"a": 5, "bb": 1})
+        for u in random_urls(rng, names, 150):
+            want, got = best_of_all(rules, u), index.judge(*url_filter.split_url(u))
+            assert (got and got.name) == (want and want.name), u
+
+
+def test_rules_of_filter_lists():
+    hits = lambda line, url: best_of_all([url_filter.pattern_rule(line)], url) is not None
+    assert hits("||ads.com^", "http://x.ads.com/y") and not hits("||ads.com^", "http://bads.com/") and not hits("||ads.com^", "http://ads.com.org/")
+    assert hits("/a/*.cgi|", "http://h/a/b.cgi") and not hits("/a/*.cgi|", "http://h/a/b.cgi?x") and hits("^id=", "http://h/?id=1") and not hits("^id=", "http://h/?sid=1")
+    assert hits("|login.", "http://Login.com/") and not hits("|login.", "http://x.login.com/") and hits("/[/]p[/][0-9]+/", "http://h/p/12")
+    assert url_filter.pattern_rule("@@x").verdict == "allow" and url_filter.pattern_rule("||ads.com^").tokens == ("ads", "com") and url_filter.pattern_rule("ab*cd.ef").tokens == ()
+    assert url_filter.pattern_rule("/wp-login.php^").tokens == ("wp", "login", "php")
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_thousands_of_rules(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "MAX_RULES", most)
+    rng = random.Random(9)
+    names = ["a", "bb", "c1", "dd", "e", *(f"n{i}" for i in range(400))]
+    rules = random_rules(rng, names, 1500)
+    urls = [*random_urls(rng, names, 150), None, "", "no scheme", "x://" + "/bb" * 2000, "x://dd/"] + ["x://a.bb/"] * 50
+    got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        want = best_of_all(rules, urls[r.page_id])
+        assert (r.rule or r.pattern, r.verdict) == ((want.name, want.verdict) if want else (None, "allow"))
+        assert (r.host, r.path) == url_filter.split_url(urls[r.page_id])[:2]
 
 
 PAGE = '<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var x="</p>";</script></head><body><nav><ul><li><a href="/a">m</a></li></ul></nav><header class="site">H</header><div class="ad">buy</div><article><h1>Title &amp; {n}</h1><p>One  two<br>three {n}</p><p><b>open<br><p>Four&nbsp;five</p><div class="comments"><p>nice</p></div></article><aside class="sidebar">s</aside><form><input>f</form><footer>&copy; f</footer></body></html>'
