@@ -51,6 +51,8 @@ DEMAND = 10
 #: A tile's block: rows and shingles at most (a single set may be larger).
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 2_000_000
 COLUMNS = 4096
+#: Hashes of wanted texts (8 bytes each) are broadcast up to this many; beyond, all texts are shuffled to meet them.
+FEW_TEXTS = 500_000
 
 
 def least(n, percent: int):
@@ -273,7 +275,9 @@ def whole_sets(documents: DataFrame, found: DataFrame, kept: DataFrame, text: st
                 yield pa.RecordBatch.from_arrays([pa.array(node[one]), pa.array(n[one]), pa.array([h[e - c : e].tobytes() for c, e in zip(n[one].tolist(), ends[one].tolist(), strict=True)], pa.binary())], names=["node", "n", "hashes"])
 
     # texts are found by a hash of their bytes: one row of each text is read, no text is hashed into shingles but those wanted
-    wanted = found.join(kept.select("node"), "node", "left_semi").select("text_hash").distinct()
+    wanted = checkpointed(found.join(kept.select("node"), "node", "left_semi").select("text_hash").distinct())
+    if wanted.count() <= FEW_TEXTS:  # then only the wanted texts are shuffled
+        wanted = F.broadcast(wanted)
     texts = documents.select(F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")).join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash", "text"])
     return texts.select("text").mapInArrow(sets, "node long, n long, hashes binary")
 

@@ -100,6 +100,7 @@ def test_jaccard_light_sets_and_tiles(spark, monkeypatch):
     got = sorted((tuple(r) for r in jaccard.components(documents(spark, rows), k=1, percent=80).collect()), key=repr)
     assert got == brute_components(rows, 1, 80)
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(jaccard, "FEW_TEXTS", 0)
     got = sorted((tuple(r) for r in jaccard.components(documents(spark, rows), k=2, percent=60).collect()), key=repr)
     assert got == brute_components(rows, 2, 60)
 
