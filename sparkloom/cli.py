@@ -39,13 +39,34 @@ def engine_of(spark: SparkSession, a: argparse.Namespace) -> Engine:
     return Engine(spark, Catalog.of_sqlite(spark, path), store, settings)
 
 
+def analyzed(engine: Engine, a: argparse.Namespace) -> Engine:
+    engine.analyze(reuse=a.reuse_knowledge)
+    if a.summary:
+        engine.summary().show()
+    return engine
+
+
 def samples_of(rows: DataFrame) -> list[refine.Sample]:
     """Stored samples; bounded by the batch a file holds."""
     return [refine.Sample(r["question_id"], r["question"], r["answer"], r["think"].asDict(recursive=True) if r["think"] else {}) for r in rows.collect()]
 
 
+LOGS = ("questions", "sql_results", "diagnosis_trace", "corpus_manifest")
+
+
+def produced(spark: SparkSession, folder: str) -> int:
+    """Accepted samples that a training folder holds."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return corpus.load(spark, folder).count() if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else 0
+
+
 def run_benchmark(spark: SparkSession, a: argparse.Namespace) -> dict[str, int]:
-    """Accepted samples by database of this shard; databases that have theirs already are passed over."""
+    """Accepted samples by database of this shard; databases that have theirs already are passed over.
+
+    What earlier runs accepted stays, their knowledge is used again, and tasks go on
+    after the last one tried; logs of a database without any accepted sample are
+    cleared. A database that fails counts what it has, and the others go on.
+    """
     names = [r["database"] for r in workload.list_databases(spark, a.db_root, a.benchmark).collect()][: a.limit or None]
     if not names:
         return {}
@@ -55,13 +76,17 @@ def run_benchmark(spark: SparkSession, a: argparse.Namespace) -> dict[str, int]:
     for r in workload.shard(quotas, a.shard, a.num_shards).orderBy("position").collect():
         out = f"{a.output_root}/{a.benchmark}/{r['database']}"
         store = JsonStore(spark, f"{out}/history")
-        have = store.load("corpus_manifest", "question_id string, decision string").where("decision = 'accepted'").count()
+        have = made[r["database"]] = produced(spark, f"{out}/training")
         if have >= r["quota"]:
-            made[r["database"]] = have
             continue
-        engine = Engine(spark, Catalog.of_sqlite(spark, sqlite_path(a.db_root, a.benchmark, r["database"])), store, Settings(batch_size=a.batch_size, max_iterations=a.max_iters, benchmark=a.benchmark))
-        traces = engine.run(r["quota"] - have, f"{out}/training")
-        made[r["database"]] = have + (traces.where("decision = 'accepted'").count() if traces is not None else 0)
+        try:
+            if not have:
+                store.clear(*LOGS)
+            engine = Engine(spark, Catalog.of_sqlite(spark, sqlite_path(a.db_root, a.benchmark, r["database"])), store, Settings(batch_size=a.batch_size, max_iterations=a.max_iters, benchmark=a.benchmark))
+            engine.run(r["quota"] - have, f"{out}/training", resume=True)
+        except Exception as e:  # one broken database must not end the run; it is named, and tried again by the next run
+            print(f"{r['database']}: {type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}")
+        made[r["database"]] = produced(spark, f"{out}/training")
     return made
 
 
@@ -86,6 +111,8 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--num-shards", type=int, default=1)
         s.add_argument("--limit", type=int)
         s.add_argument("--output-root", default="output")
+        s.add_argument("--reuse-knowledge", action="store_true", help="read K1 to K6 of the history folder if all are there")
+        s.add_argument("--summary", action="store_true", help="also show the rows of each knowledge layer")
     return p
 
 
@@ -99,20 +126,22 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         for name, n in run_benchmark(spark, a).items():
             print(f"{name}: {n} accepted")
     elif a.command == "analyze":
-        engine_of(spark, a).summary().show()
+        analyzed(engine_of(spark, a), a).summary().show()
     elif a.command == "generate":
-        engine = engine_of(spark, a)
+        engine = analyzed(engine_of(spark, a), a)
         samples = engine.generate(a.count)
         rows = [(s.question_id, s.question, s.think, s.sql) for s in samples]
         spark.createDataFrame(rows, corpus.TRAINING).write.mode("overwrite").json(a.output)
     elif a.command == "diagnose":
-        engine = engine_of(spark, a)
+        engine = analyzed(engine_of(spark, a), a)
         samples = samples_of(corpus.load(spark, a.input))
         traces = engine.diagnose(samples)
         corpus.export(engine.training_rows(samples, traces), a.output)
         corpus.audit(traces).show(1000, False)
     else:
-        corpus.audit(engine_of(spark, a).run(a.count, a.output)).show(1000, False)
+        traces = engine_of(spark, a).run(a.count, a.output, resume=a.reuse_knowledge)
+        if traces is not None:
+            corpus.audit(traces).show(1000, False)
 
 
 if __name__ == "__main__":

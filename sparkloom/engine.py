@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import annotate, checks, corpus, profile, refine, relations, semantics, workload
+from .operators import annotate, checks, corpus, guard, profile, refine, relations, semantics, workload
 from .sources.store import JsonStore, MemoryStore
 from .sources.catalog import Catalog
 from .sources.tables import healthy
 
+LAYERS = ("k1", "k2", "k3", "k4", "k5", "k6")
+QUESTIONS = f"question_id string, question string, think {corpus.THINK}"
+RESULTS = "question_id string, sql string, success boolean, row_count long, error string, error_type string"
 RELATIONAL = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
@@ -25,9 +28,7 @@ class Settings:
     max_iterations: int = 3
     batch_size: int = 25
     seed: int = 1
-    threads: int = 4
     benchmark: str | None = None
-    extra: dict = field(default_factory=dict)
 
 
 class Engine:
@@ -44,8 +45,8 @@ class Engine:
         self.catalog.register()
         self.knowledge: refine.Knowledge | None = None
 
-    def analyze(self) -> refine.Knowledge:
-        """K1 to K6; each layer is saved and kept."""
+    def analyze(self, reuse: bool = False) -> refine.Knowledge:
+        """K1 to K6; each layer is saved and kept. With reuse, layers that the store holds are read and not made again, if it holds all six."""
         c = self.catalog
         k1 = profile.profile_all(c.frames, self.settings.blocked, c.primary, c.foreign).cache()
         k3 = semantics.classify(k1).cache()
@@ -53,9 +54,13 @@ class Engine:
         k5 = annotate.table_descriptions(semantics.patterns(k3), semantics.key_columns(k1)).cache()
         k6 = relations.merged(relations.declared(k1, c.foreign), relations.by_name(k1)).cache()
         k2 = annotate.domain(k1, c.name).cache()
-        for name, rows in zip(("k1", "k2", "k3", "k4", "k5", "k6"), (k1, k2, k3, k4, k5, k6), strict=True):
-            self.store.save(name, rows)
-        self.knowledge = refine.Knowledge(k1, k2, k3, k4, k5, k6)
+        made = dict(zip(LAYERS, (k1, k2, k3, k4, k5, k6), strict=True))
+        if reuse and all(map(self.store.exists, LAYERS)):
+            made = {name: self.store.load(name, rows.schema).cache() for name, rows in made.items()}
+        else:
+            for name, rows in made.items():
+                self.store.save(name, rows)
+        self.knowledge = refine.Knowledge(*made.values())
         return self.knowledge
 
     def annotator(self) -> annotate.RuleAnnotator:
@@ -102,19 +107,39 @@ class Engine:
         rows = self.spark.createDataFrame([(s.question_id, s.question, s.think, s.sql) for s in samples], corpus.TRAINING)
         return rows.join(traces.select("question_id", "decision"), "question_id")
 
-    def run(self, count: int, output: str | None = None) -> DataFrame:
-        """Analyse, then batches of samples until ``count`` are accepted, at most three times as many tried."""
-        self.analyze()
-        accepted, start, out = 0, 0, None
-        while accepted < count and start < 3 * count + self.settings.batch_size:
+    def record(self, samples: list[refine.Sample]) -> None:
+        """Phase 2: the questions and what their first statements give are appended to the logs."""
+        self.store.append("questions", self.spark.createDataFrame([(s.question_id, s.question, s.think) for s in samples], QUESTIONS))
+        for s in samples:
+            s.outcome = guard.execute(self.spark, s.sql)
+        rows = [(s.question_id, s.sql, s.outcome.success, s.outcome.row_count, s.outcome.error, s.outcome.error_type) for s in samples]
+        self.store.append("sql_results", self.spark.createDataFrame(rows, RESULTS))
+
+    def tried(self) -> int:
+        """The first task that no logged question belongs to; a run that goes on starts there."""
+        number = F.max(F.substring("question_id", 2, 18).cast("long")).alias("n")
+        last = self.store.load("questions", QUESTIONS).agg(number).first()["n"] if self.store.exists("questions") else None
+        return 0 if last is None else last + 1
+
+    def run(self, count: int, output: str | None = None, resume: bool = False) -> DataFrame | None:
+        """Analyse, then batches of samples until ``count`` are accepted, at most three times as many tried; the traces, or None without any.
+
+        With resume, knowledge and logs of an earlier run are kept: tasks go on after
+        the last one logged, and accepted samples are added to the output.
+        """
+        self.analyze(reuse=resume)
+        start = self.tried() if resume else 0
+        accepted, end, out = 0, start + 3 * count + self.settings.batch_size, None
+        while accepted < count and start < end:
             samples = self.generate(min(self.settings.batch_size, count - accepted), start)
-            start += self.settings.batch_size
+            start += min(self.settings.batch_size, count - accepted)
             if not samples:
                 continue
+            self.record(samples)
             traces = self.diagnose(samples)
             rows = self.training_rows(samples, traces)
             if output:
-                corpus.export(rows, output, append=out is not None)
+                corpus.export(rows, output, append=resume or out is not None)
             accepted += rows.where("decision = 'accepted'").count()
             out = traces if out is None else out.unionByName(traces)
         return out

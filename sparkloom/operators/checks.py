@@ -113,14 +113,33 @@ def unknown_references(references: DataFrame, k1: DataFrame) -> DataFrame:
     return tables.unionByName(columns).distinct()
 
 
-def digest(facts: FactTables, k1: DataFrame, k3: DataFrame, k4: DataFrame, k6: DataFrame) -> DataFrame:
-    """(question_id, digest): what the knowledge base says of the columns and tables a statement touches."""
+def digest(facts: FactTables, k1: DataFrame, k3: DataFrame, k4: DataFrame, k6: DataFrame, k2: DataFrame | None = None, k5: DataFrame | None = None, named: DataFrame | None = None) -> DataFrame:
+    """(question_id, digest): what the knowledge base says of the columns and tables a statement touches.
+
+    The domain (K2) comes first, then the tables' meaning (K5), their columns and
+    relations. A statement that names no known column is told all columns of its
+    tables; named (question_id, table_name) are the tables of statements that
+    couldn't be analysed.
+    """
+    tables = facts.tables.select("question_id", "table_name")
+    if named is not None:
+        tables = tables.unionByName(named.select("question_id", "table_name")).distinct()
+    columns = facts.columns.select("question_id", "table_name", "column_name")
+    without = tables.join(columns.join(k1.select("table_name", "column_name"), ["table_name", "column_name"], "left_semi").select("question_id").distinct(), "question_id", "left_anti")
+    columns = columns.unionByName(without.join(k1.select("table_name", "column_name"), "table_name").select(columns.columns)).distinct()
     line = F.concat(F.lit("- "), "table_name", F.lit("."), "column_name", F.lit(" ["), F.coalesce("category", F.lit("other")), F.lit("] "), F.coalesce("description", F.lit("")), F.when(F.size("sample_values") > 0, F.concat(F.lit("; e.g. "), F.array_join(F.slice("sample_values", 1, 5), ", "), F.lit(" (not a complete domain)"))).otherwise(""))
-    columns = facts.columns.join(k1.select("table_name", "column_name", "sample_values"), ["table_name", "column_name"]).join(k3.select("table_name", "column_name", "category"), ["table_name", "column_name"], "left").join(k4.select("table_name", "column_name", "description"), ["table_name", "column_name"], "left")
-    columns = columns.select("question_id", line.alias("line"), F.lit(0).alias("part"))
-    touching = facts.tables.join(k6.select(F.explode(F.array("source_table", "target_table")).alias("table_name"), F.format_string("- %s.%s -> %s.%s (%s)", "source_table", "source_column", "target_table", "target_column", "relationship_type").alias("line")), "table_name").select("question_id", "line", F.lit(1).alias("part")).distinct()
+    columns = columns.join(k1.select("table_name", "column_name", "sample_values"), ["table_name", "column_name"]).join(k3.select("table_name", "column_name", "category"), ["table_name", "column_name"], "left").join(k4.select("table_name", "column_name", "description"), ["table_name", "column_name"], "left")
+    columns = columns.select("question_id", line.alias("line"), F.lit(2).alias("part"))
+    touching = tables.join(k6.select(F.explode(F.array("source_table", "target_table")).alias("table_name"), F.format_string("- %s.%s -> %s.%s (%s)", "source_table", "source_column", "target_table", "target_column", "relationship_type").alias("line")), "table_name").select("question_id", "line", F.lit(3).alias("part")).distinct()
+    parts = columns.unionByName(touching)
+    if k5 is not None:
+        meaning = F.concat(F.lit("- "), "table_name", F.lit(": "), "description")
+        parts = parts.unionByName(tables.join(k5.select("table_name", "description"), "table_name").select("question_id", meaning.alias("line"), F.lit(1).alias("part")))
+    if k2 is not None:
+        known = k2.first()  # one row
+        parts = parts.unionByName(tables.select("question_id").distinct().select("question_id", F.lit(f"Domain: {known['description']}").alias("line"), F.lit(0).alias("part")))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("part", "line"))), lambda x: x["line"])
-    return columns.unionByName(touching).groupBy("question_id").agg(F.array_join(lines, "\n").alias("digest"))
+    return parts.groupBy("question_id").agg(F.array_join(lines, "\n").alias("digest"))
 
 
 #: Limits of the four complexity levels; features of 0 are forbidden.

@@ -28,14 +28,18 @@ def retrieve(errors: DataFrame, k2: DataFrame, k3: DataFrame, k4: DataFrame, k5:
     """(question_id, layer, item): the rows of knowledge that the errors call for, as text."""
     need = layers_for(errors)
     of = lambda layer: need.where(F.col("layer") == layer).select("question_id", "layer", F.col("table_name").alias("t"), F.col("column_name").alias("c"))
-    same_table = (F.col("t").isNull()) | (F.col("t") == F.col("table_name"))
+    # an error without a table meets every row: such rows stand under one more key
+    everything = F.lit("*")
+    k5 = k5.select("table_name", "description", F.explode(F.array("table_name", everything)).alias("key"))
+    k6 = k6.select("source_table", "source_column", "target_table", "target_column", F.explode(F.array_distinct(F.array("source_table", "target_table", everything))).alias("key"))
+    keyed = lambda layer: of(layer).withColumn("key", F.coalesce("t", everything))
     parts = [
         of("K2").select("question_id", "layer").distinct().join(F.broadcast(k2.limit(1)), F.lit(True)).select("question_id", "layer", F.col("description").alias("item")),
         # an error with a table looks its columns up; one without names no rows
         of("K3").join(k3, (F.col("t") == F.col("table_name"))).select("question_id", "layer", F.format_string("%s.%s: %s", "table_name", "column_name", "category").alias("item")),
         of("K4").join(k4, (F.col("t") == F.col("table_name"))).select("question_id", "layer", F.format_string("%s.%s: %s", "table_name", "column_name", "description").alias("item")),
-        of("K5").join(F.broadcast(k5), same_table).select("question_id", "layer", F.format_string("%s: %s", "table_name", "description").alias("item")),
-        of("K6").join(F.broadcast(k6), F.col("t").isNull() | (F.col("t") == F.col("source_table")) | (F.col("t") == F.col("target_table"))).select("question_id", "layer", F.format_string("%s.%s -> %s.%s", "source_table", "source_column", "target_table", "target_column").alias("item")),
+        keyed("K5").join(k5, "key").select("question_id", "layer", F.format_string("%s: %s", "table_name", "description").alias("item")),
+        keyed("K6").join(k6, "key").select("question_id", "layer", F.format_string("%s.%s -> %s.%s", "source_table", "source_column", "target_table", "target_column").alias("item")),
     ]
     out = parts[0]
     for p in parts[1:]:

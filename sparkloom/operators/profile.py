@@ -31,16 +31,30 @@ def entropy_level(distinct: Column, rows: Column) -> Column:
     return F.when(F.coalesce(distinct, F.lit(0)) == 0, "medium").when(ratio < LOW, "low").when(ratio > HIGH, "high").otherwise("medium")
 
 
+def bounded(value: Column) -> Column:
+    """A value itself up to SAMPLE_CHARS; a longer one as those of its characters and a 128-bit digest of all, so that no whole text is shuffled."""
+    return F.when(F.length(value) <= SAMPLE_CHARS, value).otherwise(F.concat(F.substring(value, 1, SAMPLE_CHARS), F.lit("\u0000"), F.md5(value)))
+
+
 def column_values(frames: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, ordinal, value): each distinct value of each column, nulls left out, as text."""
+    """(table_name, ordinal, value): each distinct value of each column, nulls left out, as bounded text."""
 
     def pairs(table: str, df: DataFrame) -> DataFrame:
-        fields = (F.struct(F.lit(i).alias("ordinal"), F.col(f"`{f.name}`").cast("string").alias("value")) for i, f in enumerate(df.schema))
+        text = lambda f: bounded(F.col(f"`{f.name}`")) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`").cast("string")
+        fields = (F.struct(F.lit(i).alias("ordinal"), text(f).alias("value")) for i, f in enumerate(df.schema))
         return df.select(F.inline(F.array(*fields))).where("value IS NOT NULL").select(F.lit(table).alias("table_name"), "ordinal", "value")
 
     return reduce(DataFrame.unionByName, (pairs(t, d) for t, d in frames.items())).distinct()
 
 
+def schema_of(frames: dict[str, DataFrame], blocked: tuple[str, ...] = ("aid_info",), primary: dict | None = None, foreign: dict | None = None) -> DataFrame:
+    """What K1 knows without reading any table: names, order, types and declared keys of all columns."""
+    primary, foreign = PRIMARY_KEYS if primary is None else primary, FOREIGN_KEYS if foreign is None else foreign
+    rows = [(t, i, f.name, f.dataType.simpleString(), kind_of(f.dataType), f.nullable, f.name in primary.get(t, []), (t, f.name) in foreign) for t, d in frames.items() if not any(b in t for b in blocked) for i, f in enumerate(d.schema)]
+    spark = next(iter(frames.values())).sparkSession
+    return spark.createDataFrame(rows, "table_name string, ordinal int, column_name string, data_type string, kind string, nullable boolean, primary_key boolean, foreign_key boolean")
+
+
 def profile_all(frames: dict[str, DataFrame], blocked: tuple[str, ...] = ("aid_info",), primary: dict | None = None, foreign: dict | None = None) -> DataFrame:
     """The K1 layer: a row for each column of each table; tables whose name holds a blocked part are left out.
 
@@ -49,7 +63,6 @@ def profile_all(frames: dict[str, DataFrame], blocked: tuple[str, ...] = ("aid_i
     spread by value, so neither a long table nor a hot column is one task's.
     """
     use = {n: d for n, d in frames.items() if not any(b in n for b in blocked)}
-    primary, foreign = PRIMARY_KEYS if primary is None else primary, FOREIGN_KEYS if foreign is None else foreign
     key = ["table_name", "ordinal"]
     values = column_values(use)
     first = Window.partitionBy(*key).orderBy("value")
@@ -57,9 +70,7 @@ def profile_all(frames: dict[str, DataFrame], blocked: tuple[str, ...] = ("aid_i
     samples = samples.groupBy(*key).agg(F.array_sort(F.collect_list(F.substring("value", 1, SAMPLE_CHARS))).alias("sample_values"))
     counts = values.groupBy(*key).agg(F.count("*").alias("n_distinct"))
     rows = reduce(DataFrame.unionByName, (d.agg(F.count("*").alias("row_count")).select(F.lit(n).alias("table_name"), "row_count") for n, d in use.items()))
-    schema = [(t, i, f.name, f.dataType.simpleString(), kind_of(f.dataType), f.nullable, f.name in primary.get(t, []), (t, f.name) in foreign) for t, d in use.items() for i, f in enumerate(d.schema)]
-    spark = next(iter(use.values())).sparkSession
-    columns = spark.createDataFrame(schema, "table_name string, ordinal int, column_name string, data_type string, kind string, nullable boolean, primary_key boolean, foreign_key boolean")
+    columns = schema_of(use, (), primary, foreign)
     # a row a column of the catalogue: small on every side
     out = columns.join(rows, "table_name").join(counts, key, "left").join(samples, key, "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0).cast("long")))
     level = entropy_level(F.col("n_distinct"), F.col("row_count"))

@@ -76,6 +76,22 @@ def from_entities(relations: DataFrame, tables: DataFrame) -> DataFrame:
     return rows.select("source_table", none.alias("source_column"), "target_table", none.alias("target_column"), relation_type(F.col("kind")).alias("relationship_type"), F.lit(0.7).alias("confidence"), F.lit("conceptual relation").alias("reason")).dropDuplicates(["source_table", "target_table"])
 
 
+def proposed_model(columns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A conceptual model by rules, for want of a language model: (entities, relations) in the form that :func:`valid_model` takes.
+
+    Each table with a key is an entity with that key as attribute; each declared or inferred key is a relation.
+    """
+    entity = lambda c: F.initcap(F.regexp_replace(c, "_", " "))
+    entities = columns.where("primary_key").select(entity("table_name").alias("entity"), "table_name", "column_name")
+    found = merged(declared(columns), by_name(columns)).select(entity("source_table").alias("source_entity"), entity("target_table").alias("target_entity"), F.lit("N:1").alias("kind"))
+    return entities, found.distinct()
+
+
+def split(k6: DataFrame) -> DataFrame:
+    """k6 with part: ``conceptual`` for relations of the conceptual model (no columns), else ``logical``; every relation has one part."""
+    return k6.withColumn("part", F.when(F.col("source_column").isNull(), "conceptual").otherwise("logical"))
+
+
 def valid_model(entities: DataFrame, relations: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entities (entity, table_name, column_name) with an attribute that exists, and relations with both ends kept."""
     kept = entities.join(columns.select("table_name", "column_name"), ["table_name", "column_name"], "left_semi")

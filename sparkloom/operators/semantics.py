@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 CATEGORIES = ("identifier", "measure", "dimension", "datetime", "text", "boolean", "other")
 
 
+#: Names of identifiers: key or id as a word of its own, or key after a prefix of the table's letter and one word (``o_custkey``); ``monkey`` is none.
+IDENTIFIER = "(^|_)(key|id)$|^[a-z]{1,2}_[a-z]*key$"
+
+
 def category() -> Column:
     """A column's category from its row in K1; the first rule that fits."""
     name = F.lower("column_name")
     return (
-        F.when(F.col("primary_key") | F.col("foreign_key") | name.rlike("(key|_id|^id)$"), "identifier")
+        F.when(F.col("primary_key") | F.col("foreign_key") | name.rlike(IDENTIFIER) | F.col("column_name").rlike("[a-z0-9](Key|Id|ID)$"), "identifier")
         .when(F.col("kind") == "date", "datetime")
         .when((F.col("kind") == "boolean") | ((F.col("n_distinct") == 2) & name.rlike("flag|status|is_|has_|yn$")), "boolean")
         .when(F.col("kind") == "numeric", "measure")

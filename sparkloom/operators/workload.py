@@ -80,6 +80,12 @@ def use_cases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "sub_scenario string, complexity_level int, use_case string, weight double, low double, high double")
 
 
+def complexity_shares(spark: SparkSession) -> DataFrame:
+    """(main_scenario, complexity_level, share): how the tasks of a scenario are spread over levels."""
+    rows = grid(spark).groupBy("main_scenario", "complexity_level").agg(F.sum("weight").alias("w"))
+    return rows.select("main_scenario", "complexity_level", F.round(F.col("w") / F.sum("w").over(Window.partitionBy("main_scenario")), 6).alias("share"))
+
+
 def draw(key: str, seed: int):
     """A number in [0, 1) that depends on a key and a seed only."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11) * F.lit(2.0**-53)

@@ -32,12 +32,7 @@ def _(t):
     return t.orders.where((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") != "1-URGENT")).select("o_orderkey")
 
 
-@query("flt02_ranges", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 1000 AND 50000 AND o_custkey >= 10 AND o_orderkey < 10000")
-def _(t):
-    return t.orders.where(F.col("o_totalprice").between(1000, 50000) & (F.col("o_custkey") >= 10) & (F.col("o_orderkey") < 10000)).select("o_orderkey", "o_totalprice")
-
-
-@query("flt02_ranges_whole", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 1000 AND 50000 AND o_orderdate >= TIMESTAMP '1995-07-01' AND o_orderdate < TIMESTAMP '2000-01-01'")
+@query("flt02_ranges", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 1000 AND 50000 AND o_orderdate >= TIMESTAMP '1995-07-01' AND o_orderdate < TIMESTAMP '2000-01-01'")
 def _(t):
     # ranges of values, not of keys: the share of orders is the same in every table
     span = (F.col("o_orderdate") >= F.lit("1995-07-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp_ntz"))

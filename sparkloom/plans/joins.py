@@ -21,25 +21,13 @@ def _(t):
     return t.orders.where("o_totalprice > 200000").join(t.customer, F.col("c_custkey") == F.col("o_custkey"), "right").select("o_orderkey", "c_custkey")
 
 
-@query("jon04_full", "SELECT c.c_custkey, s.s_suppkey FROM (SELECT * FROM customer WHERE c_custkey < 300) c FULL JOIN (SELECT * FROM supplier WHERE s_suppkey > 10) s ON c.c_custkey = s.s_suppkey")
-def _(t):
-    return t.customer.where("c_custkey < 300").join(t.supplier.where("s_suppkey > 10"), F.col("c_custkey") == F.col("s_suppkey"), "full").select("c_custkey", "s_suppkey")
-
-
-@query("jon04_full_rewrite", "SELECT c.c_custkey, s.s_suppkey FROM (SELECT * FROM customer WHERE c_custkey < 300) c FULL JOIN (SELECT * FROM supplier WHERE s_suppkey > 10) s ON c.c_custkey = s.s_suppkey")
-def _(t):
-    c, s = t.customer.where("c_custkey < 300").select("c_custkey"), t.supplier.where("s_suppkey > 10").select("s_suppkey")
-    on = F.col("c_custkey") == F.col("s_suppkey")
-    return c.join(s, on, "left").unionByName(s.join(c, on, "left_anti").select(F.lit(None).cast("bigint").alias("c_custkey"), "s_suppkey"))
-
-
-@query("jon04_full_whole", "SELECT c.c_custkey, o.o_orderkey FROM customer c FULL JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 400000")
+@query("jon04_full", "SELECT c.c_custkey, o.o_orderkey FROM customer c FULL JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 400000")
 def _(t):
     # both tables whole: cheap orders and customers without a dear one stand alone
     return t.customer.join(t.orders, (F.col("c_custkey") == F.col("o_custkey")) & (F.col("o_totalprice") > 400000), "full").select("c_custkey", "o_orderkey")
 
 
-@query("jon04_full_whole_rewrite", "SELECT c.c_custkey, o.o_orderkey FROM customer c FULL JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 400000")
+@query("jon04_full_rewrite", "SELECT c.c_custkey, o.o_orderkey FROM customer c FULL JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 400000")
 def _(t):
     c, o = t.customer.select("c_custkey"), t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
     on = (F.col("c_custkey") == F.col("o_custkey")) & (F.col("o_totalprice") > 400000)

@@ -29,6 +29,11 @@ def k1(t: Tables, names: tuple[str, ...] = RELATIONAL) -> DataFrame:
     return profile.profile_all({n: getattr(t, n) for n in names})
 
 
+def schema(t: Tables) -> DataFrame:
+    """What K1 knows without reading a table."""
+    return profile.schema_of({n: getattr(t, n) for n in RELATIONAL})
+
+
 #: K1 in DuckDB: one row for each column, counted directly.
 K1_SQL = " UNION ALL ".join(f"SELECT '{t}' AS table_name, {i} AS ordinal, '{c}' AS column_name, '{k}' AS kind, {c in PRIMARY_KEYS.get(t, [])} AS primary_key, {(t, c) in FOREIGN_KEYS} AS foreign_key, count(*) AS row_count, count(DISTINCT {c}) AS n_distinct FROM {t}" for t, i, c, k in FIELDS)
 LEVEL_SQL = f"SELECT *, CASE WHEN row_count = 0 OR n_distinct = 0 THEN 'medium' WHEN n_distinct / row_count < 0.1 THEN 'low' WHEN n_distinct / row_count > 0.7 THEN 'high' ELSE 'medium' END AS entropy_level FROM ({K1_SQL})"
@@ -50,13 +55,13 @@ def _(t):
     return k1(t).select("table_name", "column_name", "row_count", "n_distinct", "entropy_level")
 
 
-SAMPLED = (("nation", "n_name"), ("part", "p_brand"), ("part", "p_type"), ("part", "p_name"), ("orders", "o_orderpriority"), ("customer", "c_mktsegment"))
+#: All columns of text, of all tables.
+SAMPLED = tuple((t, c) for t, _, c, k in FIELDS if k == "text")
 
 
 @query("prf04_distinct_sample", " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, array_to_string(list(v ORDER BY v), '|') AS samples FROM (SELECT DISTINCT substr({c}, 1, 40) AS v FROM {t} WHERE {c} IS NOT NULL ORDER BY v LIMIT 5)" for t, c in SAMPLED))
 def _(t):
-    wanted = t.spark.createDataFrame(list(SAMPLED), "table_name string, column_name string")
-    return k1(t, ("nation", "part", "orders", "customer")).join(F.broadcast(wanted), ["table_name", "column_name"], "left_semi").select("table_name", "column_name", F.array_join("sample_values", "|").alias("samples"))
+    return k1(t).where("kind = 'text'").select("table_name", "column_name", F.array_join("sample_values", "|").alias("samples"))
 
 
 @query("prf05_category_distribution", f"WITH c AS (SELECT table_name, category, count(*) AS n, list(column_name ORDER BY column_name)[1:3] AS e FROM ({K3_SQL}) GROUP BY table_name, category) SELECT table_name, category, n, round(n / sum(n) OVER (PARTITION BY table_name) * 100, 1) AS percentage, array_to_string(e, ',') AS examples FROM c")
@@ -91,24 +96,41 @@ def _(t):
     return semantics.patterns(semantics.classify(k1(t))).select("table_name", "business_type")
 
 
-@query("prf10_representative_samples", "SELECT 'nation' AS table_name, 'n_name' AS column_name, array_to_string(list(CASE WHEN length(v) > 20 THEN substr(v, 1, 17) || '...' ELSE v END ORDER BY v), ', ') AS samples FROM (SELECT DISTINCT n_name AS v FROM nation ORDER BY v LIMIT 3)")
+@query("prf10_representative_samples", " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, array_to_string(list(CASE WHEN length(v) > 20 THEN substr(v, 1, 17) || '...' ELSE v END ORDER BY v), ', ') AS samples FROM (SELECT DISTINCT substr({c}, 1, 40) AS v FROM {t} WHERE {c} IS NOT NULL ORDER BY v LIMIT 3)" for t, c in SAMPLED))
 def _(t):
-    return semantics.representative_samples(k1(t, ("nation",))).where("column_name = 'n_name'")
+    return semantics.representative_samples(k1(t).where("kind = 'text'"))
 
 
 @query("prf11_key_columns", f"SELECT table_name, CAST(sum(primary_key::INT) AS BIGINT) AS pk_count, CAST(sum(foreign_key::INT) AS BIGINT) AS fk_count, coalesce(string_agg(column_name, ',' ORDER BY ordinal) FILTER (WHERE primary_key), '') AS key_columns FROM ({K1_SQL}) GROUP BY table_name")
 def _(t):
-    return semantics.key_columns(k1(t)).withColumn("key_columns", F.array_join("key_columns", ","))
+    return semantics.key_columns(schema(t)).withColumn("key_columns", F.array_join("key_columns", ","))
+
+
+def _ddl_sql(table: str) -> str:
+    keys = ", ".join(f"'{c}'" for c in PRIMARY_KEYS.get(table, [])) or "''"
+    kind = "CASE column_type WHEN 'INTEGER' THEN 'INT' WHEN 'VARCHAR' THEN 'STRING' WHEN 'TIMESTAMP' THEN 'TIMESTAMP_NTZ' ELSE column_type END"
+    return f"SELECT '{table}' AS table_name, 'CREATE TABLE {table} (' || chr(10) || string_agg('  ' || column_name || ' ' || {kind} || CASE WHEN column_name IN ({keys}) THEN ' PRIMARY KEY' ELSE '' END, ',' || chr(10) ORDER BY i) || chr(10) || ');' AS ddl FROM (SELECT *, row_number() OVER () AS i FROM (DESCRIBE {table}))"
 
 
-@query("prf12_ddl", "SELECT 'region' AS table_name, 'CREATE TABLE region (' || chr(10) || '  r_regionkey INT PRIMARY KEY,' || chr(10) || '  r_name STRING' || chr(10) || ');' AS ddl")
+DDL_SQL = " UNION ALL ".join(map(_ddl_sql, RELATIONAL))
+
+
+@query("prf12_ddl", DDL_SQL)
 def _(t):
-    return profile.ddl(k1(t, ("region",)))
+    return profile.ddl(schema(t))
+
 
+#: A table beyond the limit of 60,000 characters: 5000 columns of which every thousandth is a key.
+WIDE = 5000
 
-@query("prf13_ddl_shortened", "SELECT 'CREATE TABLE region (' || chr(10) || '  r_regionkey INT PRIMARY KEY,' AS ddl")
+
+@query("prf13_ddl_shortened", f"SELECT table_name, ddl FROM ({DDL_SQL}) UNION ALL SELECT 'wide', 'CREATE TABLE wide (' || chr(10) || string_agg('  c' || i || ' BIGINT PRIMARY KEY' || CASE WHEN i < {WIDE - 1000} THEN ',' ELSE '' END, chr(10) ORDER BY i) FROM range(0, {WIDE}, 1000) r(i)")
 def _(t):
-    return profile.ddl(k1(t, ("region",))).select(profile.shortened(F.col("ddl"), 10).alias("ddl"))
+    wide = t.spark.range(WIDE).select(F.lit("wide").alias("table_name"), F.col("id").cast("int").alias("ordinal"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("column_name"), F.lit("bigint").alias("data_type"), (F.col("id") % 1000 == 0).alias("primary_key"))
+    columns = schema(t).select(wide.columns).unionByName(wide)
+    text = profile.ddl(columns).select("table_name", profile.shortened(F.col("ddl")).alias("ddl"))
+    # the last key's line ends in a comma unless it is the table's last column
+    return text.withColumn("ddl", F.when(F.col("table_name") == "wide", F.regexp_replace("ddl", ",$", "")).otherwise(F.col("ddl")))
 
 
 @query("prf14_domain_confidence", "SELECT 0.72::DOUBLE AS three_of_five, 1.0::DOUBLE AS all_of_five")
@@ -151,12 +173,12 @@ DECLARED = ", ".join(f"('{a}', '{b}', '{c}', '{d}')" for (a, b), (c, d) in FOREI
 
 @query("rel02_declared", f"SELECT * FROM (VALUES {DECLARED}) v(source_table, source_column, target_table, target_column)")
 def _(t):
-    return relations.declared(k1(t)).select("source_table", "source_column", "target_table", "target_column")
+    return relations.declared(schema(t)).select("source_table", "source_column", "target_table", "target_column")
 
 
 @query("rel03_merged", f"SELECT *, 0.9::DOUBLE AS confidence FROM (VALUES {DECLARED}) v(source_table, source_column, target_table, target_column)")
 def _(t):
-    k = k1(t)
+    k = schema(t)
     return relations.merged(relations.declared(k), relations.by_name(k)).select("source_table", "source_column", "target_table", "target_column", "confidence")
 
 
@@ -176,7 +198,7 @@ def _(t):
 def _(t):
     entities = t.spark.createDataFrame([("Order", "orders", "o_orderkey"), ("Customer", "customer", "c_custkey"), ("Ghost", "orders", "nope")], "entity string, table_name string, column_name string")
     model = t.spark.createDataFrame([("Order", "Customer"), ("Order", "Ghost")], "source_entity string, target_entity string")
-    return relations.valid_model(entities, model, k1(t))[1].select("source_entity", "target_entity")
+    return relations.valid_model(entities, model, schema(t))[1].select("source_entity", "target_entity")
 
 
 @query("rel07_inclusion", "SELECT (SELECT count(*) FROM (SELECT DISTINCT o_custkey FROM orders) o ANTI JOIN customer c ON o.o_custkey = c.c_custkey) AS orphans, (SELECT count(c_custkey) = count(DISTINCT c_custkey) FROM customer) AS \"unique\"")
@@ -186,12 +208,41 @@ def _(t):
 
 @query("rel08_foreign_keys", "SELECT source_table, count(*) AS n FROM (VALUES " + DECLARED + ") v(source_table, b, c, d) GROUP BY source_table")
 def _(t):
-    return relations.foreign_keys(relations.declared(k1(t))).groupBy("source_table").agg(F.count("*").alias("n"))
+    return relations.foreign_keys(relations.declared(schema(t))).groupBy("source_table").agg(F.count("*").alias("n"))
+
+
+@query("lkp01_table_columns", f"SELECT table_name, column_name, category, 'rule' AS source, primary_key FROM ({K3_SQL})")
+def _(t):
+    k = k1(t)
+    return annotate.column_descriptions(k, semantics.classify(k)).select("table_name", "column_name", "category", "source", "primary_key")
+
+
+LOOKED_UP = "(VALUES ('a', 'orders', 'o_custkey'), ('b', 'part', 'p_brand'), ('c', 'part', 'no_such'), ('d', 'nowhere', 'x')) w(question_id, table_name, column_name)"
+
+
+def _wanted(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([("a", "orders", "o_custkey"), ("b", "part", "p_brand"), ("c", "part", "no_such"), ("d", "nowhere", "x")], "question_id string, table_name string, column_name string")
+
+
+@query("lkp02_one_column", f"SELECT question_id, table_name, column_name, category FROM {LOOKED_UP} LEFT JOIN ({K3_SQL}) k USING (table_name, column_name)")
+def _(t):
+    return _wanted(t).join(semantics.classify(k1(t)), ["table_name", "column_name"], "left").select("question_id", "table_name", "column_name", "category")
+
+
+@query("lkp04_table_semantics", f"SELECT table_name, pattern FROM ({PATTERN_SQL}) WHERE table_name IN ('part', 'orders')")
+def _(t):
+    return semantics.patterns(semantics.classify(k1(t))).where("table_name IN ('part', 'orders')").select("table_name", "pattern")
+
+
+SCHEMA_SQL = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name" for t, _, c, _ in FIELDS)
 
 
-@query("lkp01_table_columns", f"SELECT column_name, category FROM ({K3_SQL}) WHERE table_name = 'orders'")
+@query("lkp05_schema_lookups", f"SELECT question_id, table_name IN (SELECT table_name FROM ({SCHEMA_SQL})) AS table_known, (table_name, column_name) IN (SELECT (table_name, column_name) FROM ({SCHEMA_SQL})) AS column_known, {len(RELATIONAL)}::BIGINT AS tables FROM {LOOKED_UP}")
 def _(t):
-    return semantics.classify(k1(t, ("orders",))).where("table_name = 'orders'").select("column_name", "category")
+    known = schema(t).select("table_name", "column_name")
+    tables = known.select("table_name").distinct()
+    found = _wanted(t).join(known.withColumn("c", F.lit(True)), ["table_name", "column_name"], "left").join(tables.withColumn("t", F.lit(True)), "table_name", "left")
+    return found.crossJoin(F.broadcast(tables.agg(F.count("*").alias("tables")))).select("question_id", F.coalesce("t", F.lit(False)).alias("table_known"), F.coalesce("c", F.lit(False)).alias("column_known"), "tables")
 
 
 @query("lkp03_category_map", f"SELECT table_name || '.' || column_name AS k, category AS v FROM ({K3_SQL})")
@@ -203,7 +254,7 @@ def _(t):
 
 @query("lkp06_relations_of_table", "SELECT * FROM (VALUES " + DECLARED + ") v(source_table, source_column, target_table, target_column) WHERE source_table = 'orders' OR target_table = 'orders'")
 def _(t):
-    return relations.involving(relations.declared(k1(t)), "orders").select("source_table", "source_column", "target_table", "target_column")
+    return relations.involving(relations.declared(schema(t)), "orders").select("source_table", "source_column", "target_table", "target_column")
 
 
 @query("lkp09_json_names", "SELECT * FROM (VALUES ('orders'), ('customer'), ('part')) v(name)")
@@ -212,6 +263,39 @@ def _(t):
     return text.select(F.explode(annotate.strings(F.col("j"))).alias("name"))
 
 
+@query("lkp07_no_evidence", "SELECT 'd' AS question_id")
+def _(t):
+    k3 = semantics.classify(k1(t))
+    questions = _errors(t).where("question_id IN ('c', 'd')").select("question_id")
+    found = evidence.layers_for(_errors(t)).where("layer = 'K3'").join(k3, "table_name").select("question_id")
+    return evidence.is_empty(found, questions)
+
+
+@query("lkp08_is_evaluation", "SELECT * FROM (VALUES ('spider', 'concert_singer', true), ('spider', 'academic', false), ('bird', 'superhero', true)) v(benchmark, database, kept_for_evaluation)")
+def _(t):
+    rows = t.spark.createDataFrame([("spider", "academic"), ("spider", "concert_singer"), ("bird", "superhero")], "benchmark string, database string")
+    free = workload.train_databases(rows).withColumn("free", F.lit(True))
+    return rows.join(free, ["benchmark", "database"], "left").select("benchmark", "database", F.col("free").isNull().alias("kept_for_evaluation"))
+
+
+@query("lkp10_relations_by_reason", "SELECT * FROM (VALUES ('conceptual', 'nation', 'region'), ('conceptual', 'orders', 'customer')) v(part, source_table, target_table) UNION ALL SELECT 'logical', a, c FROM (VALUES " + DECLARED + ") v(a, b, c, d)")
+def _(t):
+    model = t.spark.createDataFrame([("Order", "Customers", "N:1"), ("Nation", "region", "belongs to")], "source_entity string, target_entity string, kind string")
+    names = t.spark.createDataFrame([(n,) for n in RELATIONAL], "table_name string")
+    both = relations.declared(schema(t)).unionByName(relations.from_entities(model, names))
+    return relations.split(both).select("part", "source_table", "target_table")
+
+
+@query("llm06_conceptual_model", "SELECT upper(source_table[1]) || source_table[2:] AS source_entity, upper(target_table[1]) || target_table[2:] AS target_entity, 'N:1' AS kind FROM (VALUES " + DECLARED + ") v(source_table, b, target_table, d)")
+def _(t):
+    return relations.proposed_model(schema(t))[1].select("source_entity", "target_entity", "kind")
+
+
+@query("scn04_complexity_shares", "SELECT s AS main_scenario, l AS complexity_level, x::DOUBLE AS share FROM (VALUES " + ", ".join(f"('{s}')" for s, *_ in workload.SCENARIOS) + ") v(s), (VALUES " + ", ".join(f"({i + 1}, {x})" for i, x in enumerate(workload.LEVEL_SHARES)) + ") w(l, x)")
+def _(t):
+    return workload.complexity_shares(t.spark)
+
+
 @query("trp01_triples", "SELECT * FROM (VALUES ('a', 'knows', 'b'), ('a', 'knows', 'c')) v(subject, predicate, object)")
 def _(t):
     rows = t.spark.createDataFrame([("a", "knows", "b"), ("a", "knows", "c"), ("a", "likes", "b"), ("b", "knows", "c")], "subject string, predicate string, object string")
@@ -266,6 +350,18 @@ def _(t):
     return t.spark.createDataFrame([(n, o.success, o.error_type) for n, o in out.items()], "question_id string, success boolean, error_type string")
 
 
+@query("exe01_outcomes", "SELECT * FROM (VALUES ('good', true, 100::BIGINT, true), ('types', false, 0, false), ('syntax', false, 0, false)) v(question_id, success, row_count, truncated)")
+def _(t):
+    register(t.spark, t.folder, RELATIONAL)
+    out = {n: guard.execute(t.spark, STATEMENTS[n]) for n in ("good", "types", "syntax")}
+    return t.spark.createDataFrame([(n, o.success, o.row_count or 0, bool(o.truncated)) for n, o in out.items()], "question_id string, success boolean, row_count bigint, truncated boolean")
+
+
+@query("exe07_cleaned", "SELECT * FROM (VALUES ('SELECT 1'), ('')) v(statement)")
+def _(t):
+    return t.spark.createDataFrame([(guard.cleaned(x),) for x in ("  SELECT 1 ; ", " ; ")], "statement string")
+
+
 @query("exe02_limited", "SELECT 100::BIGINT AS row_count, true AS truncated")
 def _(t):
     register(t.spark, t.folder, ("orders",))
@@ -276,12 +372,12 @@ def _(t):
 @query("chk02_columns", "SELECT 'q2' AS question_id, 'column_not_found' AS type, 'orders.o_gone' AS detail")
 def _(t):
     refs = t.spark.createDataFrame([("q1", "orders", "o_custkey"), ("q2", "orders", "o_gone"), ("q3", "orders", "c_name")], "question_id string, table_name string, column_name string")
-    return checks.check_columns(refs, k1(t)).select("question_id", "type", "detail")
+    return checks.check_columns(refs, schema(t)).select("question_id", "type", "detail")
 
 
 @query("chk03_joins", "SELECT 'wrong_key' AS question_id, 'join_invalid' AS type, 'orders.o_orderkey = customer.c_custkey' AS detail")
 def _(t):
-    return checks.check_joins(_facts(t).joins, relations.declared(k1(t))).select("question_id", "type", "detail")
+    return checks.check_joins(_facts(t).joins, relations.declared(schema(t))).select("question_id", "type", "detail")
 
 
 @query("chk04_aggregates", "SELECT * FROM (VALUES ('avg_of_key', 'aggregation_type_mismatch', 'K3:orders.o_custkey'), ('avg_in_cte', 'aggregation_type_mismatch', 'K3:orders.o_custkey')) v(question_id, type, evidence_ref)")
@@ -298,7 +394,7 @@ def _(t):
 @query("chk09_references", "SELECT * FROM (VALUES ('q2'), ('q3')) v(question_id)")
 def _(t):
     refs = t.spark.createDataFrame([("q1", "orders", None), ("q1", "orders", "o_custkey"), ("q2", "nowhere", None), ("q3", "orders", "c_name")], "question_id string, table_name string, column_name string")
-    return checks.unknown_references(refs, k1(t))
+    return checks.unknown_references(refs, schema(t))
 
 
 @query("chk08_digest", "SELECT 'avg_of_key' AS question_id, '- orders.o_custkey [identifier]' AS first_line")
@@ -316,6 +412,17 @@ def _errors(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(q, k, None, "orders", "o_custkey", None, None, c, "s", None) for q, k, c in ERRORS], checks.ERROR)
 
 
+@query("chk08_digest_layers", "SELECT 'types' AS question_id, 'Domain: Records of customer, lineitem, nation, orders, part, region, supplier' AS first_line, 5::BIGINT AS lines")
+def _(t):
+    # a statement without columns: the domain, its table's meaning, all of the table's columns, and its relation
+    k = k1(t)
+    k3 = semantics.classify(k)
+    k5 = annotate.table_descriptions(semantics.patterns(k3), semantics.key_columns(k))
+    found = checks.digest(_facts(t), k, k3, annotate.column_descriptions(k, k3), relations.declared(k), annotate.domain(k, "x"), k5).where("question_id = 'types'")
+    lines = F.split("digest", "\n")
+    return found.select("question_id", F.get(lines, F.lit(0)).alias("first_line"), F.size(lines).cast("long").alias("lines"))
+
+
 @query("chk10_error_defaults", "SELECT * FROM (VALUES ('a', 'structural', 'program'), ('b', 'structural', 'program'), ('c', 'structural', 'program'), ('d', 'semantic', 'llm'), ('e', 'semantic', 'llm'), ('f', 'semantic', 'llm'), ('g', 'semantic', 'llm')) v(question_id, category, detector)")
 def _(t):
     return checks.classified(_errors(t)).select("question_id", "category", "detector")

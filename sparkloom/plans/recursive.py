@@ -1,13 +1,14 @@
 """Common table expressions, recursion and graphs.
 
 Hierarchies hang suppliers under suppliers by arithmetic on their keys; graphs
-are small stated edge lists. Recursion is Spark's WITH RECURSIVE; deep or wide
-closures go through operators.closure, which iterates with checkpoints.
+are small stated edge lists, and the trade between nations. Recursion over stated
+lists is Spark's WITH RECURSIVE; whole tables go through operators.closure,
+which iterates with checkpoints.
 """
 
 from pyspark.sql import functions as F
 
-from ..operators.closure import rolled_up, shortest_paths
+from ..operators.closure import levels, rolled_up, shortest_paths
 from .registry import query
 
 TREE = "SELECT s_suppkey AS id, CASE WHEN s_suppkey <= 1 THEN NULL ELSE greatest(1, CAST(floor((s_suppkey - 1) / 3) AS BIGINT)) END AS parent, s_acctbal AS amount FROM {supplier}"
@@ -27,7 +28,8 @@ def _(t):
 
 @query("cte03_hierarchy", f"WITH RECURSIVE t AS ({DUCK_TREE}), h AS (SELECT id, parent, 0 AS level, CAST(id AS VARCHAR) AS path FROM t WHERE parent IS NULL UNION ALL SELECT t.id, t.parent, h.level + 1, h.path || '/' || CAST(t.id AS VARCHAR) FROM h JOIN t ON t.parent = h.id) SELECT id, parent, level, path FROM h")
 def _(t):
-    return t.sql(f"WITH RECURSIVE t AS ({TREE}), h AS (SELECT id, parent, 0 AS level, CAST(id AS STRING) AS path FROM t WHERE parent IS NULL UNION ALL SELECT t.id, t.parent, h.level + 1, h.path || '/' || CAST(t.id AS STRING) FROM h JOIN t ON t.parent = h.id) SELECT id, parent, level, path FROM h")
+    # levels are as many as the tree is deep: beyond the limits of recursive SQL in a large table
+    return levels(t.sql(TREE))
 
 
 @query("cte04_dependency_paths", f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), p AS (SELECT dst AS node, [src, dst] AS path FROM e WHERE src = 1 UNION ALL SELECT e.dst, list_append(p.path, e.dst) FROM p JOIN e ON e.src = p.node WHERE NOT list_contains(p.path, e.dst)) SELECT node, array_to_string(path, '>') AS path FROM p")
@@ -65,3 +67,14 @@ def _(t):
 @query("cte09_roll_up", f"WITH RECURSIVE t AS ({DUCK_TREE}), c AS (SELECT id AS top, id FROM t UNION ALL SELECT c.top, t.id FROM c JOIN t ON t.parent = c.id) SELECT top AS id, count(*) AS n, round(sum(t.amount), 2) AS total FROM c JOIN t ON c.id = t.id GROUP BY top")
 def _(t):
     return rolled_up(t.sql(TREE)).select("id", "n", F.round("total", 2).alias("total"))
+
+
+#: Nations as a graph: an edge from a customer's to a supplier's nation where orders run between them, its length the number of orders short of the most.
+TRADE = "SELECT src, dst, max(n) OVER () + 1 - n AS dist FROM (SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS n FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey WHERE l_returnflag = 'R' GROUP BY c_nationkey, s_nationkey) e WHERE src <> dst AND (src + dst) % 3 = 0"
+DUCK_TRADE = TRADE.format(lineitem="lineitem", orders="orders", customer="customer", supplier="supplier")
+
+
+@query("cte07_shortest_trade_path", f"WITH RECURSIVE e AS ({DUCK_TRADE}), p AS (SELECT 0 AS node, 0::BIGINT AS cost, 0 AS hops UNION ALL SELECT node, min(cost), hops FROM (SELECT e.dst AS node, p.cost + e.dist AS cost, p.hops + 1 AS hops FROM p JOIN e ON e.src = p.node WHERE p.hops < 6) GROUP BY node, hops) SELECT node, CAST(min(cost) AS BIGINT) AS cost FROM p GROUP BY node")
+def _(t):
+    edges = t.sql(TRADE).select("src", "dst", F.col("dist").cast("long").alias("dist"))
+    return shortest_paths(edges, t.spark.range(1).select(F.col("id").cast("int").alias("node")), hops=6)

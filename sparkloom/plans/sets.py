@@ -25,17 +25,7 @@ def _(t):
     return c.orderBy(F.desc("c_acctbal"), "c_custkey").limit(10).unionByName(c.orderBy("c_acctbal", "c_custkey").limit(10))
 
 
-@query("srt04_null_placement", "SELECT o_orderkey, status, CAST(r AS INTEGER) AS r FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN status IS NULL THEN 1 ELSE 0 END, status DESC, o_orderkey) AS r FROM (SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status FROM orders)) WHERE r <= 12000 AND r > 9900")
-def _(t):
-    # a global rank needs one order of all rows; a range of ranks is its feature here, found by offset and limit
-    rows = t.orders.select("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("F")).alias("status"))
-    from pyspark.sql import Window as W
-
-    picked = rows.orderBy(F.desc_nulls_last("status"), "o_orderkey").limit(12000)
-    return picked.withColumn("r", F.row_number().over(W.orderBy(F.desc_nulls_last("status"), "o_orderkey"))).where("r > 9900")
-
-
-@query("srt04_null_placement_whole", "SELECT o_orderkey, status, row_number() OVER (ORDER BY status DESC NULLS LAST, o_orderkey) AS r FROM (SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status FROM orders)")
+@query("srt04_null_placement", "SELECT o_orderkey, status, row_number() OVER (ORDER BY status DESC NULLS LAST, o_orderkey) AS r FROM (SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status FROM orders)")
 def _(t):
     # every order's rank without one task for all orders: rank within a stretch of keys of a status, plus the rows of the stretches before it
     from pyspark.sql import Window as W

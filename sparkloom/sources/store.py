@@ -1,8 +1,11 @@
-"""Layers of knowledge and logs as JSON lines, one folder for each layer."""
+"""Layers of knowledge and logs as JSON lines, one folder for each layer; layers go by the short names below."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+from .folders import removed
 
 #: Layers and their folders.
 LAYERS = {
@@ -40,7 +43,7 @@ class JsonStore:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(layer))
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
-    def load(self, layer: str, schema: str) -> DataFrame:
+    def load(self, layer: str, schema: str | StructType) -> DataFrame:
         """The rows of a layer; none where it was never written."""
         if not self.exists(layer):
             return self.spark.createDataFrame([], schema)
@@ -49,6 +52,10 @@ class JsonStore:
     def layers(self) -> list[str]:
         return [n for n in LAYERS if self.exists(n)]
 
+    def clear(self, *layers: str) -> None:
+        for n in layers:
+            removed(self.spark, self.path(n))
+
 
 class MemoryStore:
     """The same protocol in the session."""
@@ -74,3 +81,8 @@ class MemoryStore:
 
     def layers(self) -> list[str]:
         return [n for n in LAYERS if n in self.rows]
+
+    def clear(self, *layers: str) -> None:
+        for n in layers:
+            if n in self.rows:
+                self.rows.pop(n).unpersist()

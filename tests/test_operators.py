@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkloom.functions.rewrites import glob_pattern, to_spark_sql
-from sparkloom.operators import annotate, checks, closure, corpus, evidence, guard, lineage, profile, range_join, refine, relations, workload
+from sparkloom.operators import annotate, checks, closure, corpus, evidence, guard, lineage, profile, range_join, refine, relations, semantics, workload
 from sparkloom.sources.store import JsonStore, MemoryStore
 from sparkloom.sources.tables import Tables, jdbc, register
 
@@ -209,6 +209,38 @@ def test_graph_steps(spark):
     assert {r.id: (r.n, r.total) for r in closure.rolled_up(tree).collect()} == {1: (4, 15.0), 2: (2, 6.0), 3: (1, 4.0), 4: (1, 8.0)}
 
 
+def test_cycles_end(spark):
+    tree = spark.createDataFrame([(1, None, 1.0), (2, 1, 1.0), (5, 6, 1.0), (6, 5, 1.0), (7, 6, 1.0), (8, 99, 1.0)], "id int, parent int, amount double")
+    assert {(r.id, r.level, r.path) for r in closure.levels(tree).collect()} == {(1, 0, "1"), (2, 1, "1/2")}
+    with pytest.raises(ValueError):
+        closure.rolled_up(tree)
+    assert closure.levels(tree.limit(0)).count() == 0 and closure.rolled_up(tree.limit(0)).count() == 0
+    deep = spark.range(1, 131).selectExpr("cast(id as int) id", "cast(nullif(id - 1, 0) as int) parent")  # deeper than recursive SQL goes
+    assert closure.levels(deep).agg({"level": "max"}).first()[0] == 129
+
+
+def test_identifiers_are_words(spark):
+    names = ["monkey", "turkey", "paid", "valid", "o_custkey", "user_id", "id", "key", "customerId", "l_orderkey", "sort_key"]
+    rows = [("t", i, n, "int", "numeric", False, False, 9, "high") for i, n in enumerate(names)]
+    k1 = spark.createDataFrame(rows, "table_name string, ordinal int, column_name string, data_type string, kind string, primary_key boolean, foreign_key boolean, n_distinct long, entropy_level string")
+    found = {r.column_name for r in semantics.classify(k1).where("category = 'identifier'").collect()}
+    assert found == {*names[4:]}
+
+
+def test_long_values_are_profiled_by_digest(spark):
+    rows = [("x" * 50 + str(i % 3), "y" * 40) for i in range(9)] + [(None, "y" * 41)]
+    k = {r.column_name: r for r in profile.profile(spark.createDataFrame(rows, "a string, b string"), "t").collect()}
+    assert (k["a"].n_distinct, k["b"].n_distinct) == (3, 2) and set(k["a"].sample_values) == {"x" * 40}
+
+
+def test_evidence_of_errors_without_a_table(spark):
+    errors = spark.createDataFrame([("a", "join_invalid", None, "orders", None, None, None, None, "s", None), ("b", "join_invalid", None, None, None, None, None, None, "s", None)], checks.ERROR)
+    k = lambda **c: spark.createDataFrame([tuple(c.values())], list(c))
+    k6 = spark.createDataFrame([("orders", "o_custkey", "customer", "c_custkey"), ("orders", "x", "orders", "y"), ("part", "p", "supplier", "s")], "source_table string, source_column string, target_table string, target_column string")
+    found = evidence.retrieve(errors, k(description="d"), k(table_name="t", column_name="c", category="x"), k(table_name="t", column_name="c", description="x"), k(table_name="t", description="x"), k6)
+    assert sorted((r.question_id, r.item.split(".")[0]) for r in found.collect()) == [("a", "orders"), ("a", "orders"), ("b", "orders"), ("b", "orders"), ("b", "part")]
+
+
 def test_range_join_edges(spark):
     points = spark.createDataFrame([(0.0,), (10.0,), (9.99,), (None,), (-3.0,)], "x double")
     ranges = spark.createDataFrame([(0.0, 10.0, "a"), (-5.0, -3.0, "b"), (5.0, 4.0, "none"), (None, 1.0, "null")], "low double, high double, name string")

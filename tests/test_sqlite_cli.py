@@ -1,14 +1,17 @@
 """SQLite files as tables, and the commands over them."""
 
+import os
+import shutil
 import sqlite3
 
 import pytest
 
 from sparkloom import cli
-from sparkloom.engine import Engine, Settings
-from sparkloom.operators import workload
+from sparkloom.engine import LAYERS, QUESTIONS, RESULTS, Engine, Settings
+from sparkloom.operators import corpus, workload
 from sparkloom.sources.catalog import Catalog
 from sparkloom.sources.sqlite import kind_of, read_sqlite
+from sparkloom.sources.store import JsonStore
 
 
 @pytest.fixture
@@ -66,3 +69,45 @@ def test_commands(spark, shop, tmp_path, capsys):
         cli.sqlite_path(root, "spider", "concert_singer")
     with pytest.raises(FileNotFoundError):
         cli.sqlite_path(root, "spider", "academic")
+
+
+def test_resumed_runs_keep_what_was_accepted(spark, shop, tmp_path, capsys, monkeypatch):
+    root = str(tmp_path)
+    args = ["run-benchmark", "-b", "spider", "--db-root", root, "--batch-size", "3", "--output-root", f"{root}/o"]
+    cli.main([*args, "--total", "3"], spark)
+    first = {r.question_id for r in corpus.load(spark, f"{root}/o/spider/shop/training").collect()}
+    layer = os.path.join(root, "o/spider/shop/history/schema_extraction.jsonl")
+    made = os.stat(layer).st_mtime_ns
+    # the second run breaks off after its first batch
+    whole = Engine.diagnose
+    calls = []
+
+    def once(self, samples):
+        if calls:
+            raise RuntimeError("lost")
+        calls.append(1)
+        return whole(self, samples)
+
+    monkeypatch.setattr(Engine, "diagnose", once)
+    cli.main([*args, "--total", "9"], spark)
+    assert "RuntimeError: lost" in capsys.readouterr().out
+    monkeypatch.setattr(Engine, "diagnose", whole)
+    cli.main([*args, "--total", "9"], spark)
+    assert "shop: 9 accepted" in capsys.readouterr().out
+    ids = [r.question_id for r in corpus.load(spark, f"{root}/o/spider/shop/training").collect()]
+    assert len(ids) == len({*ids}) == 9 and first < {*ids} and os.stat(layer).st_mtime_ns == made
+    history = JsonStore(spark, f"{root}/o/spider/shop/history")
+    asked, results = history.load("questions", QUESTIONS), history.load("sql_results", RESULTS)
+    assert {*ids} <= {r.question_id for r in asked.collect()} and results.where("success").count() >= 9
+    # without any accepted sample the old logs go
+    shutil.rmtree(f"{root}/o/spider/shop/training")
+    cli.main([*args, "--total", "2"], spark)
+    assert history.load("questions", QUESTIONS).count() == 2
+
+
+def test_reused_knowledge_is_what_was_made(spark, shop, tmp_path):
+    store = JsonStore(spark, f"{tmp_path}/k")
+    one, two = Engine(spark, Catalog.of_sqlite(spark, str(shop)), store), Engine(spark, Catalog.of_sqlite(spark, str(shop)), store)
+    a, b = one.analyze(), two.analyze(reuse=True)
+    for name in LAYERS:
+        assert sorted(map(repr, getattr(a, name).collect())) == sorted(map(repr, getattr(b, name).collect()))
