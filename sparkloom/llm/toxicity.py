@@ -117,12 +117,12 @@ class Inputs:
         out.word, out.chars, out.limits = self.word[words], self.chars[ranges(self.limits[words], size)], np.r_[0, np.cumsum(size)]
         return out
 
-    def mean(self, values: np.ndarray) -> np.ndarray:
-        """The mean of values (one for each of chars) over each word's."""
-        if not len(self.word):
-            return values[:0]
-        # every word has a row at least
-        return np.add.reduceat(values, self.limits[:-1]) / np.diff(self.limits).reshape(-1, *[1] * (values.ndim - 1))
+    def mean(self, table: np.ndarray, block: int = 1 << 14) -> Iterator[tuple[slice, np.ndarray]]:
+        """The mean of each word's rows of a table, a block of words at a time; every word has a row at least."""
+        for i in range(0, len(self.word), block):
+            limits = self.limits[i : i + block + 1]
+            values = table[self.chars[limits[0] : limits[-1]]]
+            yield slice(i, i + len(limits) - 1), np.add.reduceat(values, limits[:-1] - limits[0]) / np.diff(limits)[:, None]
 
     def windows(self, size: int = WINDOW, stride: int = STRIDE, block: int = 8192) -> tuple[np.ndarray, np.ndarray]:
         """Indices into the distinct words, (windows, size), padded by their number; and the text of each window."""
@@ -161,7 +161,8 @@ class Network:
         """Input vectors of distinct words."""
         out = np.empty((len(x.word), 2 * WIDTH), np.float32)
         out[:, :WIDTH] = self.p["word"][x.word]
-        out[:, WIDTH:] = x.mean(self.p["char"][x.chars])
+        for at, mean in x.mean(self.p["char"]):
+            out[at, WIDTH:] = mean
         return out
 
     def _run(self, proj: np.ndarray, mask: np.ndarray, way: str, keep: list | None) -> np.ndarray:
@@ -260,14 +261,22 @@ def _unique(x: np.ndarray) -> np.ndarray:
     return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
 
 
-def _odds(word_of: np.ndarray, text_of_word: np.ndarray, toxic: np.ndarray, rows: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    """Shrunk log-odds of toxic documents by table row; the rows of distinct word i are rows[limits[i] : limits[i + 1]]."""
-    texts = int(text_of_word.max(initial=0)) + 1
-    word, text = np.divmod(_unique(word_of * texts + text_of_word), texts)
-    size = np.diff(limits)[word]
-    # a row counts once in a text
-    row, text = np.divmod(_unique(rows[ranges(limits[word], size)].astype(np.int64) * texts + np.repeat(text, size)), texts)
-    seen, bad = np.bincount(row, minlength=ROWS).astype(float), np.bincount(row, toxic[text], ROWS)
+def _odds(word_of: np.ndarray, text_of_word: np.ndarray, toxic: np.ndarray, rows: np.ndarray, limits: np.ndarray, block: int = 1 << 17) -> np.ndarray:
+    """Shrunk log-odds of toxic documents by table row; the rows of distinct word i are rows[limits[i] : limits[i + 1]].
+
+    A row counts once in a text; texts come in order, about ``block`` words at a time.
+    """
+    words = len(limits) - 1
+    seen, bad = np.zeros(ROWS), np.zeros(ROWS)
+    start = 0
+    while start < len(word_of):
+        end = int(np.searchsorted(text_of_word, text_of_word[min(start + block, len(word_of)) - 1], "right"))
+        text, word = np.divmod(_unique(text_of_word[start:end] * words + word_of[start:end]), words)
+        size = np.diff(limits)[word]
+        text, row = np.divmod(_unique(np.repeat(text, size) * ROWS + rows[ranges(limits[word], size)]), ROWS)
+        seen += np.bincount(row, minlength=ROWS)
+        bad += np.bincount(row, toxic[text], ROWS)
+        start = end
     rate = toxic[np.unique(text_of_word)].mean()
     odds = np.log((bad + 4 * rate) / (seen + 4) / rate) - np.log((seen - bad + 4 * (1 - rate)) / (seen + 4) / (1 - rate))
     return np.clip(odds * seen / (seen + 3), -2, 4).astype(np.float32)
@@ -279,6 +288,7 @@ def fit(texts: list[str], toxic: list[int], half: list[bool], seed: int = 5) ->
     if len({*y}) < 2:
         return None
     x = Inputs.of(texts)
+    x.known = []  # the words' bytes are needed no more
     windows, text = x.windows()
     net = learn(x, windows, text, y, np.ones(len(y), bool), seed)
     own = np.zeros((len(y), 3))
@@ -288,7 +298,7 @@ def fit(texts: list[str], toxic: list[int], half: list[bool], seed: int = 5) ->
         judge = learn(x, windows, text, y, others, seed) if len({*y[others]}) == 2 else net
         use = here[text]
         number = np.cumsum(here) - 1
-        own[here] = evidence(_scored(judge, judge.vectors(x), windows[use]), number[text[use]], int(here.sum()))
+        own[here] = evidence(_scored_apart(judge, x, windows[use]), number[text[use]], int(here.sum()))
     net.curve = _curve(own, y)
     return net
 
@@ -302,15 +312,15 @@ def learn(x: Inputs, windows: np.ndarray, text: np.ndarray, y: np.ndarray, of: n
     word_odds = _odds(x.word_of[known], text_of_word[known], y, x.word, np.arange(len(x.word) + 1))
     char_odds = _odds(x.word_of[known], text_of_word[known], y, x.chars, x.limits)
     net.p["word"][:, 0], net.p["char"][:, 0] = word_odds / 2, char_odds / 2
-    suspicion = np.append(word_odds[x.word] + np.maximum.reduceat(char_odds[x.chars], x.limits[:-1]), -9).astype(np.float32)[windows].max(1)
+    of_word = np.append(word_odds[x.word] + np.maximum.reduceat(char_odds[x.chars], x.limits[:-1]), -9).astype(np.float32)
+    suspicion = np.concatenate([of_word[windows[i : i + 4096]].max(1) for i in range(0, len(windows), 4096)])
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
     usable = of[text]
     for epoch in range(EPOCHS):
-        vectors = net.vectors(x)
         if epoch:
             suspicion = np.full(len(windows), -99.0)
-            suspicion[usable] = _scored(net, vectors, windows[usable])
+            suspicion[usable] = _scored_apart(net, x, windows[usable])
         order = np.lexsort((-suspicion, text))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order)) - np.searchsorted(text[order], text[order])
@@ -361,6 +371,16 @@ def _scored(net: Network, vectors: np.ndarray, windows: np.ndarray, block: int =
     return np.concatenate(parts) if parts else np.zeros(0, np.float32)
 
 
+def _scored_apart(net: Network, x: Inputs, windows: np.ndarray, block: int = 2048) -> np.ndarray:
+    """The same for many texts, with vectors of one block's words at a time."""
+    parts = [np.zeros(0, np.float32)]
+    for i in range(0, len(windows), block):
+        local, inverse = np.unique(windows[i : i + block], return_inverse=True)
+        part = x.part(local[local < len(x.word)])
+        parts.append(net.logits(net.vectors(part), inverse.reshape(-1, windows.shape[1])))
+    return np.concatenate(parts)
+
+
 def evidence(logit: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     """Of each text: its highest window's logit, the mean of its TOP highest, and the mean of all; FLOOR without windows."""
     out = np.full((n, 3), FLOOR)
@@ -417,13 +437,17 @@ def train(documents: DataFrame, labels: DataFrame, **names: str) -> Network | No
 def with_score(documents: DataFrame, net: Network | None, text: str = "text", name: str = "score") -> DataFrame:
     """documents with one more column, the score; ``name`` must be none of theirs (see :func:`shared.unused`)."""
 
+    fields = documents.schema.fields
+    numbered = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)]  # names may hold dots
+    at = [f.name for f in fields].index(text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text):
-                texts = batch.column(batch.schema.get_field_index(text))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_texts(net, texts), pa.float64())], names=[*batch.schema.names, name])
+            for batch in slices(whole, f"c{at}"):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_texts(net, batch.column(at)), pa.float64())], names=[*batch.schema.names, "score"])
 
-    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())]))
+    scored = documents.toDF(*(f.name for f in numbered)).mapInArrow(run, T.StructType([*numbered, T.StructField("score", T.DoubleType())]))
+    return scored.toDF(*(f.name for f in fields), name)
 
 
 def score(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
