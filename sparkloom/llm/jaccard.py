@@ -14,9 +14,10 @@ similar sets share a stated number of those, so a set that shares fewer with all
 others is done. For the rest (few) the lists of all their shingles are counted;
 with shingles ordered from rare to frequent, similar sets share one of the first
 n - ceil(p n / 100) + 1, and lists of those prefixes join candidates to groups
-by their smallest member. Groups are verified exactly on whole sets, in tiles of
-two blocks of bounded size, by products of incidence matrices; a tile gives a
-spanning forest of its links.
+by their smallest member. Groups are verified exactly on whole sets: first each set
+against the group's smallest one; the sets near that are one component, and what is
+left meets them and itself in tiles of two blocks of bounded size, by products of
+incidence matrices; a tile gives a spanning forest of its links.
 
 The boundary is where estimated subsets plus list entries are fewest, from the
 histogram of sizes.
@@ -357,16 +358,60 @@ def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, p
     return left[i], right[j]
 
 
+def star_links(members: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) of each candidate group's sets to the group's smallest one, v; each set is compared once."""
+    spark = members.sparkSession
+    rows = members.join(shape.select("root", "blocks"), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # the smallest stands in every block of its group
+    blocks = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    rows = rows.withColumn("block", F.explode(blocks))
+    tile = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(16 * partitions(spark)))).otherwise(F.xxhash64("root", "block"))
+    rows = rows.select(tile.alias("tile"), "root", "block", "node", "hashes")
+
+    def run(table: pa.Table) -> pa.Table:
+        root, block, node = (table[c].to_numpy() for c in ("root", "block", "node"))
+        order = np.lexsort((node != root, block, root))  # a block's rows after the smallest
+        hashes = table["hashes"]
+        u, v, first = [], [], np.zeros(0, np.uint64)
+        for i in order.tolist():
+            own = np.frombuffer(hashes[i].as_py(), np.uint64)
+            if node[i] == root[i]:
+                first = own
+                continue
+            both = len(np.intersect1d(own, first, assume_unique=True))
+            if 100 * both >= percent * (len(own) + len(first) - both):
+                u.append(node[i])
+                v.append(root[i])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return rows.groupBy("tile").applyInArrow(run, "u long, v long")
+
+
 def verified_links(sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) that join exactly the similar sets within each candidate group."""
+    """Links (u, v) that join exactly the similar sets within each candidate group.
+
+    First all sets of a group are held against its smallest one. Those that are
+    similar to it are one component and aren't compared with each other any more;
+    what is left meets them and itself in tiles of bounded size. A group of near
+    copies of one text is done after the first step.
+    """
     spark = sets.sparkSession
     groups = connected(links)
     members = checkpointed(groups.join(sets.dropDuplicates(["node"]), "node"))
-    shape = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
-    shape = shape.select("root", F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
-    rows = members.join(shape, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("root", "node", "n", "hashes", "blocks", "block", others).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    size = lambda rows, shingles: F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    whole = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total")).withColumn("blocks", size(F.col("m"), F.col("total")))
+    stars = checkpointed(star_links(members, whole, percent))
+    near = stars.select(F.col("u").alias("node")).unionByName(members.where("node = root").select("node")).withColumn("near", F.lit(True))
+    rows = members.join(near, "node", "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    left = rows.where("NOT near").groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total")).select("root", size(F.col("m"), F.col("total")).alias("far_blocks"))
+    # a group that fits a block is one tile; else those near the smallest have blocks of their own, which don't meet each other
+    shape = whole.join(left, "root").select("root", "blocks", "far_blocks")
+    rows = rows.join(shape, "root").withColumn("near_blocks", F.when(F.col("blocks") == 1, 0).otherwise(F.col("blocks")))
+    far = F.col("near_blocks") + F.pmod(F.xxhash64("node"), F.col("far_blocks")).cast("int")
+    rows = rows.withColumn("block", F.when(F.col("near") & (F.col("blocks") > 1), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).otherwise(far))
+    last = F.col("near_blocks") + F.col("far_blocks") - 1
+    others = F.explode(F.sequence(F.when(F.col("block") < F.col("near_blocks"), F.col("near_blocks")).otherwise(0), last)).alias("other")
+    rows = rows.select("root", "node", "hashes", "blocks", "block", others).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     # small groups share a task, a larger group's tiles have keys of their own
     tile = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(16 * partitions(spark)))).otherwise(F.xxhash64("root", "low", "high"))
     rows = rows.select(tile.alias("tile"), "root", "low", "high", "block", "node", "hashes")
@@ -398,7 +443,7 @@ def verified_links(sets: DataFrame, links: DataFrame, percent: int) -> DataFrame
         none = np.zeros(0, np.int64)
         return pa.table({"u": np.concatenate(u or [none]), "v": np.concatenate(v or [none])})
 
-    return rows.groupBy("tile").applyInArrow(run, "u long, v long")
+    return stars.unionByName(rows.groupBy("tile").applyInArrow(run, "u long, v long"))
 
 
 def components(documents: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
