@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkloom.functions.rewrites import glob_pattern, to_spark_sql
-from sparkloom.operators import annotate, checks, closure, corpus, evidence, guard, lineage, profile, range_join, refine, relations, semantics, workload
+from sparkloom.operators import annotate, checks, closure, corpus, evidence, guard, lineage, profile, quantiles, range_join, refine, relations, semantics, workload
 from sparkloom.sources.store import JsonStore, MemoryStore
 from sparkloom.sources.tables import Tables, jdbc, register
 
@@ -209,6 +209,23 @@ def test_graph_steps(spark):
     assert {r.id: (r.n, r.total) for r in closure.rolled_up(tree).collect()} == {1: (4, 15.0), 2: (2, 6.0), 3: (1, 4.0), 4: (1, 8.0)}
 
 
+@pytest.mark.parametrize("stretches", [1, 3, 1024])
+def test_quantiles(spark, stretches):
+    import random
+
+    rng = random.Random(3)
+    values = {"a": [5.0], "b": [1.0, 2.0], "c": [7.0] * 9, "d": [rng.choice([rng.random(), 0.25, 1e9]) for _ in range(200)], "e": [float(i) for i in range(101)]}
+    rows = [(k, v) for k, vs in values.items() for v in vs] + [("a", None), (None, 3.0)]
+    got = {r.k: r for r in quantiles.quantiles(spark.createDataFrame(rows, "k string, v double"), "k", "v", {"low": 0.1, "mid": 0.5, "top": 1.0}, stretches).collect()}
+    assert set(got) == set(values)
+    for k, vs in values.items():
+        vs = sorted(vs)
+        for name, p in (("low", 0.1), ("mid", 0.5), ("top", 1.0)):
+            at = p * (len(vs) - 1)
+            want = vs[int(at)] + (vs[min(int(at) + 1, len(vs) - 1)] - vs[int(at)]) * (at - int(at))
+            assert abs(got[k][name] - want) <= 1e-9 * max(1, abs(want))
+
+
 def test_cycles_end(spark):
     tree = spark.createDataFrame([(1, None, 1.0), (2, 1, 1.0), (5, 6, 1.0), (6, 5, 1.0), (7, 6, 1.0), (8, 99, 1.0)], "id int, parent int, amount double")
     assert {(r.id, r.level, r.path) for r in closure.levels(tree).collect()} == {(1, 0, "1"), (2, 1, "1/2")}
