@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import annotate, checks, corpus, guard, profile, refine, relations, semantics, workload
+from .operators import annotate, checks, corpus, guard, profile, refine, relations, review, semantics, workload
 from .sources.store import JsonStore, MemoryStore
 from .sources.catalog import Catalog
 from .sources.tables import healthy
@@ -32,7 +32,7 @@ class Settings:
 
 
 class Engine:
-    """Analysis, generation and diagnosis over a data folder (or a catalog of tables from elsewhere)."""
+    """Analysis, generation and diagnosis over a data folder (or a catalog of tables from elsewhere); without a reviewer, rules review."""
 
     def __init__(self, spark: SparkSession, source: str | Catalog, store: JsonStore | MemoryStore | None = None, settings: Settings | None = None, reviewer: refine.Reviewer | None = None):
         self.spark = spark
@@ -97,7 +97,7 @@ class Engine:
     def diagnose(self, samples: list[refine.Sample]) -> DataFrame:
         """The audit table of the samples after refinement; it is appended to the logs."""
         k = self.knowledge or self.analyze()
-        refine.refine(self.spark, samples, k, self.annotator(), self.settings.max_iterations, self.reviewer)
+        refine.refine(self.spark, samples, k, self.annotator(), self.settings.max_iterations, self.reviewer or review.by_rules(self.spark, k))
         traces = refine.traces(self.spark, samples).cache()
         self.store.append("diagnosis_trace", traces)
         self.store.append("corpus_manifest", corpus.manifest(traces))

@@ -8,7 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkloom.functions.rewrites import glob_pattern, to_spark_sql
-from sparkloom.operators import annotate, checks, closure, corpus, evidence, guard, lineage, profile, quantiles, range_join, refine, relations, semantics, workload
+from sparkloom.operators import annotate, checks, closure, corpus, evidence, guard, lineage, profile, prompts, quantiles, range_join, refine, relations, review, semantics, workload
+from sparkloom.sources.catalog import declared
 from sparkloom.sources.store import JsonStore, MemoryStore
 from sparkloom.sources.tables import Tables, jdbc, register
 
@@ -226,6 +227,35 @@ def test_quantiles(spark, stretches):
             assert abs(got[k][name] - want) <= 1e-9 * max(1, abs(want))
 
 
+def test_rules_review(views, folder):
+    from sparkloom.engine import Engine, Settings
+
+    engine = Engine(views, folder, settings=Settings(tables=("nation", "region", "part")))
+    k = engine.analyze()
+    samples = [refine.Sample("a", "What is the average size of part?", "SELECT MAX(p_size) AS x FROM part"), refine.Sample("b", "What is the average size of part?", "SELECT avg (p_size) AS x FROM part"), refine.Sample("c", "Which parts have a nation's key?", "SELECT p_name FROM part JOIN nation ON p_size = n_nationkey"), refine.Sample("d", "Which nations does each region have?", "SELECT r_name, n_name FROM region JOIN nation ON r_regionkey = n_regionkey"), refine.Sample("e", "How many regions are there?", "SELECT r_name FROM region")]
+    found = review.by_rules(views, k)(samples)
+    assert sorted((r["question_id"], r["class"]) for r in found.collect()) == [("a", "II-1"), ("c", "II-2"), ("e", "II-1")]
+    traces = engine.diagnose(samples)
+    assert {r.question_id: r.decision for r in traces.collect()} == {"a": "unresolved", "b": "accepted", "c": "unresolved", "d": "accepted", "e": "unresolved"}
+
+
+def test_prompts(spark, tmp_path):
+    p = prompts.Prompts()
+    assert p.render("nothing") == "" and p.render("table", table="t") == "Describe in one sentence what a row of table t stands for."
+    (tmp_path / "sql.txt").write_text("  Q: {{question}}  \n{{ evidence }}\nend")
+    own = prompts.Prompts(str(tmp_path))
+    assert own.render("sql", question="a?") == "Q: a?\nend" and own.render("sql", question="a?", evidence="x\ny") == "Q: a?\nx\ny\nend"
+    df = spark.createDataFrame([("a?", None)], "question string, evidence string")
+    assert df.select(own.column(df, "sql").alias("p")).first().p == "Q: a?  \n\nend"
+    assert prompts.cut("ab\ncd\nef", 6) == "ab\ncd" and prompts.cut("abcdef", 3) == "abc"
+
+
+def test_catalog_of_an_information_schema(spark):
+    columns = spark.createDataFrame([("t", "b", 2), ("t", "a", 1), ("u", "x", 1)], "TABLE_NAME string, COLUMN_NAME string, ORDINAL_POSITION int")
+    keys = spark.createDataFrame([("t", "a", "PRIMARY", None, None, 1), ("u", "x", "fk1", "t", "a", 1), ("u", "x", "PRIMARY", None, None, 1), ("t", "b", "unique_b", None, None, 1)], "TABLE_NAME string, COLUMN_NAME string, CONSTRAINT_NAME string, REFERENCED_TABLE_NAME string, REFERENCED_COLUMN_NAME string, ORDINAL_POSITION int")
+    assert declared(columns, keys) == ({"t": ["a", "b"], "u": ["x"]}, {"t": ["a"], "u": ["x"]}, {("u", "x"): ("t", "a")})
+
+
 def test_cycles_end(spark):
     tree = spark.createDataFrame([(1, None, 1.0), (2, 1, 1.0), (5, 6, 1.0), (6, 5, 1.0), (7, 6, 1.0), (8, 99, 1.0)], "id int, parent int, amount double")
     assert {(r.id, r.level, r.path) for r in closure.levels(tree).collect()} == {(1, 0, "1"), (2, 1, "1/2")}
