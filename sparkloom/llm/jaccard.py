@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, connected, partitions
+from .shared import checkpointed, connected, forest, partitions
 from .words import U, Words, by_bucket, grams, joined, mix, run_hashes, slices
 
 #: Sets up to this size may be light; they travel with the table of nodes.
@@ -321,20 +321,6 @@ def candidate_links(sets: DataFrame, percent: int) -> DataFrame:
     return filed.join(hubs, "hash").where("u <> v").select("u", "v").distinct()
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest reachable index of each of n nodes by links a[i] - b[i]."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if np.array_equal(new, root):
-            return root
-        root = new
-
-
 def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices (i, j) of similar sets, i in left and j in right, by incidence matrices over a part of the shingles at a time."""
     n = np.array([len(s) for s in sets])
@@ -436,7 +422,7 @@ def verified_links(sets: DataFrame, links: DataFrame, percent: int) -> DataFrame
             if not len(left) or not len(right):
                 continue
             i, j = similar_pairs(hashes, left, right, percent)
-            root = _forest(b - a, i, j)
+            root = forest(b - a, i, j)
             moved = np.flatnonzero(root != np.arange(b - a))
             u.append(own[moved])
             v.append(own[root[moved]])

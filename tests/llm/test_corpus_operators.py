@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import jaccard, merkle, mixing, packing, queries, substrings, topk, toxicity, url_filter, warc, wrappers, words
+from sparkloom.llm import jaccard, merkle, mixing, packing, queries, shared, substrings, topk, toxicity, url_filter, warc, wrappers, words
 
 EXTRA = ", id string, n string, bucket string, score string, host string, k string, kept string, topic string, fingerprint string"
 CLASH = ("x",) * 9
@@ -101,10 +101,26 @@ def test_jaccard_light_sets_and_tiles(spark, monkeypatch):
     assert got == brute_components(rows, 1, 80)
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", 4)
     monkeypatch.setattr(jaccard, "FEW_TEXTS", 0)
+    monkeypatch.setattr(shared, "FEW_EDGES", 0)
     got = sorted((tuple(r) for r in jaccard.components(documents(spark, rows), k=2, percent=60).collect()), key=repr)
     assert got == brute_components(rows, 2, 60)
 
 
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_connected(spark, monkeypatch, few):
+    monkeypatch.setattr(shared, "FEW_EDGES", few)
+    rng = random.Random(12)
+    edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7), (-(2**60), 5), (5, -(2**60))]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(200):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = shared.connected(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert sorted((r.node, r.root) for r in got) == sorted(root.items())
+    assert shared.connected(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_boundary_and_thresholds():
     for p in (60, 80, 85, 95):
         for a in range(1, 60):
