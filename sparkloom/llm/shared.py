@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +21,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def released() -> None:
+    """Give the process's free memory back to the system, where the C library can; a driver that trained a model goes on with other work."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not the GNU library: memory stays with the process
+
+
 def unused(name: str, *taken: str) -> str:
     """``name``, with as many underscores after it as keep it apart from the names taken (Spark doesn't tell A from a)."""
     known = {t.lower() for t in taken}

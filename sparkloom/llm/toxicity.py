@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import unused
+from .shared import released, unused
 from .words import U, Words, mix, ranges, slices
 
 WINDOW, STRIDE = 32, 16
@@ -54,6 +54,31 @@ _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
+def _char_rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Table rows of words by their beginnings, their ending and all their runs of INNER bytes, word by word; and how many each has."""
+    size = np.array(list(map(len, words)), np.int64)
+    end = np.cumsum(size)
+    start = end - size
+    data = np.frombuffer(b"".join(words) + bytes(8), np.uint8).astype(np.uint64)
+    run = data[: len(data) - 7].copy()  # eight bytes from each place, then fewer
+    for j in range(1, 8):
+        run |= data[j : len(data) - 7 + j] << U(8 * j)
+    row = lambda at, n, kind: (mix((run[at] & U((1 << 8 * n) - 1)) * U(257) + U(1000 * kind + n)) % U(ROWS)).astype(np.int32)
+    word, rows = [], []
+    for n in PREFIXES:
+        there = np.flatnonzero(size >= n)
+        word.append(there)
+        rows.append(row(start[there], n, 1))
+    tail = np.minimum(size, 4)
+    word.append(np.arange(len(size)))
+    rows.append(np.where(tail == 4, row(end - tail, 4, 2), row(start, 3, 2)).astype(np.int32))
+    many = np.maximum(size - INNER, 0)
+    word.append(np.repeat(np.arange(len(size)), many))
+    rows.append(row(ranges(start + 1, many), INNER, 3))
+    word = np.concatenate(word)
+    return np.concatenate(rows)[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(size))
+
+
 class Inputs:
     """Words of texts as indices into two tables: one row by word, several by its characters (those of word i: chars[limits[i] : limits[i + 1]])."""
 
@@ -63,32 +88,12 @@ class Inputs:
         self.counts, self.first = w.counts, w.first
         self._rows()
 
-    def _rows(self) -> None:
-        """Table rows of the distinct words: by the whole word; by its beginnings, its ending and all its runs of INNER bytes."""
-        size = np.array(list(map(len, self.known)), np.int64)
-        end = np.cumsum(size)
-        start = end - size
-        data = np.frombuffer(b"".join(self.known) + bytes(8), np.uint8).astype(np.uint64)
-        run = data[: len(data) - 7].copy()  # eight bytes from each place, then fewer
-        for j in range(1, 8):
-            run |= data[j : len(data) - 7 + j] << U(8 * j)
-        row = lambda at, n, kind: (mix((run[at] & U((1 << 8 * n) - 1)) * U(257) + U(1000 * kind + n)) % U(ROWS)).astype(np.int32)
-        word, rows = [], []
-        for n in PREFIXES:
-            there = np.flatnonzero(size >= n)
-            word.append(there)
-            rows.append(row(start[there], n, 1))
-        there = np.flatnonzero(size > 0)
-        tail = np.minimum(size[there], 4)
-        word.append(there)
-        rows.append(np.where(tail == 4, row(end[there] - tail, 4, 2), row(start[there], 3, 2)).astype(np.int32))
-        many = np.maximum(size - INNER, 0)
-        word.append(np.repeat(np.arange(len(size)), many))
-        rows.append(row(ranges(start + 1, many), INNER, 3))
-        word, rows = np.concatenate(word), np.concatenate(rows)
-        order = np.argsort(word, kind="stable")
-        self.chars, self.limits = rows[order], np.searchsorted(word[order], np.arange(len(size) + 1))
-        self.word = (np.fromiter(map(zlib.crc32, self.known), np.int64, len(size)) % ROWS).astype(np.int32)
+    def _rows(self, block: int = 1 << 15) -> None:
+        """Table rows of the distinct words, a block of them at a time."""
+        parts = [_char_rows(self.known[i : i + block]) for i in range(0, len(self.known), block)]
+        self.chars = np.concatenate([np.zeros(0, np.int32), *(p[0] for p in parts)])
+        self.limits = np.r_[0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)]))]
+        self.word = (np.fromiter(map(zlib.crc32, self.known), np.int64, len(self.known)) % ROWS).astype(np.int32)
 
     @classmethod
     def of(cls, texts: list[str], chars: int = 1 << 19) -> Inputs:
@@ -431,7 +436,11 @@ def training_rows(documents: DataFrame, labels: DataFrame, key: str = "doc_id",
 
 def train(documents: DataFrame, labels: DataFrame, **names: str) -> Network | None:
     rows = training_rows(documents, labels, **names)
-    return fit([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows])
+    try:
+        return fit([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows])
+    finally:
+        del rows
+        released()
 
 
 def with_score(documents: DataFrame, net: Network | None, text: str = "text", name: str = "score") -> DataFrame:
