@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, connected, forest, partitions
+from .shared import checkpointed, connected, forest, partitions, released
 from .words import U, Words, by_bucket, grams, joined, mix, run_hashes, slices
 
 #: Sets up to this size may be light; they travel with the table of nodes.
@@ -107,6 +107,7 @@ def nodes_of(documents: DataFrame, key: str, text: str, k: int, percent: int) ->
                 small = [h[a : a + c].tobytes() if 0 < c <= LIGHT_MOST else None for a, c in zip(start, size, strict=True)]
                 low = [h[a : a + c].tobytes() for a, c in zip(start, (n - least(n, percent) + demand(n)).tolist(), strict=True)]  # a set's hashes are sorted
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(digests(of, h, n)), pa.array(small, pa.binary()), pa.array(low, pa.binary())], names=["id", "text_hash", "n", "node", "small", "low"])
+        released()
 
     kind = documents.schema[key].dataType.simpleString()
     return documents.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, f"id {kind}, text_hash long, n long, node long, small binary, low binary")

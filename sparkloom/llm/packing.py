@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import released
 from .words import distinct, ranges, slices
 
 WINDOW = 1024
@@ -48,7 +49,7 @@ END_ID = 0
 #: Bytes of text that are encoded at a time.
 SLICE = 2 << 20
 #: Encoded units are kept for the life of a worker, at most so many.
-CACHED_UNITS = 1_000_000
+CACHED_UNITS = 400_000
 
 
 def combinations(total: int, depth: int) -> list[tuple[int, ...]]:
@@ -324,5 +325,6 @@ def pack(documents: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
                         yield out()
         if key_type is not None:
             yield from flush()
+        released()
 
     return documents.select(key, text).mapInArrow(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -22,7 +22,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def released() -> None:
-    """Give the process's free memory back to the system, where the C library can; a driver that trained a model goes on with other work."""
+    """Give the process's free memory back to the system, where the C library can: workers go on to other tasks, a driver that trained a model to other work."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

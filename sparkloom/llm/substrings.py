@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import checkpointed, partitions
+from .shared import checkpointed, partitions, released
 from .words import U, Words, by_bucket, distinct, joined, mix, run_hashes, slices
 
 WINDOW, SEED = 50, 8
@@ -222,6 +222,8 @@ def repeated(documents: DataFrame, key: str = "doc_id", text: str = "text", wind
                 held, n = [], 0
         if n:
             yield from _split(*map(np.concatenate, zip(*held, strict=True)), buckets)
+        held.clear()
+        released()
 
     def several(table: pa.Table) -> pa.Table:
         late = table.filter(table["decided"])
@@ -305,6 +307,8 @@ def repeated(documents: DataFrame, key: str = "doc_id", text: str = "text", wind
             yield decided(doc[late], crc[late], (at - left)[late], (at + right)[late])
         if n:
             yield from windows(held)
+        held.clear()
+        released()
 
     def decided(doc: np.ndarray, crc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
         return _rows(SUFFIXES, by_bucket(_doc_bucket(doc, buckets), doc, crc, start.astype(np.int32), end.astype(np.int32)), {"kind": 2}, ("bucket", "doc", "crc", "at", "end"))

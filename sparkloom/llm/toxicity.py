@@ -454,6 +454,7 @@ def with_score(documents: DataFrame, net: Network | None, text: str = "text", na
         for whole in batches:
             for batch in slices(whole, f"c{at}"):
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_texts(net, batch.column(at)), pa.float64())], names=[*batch.schema.names, "score"])
+        released()
 
     scored = documents.toDF(*(f.name for f in numbered)).mapInArrow(run, T.StructType([*numbered, T.StructField("score", T.DoubleType())]))
     return scored.toDF(*(f.name for f in fields), name)
