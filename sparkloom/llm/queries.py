@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, merkle, mixing, packing, substrings, topk, toxicity, url_filter, warc, wrappers
+from . import divergence, fim, jaccard, merkle, mixing, packing, quality_forest, substrings, topk, toxicity, url_filter, warc, wrappers
 
 
 def tokenizer_path() -> str:
@@ -61,10 +61,25 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+def op12_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality_forest.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reason")
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    rows = fim.fim(table(spark, folder, "documents"))
+    text = fim.restored(F.col("form"), F.col("output"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_html_extraction, op2_url_filters, op3_fingerprints, op4_substring_dedup, op5_top_k, op6_packing, op7_ngram_jaccard_join, op8_toxicity, op9_mixing, op10_warc]
+    found = [op1_html_extraction, op2_url_filters, op3_fingerprints, op4_substring_dedup, op5_top_k, op6_packing, op7_ngram_jaccard_join, op8_toxicity, op9_mixing, op10_warc, op11_source_divergence, op12_quality_rules, op13_fill_in_middle]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": url_filter.ORACLE_SQL, "op3_fingerprints": merkle.ORACLE_SQL, "op4_substring_dedup": substrings.ORACLE_SQL, "op7_ngram_jaccard_join": jaccard.ORACLE_SQL, "op5_top_k": topk.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
+    return {"op2_url_filters": url_filter.ORACLE_SQL, "op3_fingerprints": merkle.ORACLE_SQL, "op4_substring_dedup": substrings.ORACLE_SQL, "op7_ngram_jaccard_join": jaccard.ORACLE_SQL, "op5_top_k": topk.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL, "op11_source_divergence": divergence.ORACLE_SQL, "op13_fill_in_middle": fim.ORACLE_SQL}
