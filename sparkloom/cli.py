@@ -76,12 +76,14 @@ def run_benchmark(spark: SparkSession, a: argparse.Namespace) -> dict[str, int]:
     for r in workload.shard(quotas, a.shard, a.num_shards).orderBy("position").collect():
         out = f"{a.output_root}/{a.benchmark}/{r['database']}"
         store = JsonStore(spark, f"{out}/history")
+        corpus.publish(store, f"{out}/training")  # what a stopped run committed
         have = made[r["database"]] = produced(spark, f"{out}/training")
         if have >= r["quota"]:
             continue
         try:
             if not have:
                 store.clear(*LOGS)
+                store.restart()
             engine = Engine(spark, Catalog.of_sqlite(spark, sqlite_path(a.db_root, a.benchmark, r["database"])), store, Settings(batch_size=a.batch_size, max_iterations=a.max_iters, benchmark=a.benchmark))
             engine.run(r["quota"] - have, f"{out}/training", resume=True)
         except Exception as e:  # one broken database must not end the run; it is named, and tried again by the next run

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import annotate, checks, corpus, guard, profile, refine, relations, review, semantics, workload
-from .sources.store import JsonStore, MemoryStore
 from .sources.catalog import Catalog
+from .sources.folders import removed
+from .sources.store import JsonStore, MemoryStore
 from .sources.tables import healthy
 
 LAYERS = ("k1", "k2", "k3", "k4", "k5", "k6")
@@ -29,6 +30,7 @@ class Settings:
     batch_size: int = 25
     seed: int = 1
     benchmark: str | None = None
+    statement_seconds: float | None = refine.SECONDS
 
 
 class Engine:
@@ -44,6 +46,7 @@ class Engine:
             raise RuntimeError("the session doesn't answer")
         self.catalog.register()
         self.knowledge: refine.Knowledge | None = None
+        self.in_batch = False
 
     def analyze(self, reuse: bool = False) -> refine.Knowledge:
         """K1 to K6; each layer is saved and kept. With reuse, layers that the store holds are read and not made again, if it holds all six."""
@@ -95,25 +98,30 @@ class Engine:
         return semantics.layer_summary(k1=k.k1, k2=k.k2, k3=k.k3, k4=k.k4, k5=k.k5, k6=k.k6)
 
     def diagnose(self, samples: list[refine.Sample]) -> DataFrame:
-        """The audit table of the samples after refinement; it is appended to the logs."""
+        """The audit table of the samples after refinement; it is appended to the logs, unless a run commits it with its batch."""
         k = self.knowledge or self.analyze()
-        refine.refine(self.spark, samples, k, self.annotator(), self.settings.max_iterations, self.reviewer or review.by_rules(self.spark, k))
+        refine.refine(self.spark, samples, k, self.annotator(), self.settings.max_iterations, self.reviewer or review.by_rules(self.spark, k), self.settings.statement_seconds)
         traces = refine.traces(self.spark, samples).cache()
-        self.store.append("diagnosis_trace", traces)
-        self.store.append("corpus_manifest", corpus.manifest(traces))
+        if not self.in_batch:
+            self.store.append("diagnosis_trace", traces)
+            self.store.append("corpus_manifest", corpus.manifest(traces))
         return traces
 
     def training_rows(self, samples: list[refine.Sample], traces: DataFrame) -> DataFrame:
         rows = self.spark.createDataFrame([(s.question_id, s.question, s.think, s.sql) for s in samples], corpus.TRAINING)
         return rows.join(traces.select("question_id", "decision"), "question_id")
 
-    def record(self, samples: list[refine.Sample]) -> None:
-        """Phase 2: the questions and what their first statements give are appended to the logs."""
-        self.store.append("questions", self.spark.createDataFrame([(s.question_id, s.question, s.think) for s in samples], QUESTIONS))
-        for s in samples:
-            s.outcome = guard.execute(self.spark, s.sql)
+    def first_results(self, samples: list[refine.Sample]) -> dict[str, DataFrame]:
+        """Phase 2: the questions and what their first statements give."""
+        questions = self.spark.createDataFrame([(s.question_id, s.question, s.think) for s in samples], QUESTIONS)
+        refine.run_statements(self.spark, samples, self.settings.statement_seconds)
         rows = [(s.question_id, s.sql, s.outcome.success, s.outcome.row_count, s.outcome.error, s.outcome.error_type) for s in samples]
-        self.store.append("sql_results", self.spark.createDataFrame(rows, RESULTS))
+        return {"questions": questions, "sql_results": self.spark.createDataFrame(rows, RESULTS)}
+
+    def record(self, samples: list[refine.Sample]) -> None:
+        """Phase 2 by itself: its results are appended to the logs."""
+        for layer, rows in self.first_results(samples).items():
+            self.store.append(layer, rows)
 
     def tried(self) -> int:
         """The first task that no logged question belongs to; a run that goes on starts there."""
@@ -124,22 +132,37 @@ class Engine:
     def run(self, count: int, output: str | None = None, resume: bool = False) -> DataFrame | None:
         """Analyse, then batches of samples until ``count`` are accepted, at most three times as many tried; the traces, or None without any.
 
-        With resume, knowledge and logs of an earlier run are kept: tasks go on after
-        the last one logged, and accepted samples are added to the output.
+        A batch's questions, first results, traces and accepted samples are committed
+        together, then published to the output; a run that stops in between has whole
+        batches only. With resume, knowledge and logs of an earlier run are kept: what it
+        committed is published if it wasn't, tasks go on after the last one committed, and
+        accepted samples are added to the output. Without, logs and output start empty.
         """
         self.analyze(reuse=resume)
+        if not resume:
+            self.store.restart()
+            if output:
+                removed(self.spark, output)
+        elif output:
+            corpus.publish(self.store, output)
         start = self.tried() if resume else 0
         accepted, end, out = 0, start + 3 * count + self.settings.batch_size, None
         while accepted < count and start < end:
-            samples = self.generate(min(self.settings.batch_size, count - accepted), start)
-            start += min(self.settings.batch_size, count - accepted)
+            size = min(self.settings.batch_size, count - accepted)
+            samples, batch = self.generate(size, start), f"b{start:012d}"
+            start += size
             if not samples:
                 continue
-            self.record(samples)
-            traces = self.diagnose(samples)
-            rows = self.training_rows(samples, traces)
+            layers = self.first_results(samples)
+            self.in_batch = True
+            try:
+                traces = self.diagnose(samples)
+            finally:
+                self.in_batch = False
+            rows = self.training_rows(samples, traces).where("decision = 'accepted'").cache()
+            self.store.commit(batch, layers | {"diagnosis_trace": traces, "corpus_manifest": corpus.manifest(traces), "training": rows.drop("decision")})
             if output:
-                corpus.export(rows, output, append=resume or out is not None)
-            accepted += rows.where("decision = 'accepted'").count()
+                corpus.publish(self.store, output)
+            accepted += rows.count()
             out = traces if out is None else out.unionByName(traces)
         return out

@@ -11,13 +11,18 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.folders import checkpointed
+from ..sources.store import JsonStore, MemoryStore
+
 
 def unwrapped(answer: str) -> str:
     """An answer without its thoughts and code fences."""
@@ -35,14 +40,73 @@ def as_json(answer: str) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
-def annotated(rows: DataFrame, prompt: str, client: Callable[[list[str]], list[str]], column: str = "answer") -> DataFrame:
-    """rows with a model's answer to each prompt; ``client`` runs on executors and takes a batch of prompts."""
+ANSWERS = "digest string, answer string, error string"
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([unwrapped(a) for a in client(batch.tolist())])
 
-    return rows.withColumn(column, F.pandas_udf(run, "string")(F.col(prompt)))
+@dataclass(frozen=True)
+class Calls:
+    """How a model is called: tries for a batch of prompts, seconds before the second (doubled for each one more), and seconds that a call may take."""
+
+    tries: int = 3
+    wait: float = 1.0
+    seconds: float | None = 1200.0
+
+
+def _asked(client: Callable[[list[str]], list[str]], prompts: list[str], calls: Calls) -> list[tuple[str | None, str | None]]:
+    """(answer, error) of each prompt; a batch that fails is asked prompt by prompt in its last try."""
+
+    def call(some: list[str]) -> list[str]:
+        if calls.seconds is None:
+            return client(some)
+        pool = ThreadPoolExecutor(1)
+        try:
+            return pool.submit(client, some).result(calls.seconds)
+        finally:
+            pool.shutdown(wait=False)  # a call that hangs is left behind
+
+    error = ""
+    for k in range(calls.tries - 1):
+        try:
+            found = call(prompts)
+            if len(found) == len(prompts):
+                return [(unwrapped(a), None) for a in found]
+            error = f"{len(found)} answers to {len(prompts)} prompts"
+        except Exception as e:  # whatever a remote service does wrong is tried again and then told
+            error = f"{type(e).__name__}: {e}"[:300]
+        time.sleep(calls.wait * 2**k)
+    out: list[tuple[str | None, str | None]] = []
+    for p in prompts:
+        try:
+            out.append((unwrapped(call([p])[0]), None))
+        except Exception as e:  # as above, for this prompt alone
+            out.append((None, f"{type(e).__name__}: {e}"[:300] or error))
+    return out
+
+
+def annotated(rows: DataFrame, prompt: str, client: Callable[[list[str]], list[str]], column: str = "answer", store: JsonStore | MemoryStore | None = None, calls: Calls = Calls()) -> DataFrame:
+    """rows with a model's answer to each prompt; ``client`` runs on executors and takes a batch of prompts.
+
+    Equal prompts are asked once. With a store, answers are kept in its layer
+    ``answers`` by the SHA-256 of their prompts, and prompts with an answer there
+    aren't asked again. A prompt that gets no answer has null; what went wrong is kept
+    with it, and it is asked again another time. A null prompt has no answer.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = _asked(client, batch["prompt"].tolist(), calls) if len(batch) else []
+            yield pd.DataFrame({"digest": batch["digest"], "answer": [a for a, _ in found], "error": [e for _, e in found]}, dtype=object)
+
+    digest = F.sha2(F.col(prompt), 256)
+    wanted = rows.select(digest.alias("digest"), F.col(prompt).alias("prompt")).where("prompt IS NOT NULL").dropDuplicates(["digest"])
+    if store is None:
+        answers = wanted.mapInPandas(run, ANSWERS)
+    else:
+        if store.exists("answers"):
+            wanted = wanted.join(store.load("answers", ANSWERS).where("error IS NULL").select("digest"), "digest", "left_anti")
+        store.append("answers", checkpointed(wanted.mapInPandas(run, ANSWERS)))
+        answers = store.load("answers", ANSWERS)
+    answers = answers.where("error IS NULL").dropDuplicates(["digest"]).select(F.col("digest").alias("_digest"), F.col("answer").alias(column))
+    return rows.join(answers, digest == F.col("_digest"), "left").drop("_digest")
 
 
 def strings(json_array: Column, name: str = "name") -> Column:

@@ -47,6 +47,7 @@ class FactTables:
         self.tables = spark.createDataFrame(rows(lambda f: {(t,) for t in f.tables}), q + "table_name string")
         self.joins = spark.createDataFrame(rows(lambda f: f.joins), q + "left_table string, left_column string, right_table string, right_column string")
         self.aggregates = spark.createDataFrame(rows(lambda f: f.aggregates), q + "func string, table_name string, column_name string, clause string")
+        self.functions = spark.createDataFrame(rows(lambda f: {(x,) for x in f.functions}), q + "func string")
         self.failed = spark.createDataFrame([(n, t, None, None, None, d, None, None, "s", None) for n, _, t, d in found if t], ERROR)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import JsonStore, MemoryStore
+
 METADATA = "struct<main_scenario:string,sub_scenario:string,complexity_level:int,use_case:string>"
 THINK = f"struct<focus:string,metadata:{METADATA},table_selection:struct<tables_used:array<string>,reasoning:string>,column_selection:struct<columns_used:array<struct<name:string,type:string,operation:string,purpose:string>>>,sql_strategy:struct<operations:array<string>,approach:string,no_need:array<string>>,expected_output:string>"
 TRAINING = f"question_id string, question string, think {THINK}, answer string"
@@ -25,9 +27,24 @@ def export(samples: DataFrame, path: str, accepted_only: bool = True, append: bo
     rows.select("question_id", "question", "think", "answer").write.mode("append" if append else "overwrite").json(path)
 
 
+def publish(store: JsonStore | MemoryStore, path: str) -> None:
+    """Put the accepted samples of committed batches under a folder, each batch once: it is written aside, renamed to its name, and noted."""
+    for b in store.batches():
+        if store.published(b):
+            continue
+        spark = SparkSession.active()
+        aside, target = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{x}") for x in (f"_{b}", f"batch={b}"))
+        files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not files.exists(target):
+            store.batch(b, "training", TRAINING).select("question_id", "question", "think", "answer").write.mode("overwrite").json(f"{path}/_{b}")
+            if not files.rename(aside, target):
+                raise OSError(f"{path}/batch={b} can't be put in place")
+        store.published(b, now=True)
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """Training records with their rationale; blank and malformed lines are left out."""
-    return spark.read.schema(TRAINING).option("mode", "DROPMALFORMED").json(path).where("question_id IS NOT NULL AND answer IS NOT NULL")
+    """Training records with their rationale, of batches or not; blank and malformed lines are left out."""
+    return spark.read.schema(TRAINING).option("recursiveFileLookup", "true").option("mode", "DROPMALFORMED").json(path).where("question_id IS NOT NULL AND answer IS NOT NULL")
 
 
 def _errors(traces: DataFrame) -> DataFrame:

@@ -1,14 +1,21 @@
-"""Safe execution: only queries, bounded results, and errors by class."""
+"""Safe execution: only queries, bounded results, a time limit, and errors by class."""
 
 from __future__ import annotations
 
 import re
+import threading
+import uuid
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 LIMIT = 100
+#: Statements that run at once, seconds between two attempts to stop one, and between looks whether it runs.
+THREADS, AGAIN, LOOK = 4, 0.5, 0.2
 #: Roots of parsed plans that are queries; every other root is refused.
 QUERY_ROOTS = frozenset("Aggregate Distinct Except Filter GlobalLimit Intersect LocalLimit Offset OneRowRelation Project Sort SubqueryAlias Union UnresolvedHaving UnresolvedInlineTable UnresolvedOffset UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedWith WithWindowDefinition LateralJoin LocalRelation Join Pivot Unpivot Generate TableSample Sample".split())
 #: Spark's error conditions by our error types; anything else is execution_failed.
@@ -67,20 +74,80 @@ def query(spark: SparkSession, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
-def execute(spark: SparkSession, sql: str, limit: int = LIMIT) -> Outcome:
-    """Run a query and bring at most ``limit`` rows; never raises for what the statement does wrong."""
+@contextmanager
+def stopped_after(spark: SparkSession, seconds: float | None) -> Iterator[threading.Event]:
+    """Jobs that this thread starts inside are cancelled when the time is up; the event tells whether that was so.
+
+    Time counts from the first task that runs, so a statement that waits behind others
+    isn't stopped for them. A statement may start one job after another, so what it
+    runs is cancelled again until it ends.
+    """
+    context, tag, over, late = spark.sparkContext, f"statement-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+    status = context._jsc.sc().statusTracker()
+
+    def running() -> bool:
+        for job in status.getJobIdsForTag(tag):
+            info = status.getJobInfo(job)
+            stages = [status.getStageInfo(x) for x in (info.get().stageIds() if info.isDefined() else ())]
+            if any(x.isDefined() and x.get().numActiveTasks() + x.get().numCompletedTasks() for x in stages):
+                return True
+        return False
+
+    def watch() -> None:
+        while not running():
+            if over.wait(LOOK):
+                return
+        if not over.wait(seconds):
+            late.set()
+            while not over.is_set():
+                context.cancelJobsWithTag(tag)
+                over.wait(AGAIN)
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    interrupt = context.getLocalProperty("spark.job.interruptOnCancel")
+    context.addJobTag(tag)
+    context.setLocalProperty("spark.job.interruptOnCancel", "true")
+    if seconds is not None:
+        watcher.start()
     try:
-        df = query(spark, sql)
-        rows = df.limit(limit + 1).collect()
-    except NotAQuery as e:
-        return Outcome(sql, False, error=str(e), error_type="execution_failed")
-    except PySparkException as e:
-        condition = e.getCondition() if hasattr(e, "getCondition") else None
-        return Outcome(sql, False, error=str(e).strip().split("\n")[0][:500], error_type=error_type(condition, str(e)))
+        yield late
+    finally:
+        over.set()
+        context.removeJobTag(tag)
+        context.setLocalProperty("spark.job.interruptOnCancel", interrupt)
+
+
+def execute(spark: SparkSession, sql: str, limit: int = LIMIT, seconds: float | None = None) -> Outcome:
+    """Run a query and bring at most ``limit`` rows, for at most about ``seconds``; never raises for what the statement does wrong."""
+    with stopped_after(spark, seconds) as late:
+        try:
+            df = query(spark, sql)
+            rows = df.limit(limit + 1).collect()
+        except NotAQuery as e:
+            return Outcome(sql, False, error=str(e), error_type="execution_failed")
+        except Exception as e:
+            if late.is_set():
+                return Outcome(sql, False, error=f"stopped after {seconds:g} seconds", error_type="execution_failed")
+            if not isinstance(e, PySparkException):
+                raise
+            condition = e.getCondition() if hasattr(e, "getCondition") else None
+            return Outcome(sql, False, error=str(e).strip().split("\n")[0][:500], error_type=error_type(condition, str(e)))
     data = [r.asDict(recursive=True) for r in rows[:limit]]
     return Outcome(sql, True, df.columns, data, len(data), len(rows) > limit)
 
 
+def execute_all(spark: SparkSession, statements: dict[str, str], limit: int = LIMIT, seconds: float | None = None, threads: int = THREADS) -> dict[str, Outcome]:
+    """Outcomes by name. Some statements run at once, each in a pool of its own where Spark schedules fairly, so a long one holds up no other."""
+
+    def one(item: tuple[str, str]) -> tuple[str, Outcome]:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"statement-{threading.get_ident()}")
+        name, sql = item
+        return name, execute(spark, sql, limit, seconds) if cleaned(sql) else Outcome(sql, False, error="empty statement", error_type="syntax_error")
+
+    with ThreadPoolExecutor(threads) as pool:
+        return dict(pool.map(one, statements.items()))
+
+
 def extract_sql(answer: str) -> tuple[str, dict]:
     """(sql, rationale) of an answer: its outermost JSON object, else a fenced block, else the text itself."""
     import json

@@ -55,14 +55,20 @@ def schema_of(frames: dict[str, DataFrame], blocked: tuple[str, ...] = ("aid_inf
     return spark.createDataFrame(rows, "table_name string, ordinal int, column_name string, data_type string, kind string, nullable boolean, primary_key boolean, foreign_key boolean")
 
 
-def profile_all(frames: dict[str, DataFrame], blocked: tuple[str, ...] = ("aid_info",), primary: dict | None = None, foreign: dict | None = None) -> DataFrame:
+def profile_all(frames: dict[str, DataFrame], blocked: tuple[str, ...] = ("aid_info",), primary: dict | None = None, foreign: dict | None = None, columns: set[tuple[str, str]] | None = None) -> DataFrame:
     """The K1 layer: a row for each column of each table; tables whose name holds a blocked part are left out.
 
-    primary and foreign are declared keys, those of the test tables by default.
+    primary and foreign are declared keys, those of the test tables by default. With
+    ``columns`` (table, column) only those are profiled, and no other is read.
     All tables go through one distinct of (table, column, value), whose rows
     spread by value, so neither a long table nor a hot column is one task's.
     """
     use = {n: d for n, d in frames.items() if not any(b in n for b in blocked)}
+    if columns is not None:
+        use = {n: d.select(*(f"`{c}`" for c in d.columns if (n, c) in columns)) for n, d in use.items()}
+        use = {n: d for n, d in use.items() if d.columns}
+        if not use:
+            return schema_of(frames, ("",)).selectExpr("table_name", "ordinal", "column_name", "data_type", "kind", "nullable", "primary_key", "foreign_key", "0L AS row_count", "0L AS n_distinct", "'medium' AS entropy_level", "CAST(array() AS array<string>) AS sample_values")
     key = ["table_name", "ordinal"]
     values = column_values(use)
     first = Window.partitionBy(*key).orderBy("value")
@@ -70,9 +76,8 @@ def profile_all(frames: dict[str, DataFrame], blocked: tuple[str, ...] = ("aid_i
     samples = samples.groupBy(*key).agg(F.array_sort(F.collect_list(F.substring("value", 1, SAMPLE_CHARS))).alias("sample_values"))
     counts = values.groupBy(*key).agg(F.count("*").alias("n_distinct"))
     rows = reduce(DataFrame.unionByName, (d.agg(F.count("*").alias("row_count")).select(F.lit(n).alias("table_name"), "row_count") for n, d in use.items()))
-    columns = schema_of(use, (), primary, foreign)
     # a row a column of the catalogue: small on every side
-    out = columns.join(rows, "table_name").join(counts, key, "left").join(samples, key, "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0).cast("long")))
+    out = schema_of(use, (), primary, foreign).join(rows, "table_name").join(counts, key, "left").join(samples, key, "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0).cast("long")))
     level = entropy_level(F.col("n_distinct"), F.col("row_count"))
     return out.select("table_name", "ordinal", "column_name", "data_type", "kind", "nullable", "primary_key", "foreign_key", "row_count", "n_distinct", level.alias("entropy_level"), F.coalesce("sample_values", F.expr("array()").cast("array<string>")).alias("sample_values"))
 

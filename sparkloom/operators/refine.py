@@ -38,12 +38,22 @@ class Knowledge:
 Reviewer = Callable[[list[Sample]], DataFrame | None]
 
 
-def diagnose(spark: SparkSession, samples: list[Sample], knowledge: Knowledge, reviewer: Reviewer | None = None) -> dict[str, list[dict]]:
+#: Seconds that a statement may run.
+SECONDS = 60.0
+
+
+def run_statements(spark: SparkSession, samples: list[Sample], seconds: float | None = SECONDS) -> None:
+    """Each sample's statement is run, unless it has run already."""
+    new = [s for s in samples if s.outcome is None or s.outcome.sql != s.sql]
+    found = guard.execute_all(spark, {str(i): s.sql for i, s in enumerate(new)}, seconds=seconds)
+    for i, s in enumerate(new):
+        s.outcome = found[str(i)]
+
+
+def diagnose(spark: SparkSession, samples: list[Sample], knowledge: Knowledge, reviewer: Reviewer | None = None, seconds: float | None = SECONDS) -> dict[str, list[dict]]:
     """Errors by sample: all checks run as joins over all samples' facts; what fails one check still meets the others."""
     facts = checks.FactTables(spark, {s.question_id: s.sql for s in samples})
-    for s in samples:
-        if s.outcome is None or s.outcome.sql != s.sql:
-            s.outcome = guard.execute(spark, s.sql) if guard.cleaned(s.sql) else guard.Outcome(s.sql, False, error="empty statement", error_type="syntax_error")
+    run_statements(spark, samples, seconds)
     found = checks.check_columns(facts.columns, knowledge.k1).unionByName(checks.check_joins(facts.joins, knowledge.k6)).unionByName(checks.check_aggregates(facts.aggregates, knowledge.k3))
     # a statement that can't be analysed can't run either; its class is known from the analysis
     analysed = {s.question_id: s.outcome for s in samples if s.question_id in facts.facts}
@@ -61,7 +71,7 @@ def diagnose(spark: SparkSession, samples: list[Sample], knowledge: Knowledge, r
     return by
 
 
-def refine(spark: SparkSession, samples: list[Sample], knowledge: Knowledge, annotator: RuleAnnotator, max_iterations: int = 3, reviewer: Reviewer | None = None) -> list[Sample]:
+def refine(spark: SparkSession, samples: list[Sample], knowledge: Knowledge, annotator: RuleAnnotator, max_iterations: int = 3, reviewer: Reviewer | None = None, seconds: float | None = SECONDS) -> list[Sample]:
     """Repair statements until nothing is found, at most ``max_iterations`` times; questions are never edited."""
     k1: dict[str, list[str]] = defaultdict(list)
     for r in knowledge.k1.select("table_name", "column_name").collect():
@@ -76,7 +86,7 @@ def refine(spark: SparkSession, samples: list[Sample], knowledge: Knowledge, ann
         left = [s for s in samples if s.closed is None]
         if not left:
             break
-        found = diagnose(spark, left, knowledge, reviewer)
+        found = diagnose(spark, left, knowledge, reviewer, seconds)
         for s in left:
             s.errors = found.get(s.question_id, [])
             step = {"iteration": k, "sql_before": s.sql, "sql_after": s.sql, "errors": s.errors}

@@ -20,18 +20,19 @@ if TYPE_CHECKING:
 ISSUE = "question_id string, class string, artifact string, clause string, table_name string, column_name string, detail string, condition string"
 #: Words of a question and the functions of which the statement needs one.
 FIGURES = (
-    (r"\b(average|mean)\b", r"\bAVG\s*\("),
-    (r"\b(total|sum)\b", r"\b(SUM|COUNT)\s*\("),
-    (r"\b(how many|number of|count of)\b", r"\bCOUNT\s*\("),
+    (r"\b(average|mean)\b", ("AVG",)),
+    (r"\b(total|sum)\b", ("SUM", "COUNT")),
+    (r"\b(how many|number of|count of)\b", ("COUNT",)),
 )
 
 
-def figures(asked: DataFrame) -> DataFrame:
-    """Issues of class II-1 of (question_id, question, sql)."""
+def figures(asked: DataFrame, computed: DataFrame) -> DataFrame:
+    """Issues of class II-1 of (question_id, question), from the functions (question_id, func) that statements really compute."""
     out = asked.limit(0).select("question_id", F.lit("").alias("detail"))
     for words, needed in FIGURES:
-        missing = F.col("question").rlike(f"(?i){words}") & ~F.col("sql").rlike(f"(?i){needed}")
-        out = out.unionByName(asked.where(missing).select("question_id", F.concat(F.lit("the question asks for '"), F.lower(F.regexp_extract("question", f"(?i){words}", 1)), F.lit("', which the statement doesn't compute")).alias("detail")))
+        has = computed.where(F.col("func").isin(*needed)).select("question_id").distinct()
+        missing = asked.where(F.col("question").rlike(f"(?i){words}")).join(has, "question_id", "left_anti")
+        out = out.unionByName(missing.select("question_id", F.concat(F.lit("the question asks for '"), F.lower(F.regexp_extract("question", f"(?i){words}", 1)), F.lit("', which the statement doesn't compute")).alias("detail")))
     none = F.lit(None).cast("string")
     return out.select("question_id", F.lit("II-1").alias("class"), F.lit("s").alias("artifact"), F.lit("SELECT").alias("clause"), none.alias("table_name"), none.alias("column_name"), "detail", F.lit("the figure asked for is computed").alias("condition"))
 
@@ -48,8 +49,9 @@ def by_rules(spark: SparkSession, knowledge: Knowledge) -> Reviewer:
     """A reviewer for :func:`refine.refine`."""
 
     def review(samples: list[Sample]) -> DataFrame:
-        asked = spark.createDataFrame([(s.question_id, s.question or "", s.sql or "") for s in samples], "question_id string, question string, sql string")
         facts = checks.FactTables(spark, {s.question_id: s.sql for s in samples})
-        return figures(asked).unionByName(unconnected(facts.joins, knowledge.k6))
+        # of a statement that can't be analysed nothing is known here; its error is told elsewhere
+        asked = spark.createDataFrame([(s.question_id, s.question or "") for s in samples if s.question_id in facts.facts], "question_id string, question string")
+        return figures(asked, facts.functions).unionByName(unconnected(facts.joins, knowledge.k6))
 
     return review

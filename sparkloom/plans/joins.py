@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators.fuzzy_join import contains_join
 from ..operators.range_join import range_join
 from .registry import query
 
@@ -43,20 +44,37 @@ def _(t):
 @query("jon06_range", "SELECT p.p_partkey, b.band FROM part p JOIN (VALUES (900.0, 1100.0, 'low'), (1050.0, 1400.0, 'middle'), (1400.0, 9999.0, 'high')) b(low, high, band) ON p.p_retailprice BETWEEN b.low AND b.high")
 def _(t):
     bands = t.spark.createDataFrame([(900.0, 1100.0, "low"), (1050.0, 1400.0, "middle"), (1400.0, 9999.0, "high")], "low double, high double, band string")
-    # ranges are filed under the bins they touch, so the join is an equi-join of any size
-    return range_join(t.part, bands, "p_retailprice", "low", "high", width=500.0).select("p_partkey", "band")
+    # ranges are filed at nodes of an interval tree, so the join is an equi-join of any size
+    return range_join(t.part, bands, "p_retailprice", "low", "high").select("p_partkey", "band")
 
 
 @query("jon06_range_dates", "SELECT e.event_id, w.label FROM events e JOIN (VALUES (TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-10', 'a'), (TIMESTAMP '2024-01-05', TIMESTAMP '2024-02-01', 'b')) w(start_at, end_at, label) ON e.ts BETWEEN w.start_at AND w.end_at")
 def _(t):
     spans = t.spark.sql("SELECT * FROM VALUES (timestamp_ntz'2024-01-01', timestamp_ntz'2024-01-10', 'a'), (timestamp_ntz'2024-01-05', timestamp_ntz'2024-02-01', 'b') AS w(start_at, end_at, label)")
-    return range_join(t.events, spans, "ts", "start_at", "end_at", width=86400.0).select("event_id", "label")
+    return range_join(t.events, spans, "ts", "start_at", "end_at").select("event_id", "label")
 
 
 @query("jon07_fuzzy", "SELECT p.p_partkey, k.word FROM part p JOIN (VALUES ('ring'), ('bolt'), ('small'), ('gear')) k(word) ON p.p_name LIKE concat('%', k.word, '%')")
 def _(t):
     words = t.spark.createDataFrame([("ring",), ("bolt",), ("small",), ("gear",)], "word string")
-    return t.part.join(F.broadcast(words), F.contains("p_name", "word")).select("p_partkey", "word")
+    return contains_join(t.part, words, "p_name", "word").select("p_partkey", "word")
+
+
+@query("jon07_fuzzy_words", "SELECT p.p_partkey, k.word FROM part p JOIN (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS word FROM documents) k ON p.p_name LIKE concat('%', k.word, '%')")
+def _(t):
+    # names of parts against all words of all documents: both sides grow with the data
+    words = t.documents.select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    return contains_join(t.part, words, "p_name", "word").select("p_partkey", "word")
+
+
+SPANS = "SELECT l_partkey, l_suppkey, min(l_shipdate) AS first_at, max(l_shipdate) AS last_at FROM {lineitem} GROUP BY l_partkey, l_suppkey"
+
+
+@query("jon06_range_spans", f"SELECT l_partkey, l_suppkey, count(*) AS n, min(o_orderkey) AS first_order FROM orders JOIN ({SPANS.format(lineitem='lineitem')}) s ON o_orderdate BETWEEN first_at AND last_at WHERE o_totalprice > 490000 GROUP BY l_partkey, l_suppkey")
+def _(t):
+    # dear orders placed while a supplier shipped a part: spans from a moment to many years in one join
+    met = range_join(t.orders.where("o_totalprice > 490000").select("o_orderkey", "o_orderdate"), t.sql(SPANS), "o_orderdate", "first_at", "last_at")
+    return met.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_order"))
 
 
 @query("jon08_self", "SELECT a.n_name AS first_name, b.n_name AS second_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")

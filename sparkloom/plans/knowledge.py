@@ -382,7 +382,11 @@ def _(t):
 
 @query("chk04_aggregates", "SELECT * FROM (VALUES ('avg_of_key', 'aggregation_type_mismatch', 'K3:orders.o_custkey'), ('avg_in_cte', 'aggregation_type_mismatch', 'K3:orders.o_custkey')) v(question_id, type, evidence_ref)")
 def _(t):
-    return checks.check_aggregates(_facts(t).aggregates, semantics.classify(k1(t))).select("question_id", "type", "evidence_ref")
+    facts = _facts(t)
+    # categories are asked for of the columns that statements aggregate, and only those are profiled
+    used = {(r[0], r[1]) for r in facts.aggregates.select("table_name", "column_name").distinct().collect()}
+    k3 = semantics.classify(profile.profile_all({n: getattr(t, n) for n in RELATIONAL}, columns=used))
+    return checks.check_aggregates(facts.aggregates, k3).select("question_id", "type", "evidence_ref")
 
 
 @query("chk06_review", "SELECT * FROM (VALUES ('q1', 'II-1', 's'), ('q1', NULL, 'q')) v(question_id, semantic_class, artifact)")

@@ -3,10 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..functions.rewrites import to_spark_sql
+from ..operators.ordered import RANGE_ROWS, ranked
 from .registry import query
 
-#: Keys in a stretch whose orders are ranked together.
-RANK_STRETCH = 4096
 
 
 @query("srt01_order_by", "SELECT n_regionkey, n_name FROM nation ORDER BY n_regionkey DESC, n_name ASC")
@@ -27,15 +26,9 @@ def _(t):
 
 @query("srt04_null_placement", "SELECT o_orderkey, status, row_number() OVER (ORDER BY status DESC NULLS LAST, o_orderkey) AS r FROM (SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status FROM orders)")
 def _(t):
-    # every order's rank without one task for all orders: rank within a stretch of keys of a status, plus the rows of the stretches before it
-    from pyspark.sql import Window as W
-
+    # every order's rank without one task for all orders: rows dealt by ranges of the order, and a scan over the ranges
     rows = t.orders.select("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("F")).alias("status"))
-    rows = rows.withColumn("stretch", F.col("o_orderkey") - F.pmod("o_orderkey", F.lit(RANK_STRETCH)))
-    earlier = W.orderBy(F.desc_nulls_last("status"), "stretch").rowsBetween(W.unboundedPreceding, -1)
-    before = rows.groupBy("status", "stretch").agg(F.count("*").alias("n")).select(F.col("status").alias("s"), F.col("stretch").alias("at"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    ranked = rows.withColumn("i", F.row_number().over(W.partitionBy("status", "stretch").orderBy("o_orderkey")))
-    return ranked.join(before, F.col("status").eqNullSafe(F.col("s")) & (F.col("stretch") == F.col("at"))).select("o_orderkey", "status", (F.col("before") + F.col("i")).alias("r"))
+    return ranked(rows, [F.desc_nulls_last("status"), F.asc("o_orderkey")], "r", range_rows=RANGE_ROWS)
 
 
 @query("set01_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")

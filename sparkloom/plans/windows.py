@@ -3,6 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ordered import ranked
 from .registry import query
 
 
@@ -49,6 +50,17 @@ _ordered("win13_running_total", f"round(sum(o_totalprice) {OVER} ROWS UNBOUNDED
 _ordered("win14_moving_sum", f"round(sum(o_totalprice) {OVER} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 2)", lambda: F.round(F.sum("o_totalprice").over(by_customer().rowsBetween(-1, 1)), 2))
 
 
+LINES = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity"
+
+
+@query("win13_running_of_all", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, row_number() OVER (ORDER BY {LINES}) AS r, CAST(sum(CAST(l_quantity AS BIGINT)) OVER (ORDER BY {LINES} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS shipped FROM lineitem")
+def _(t):
+    # one order over the whole table: a scan over ranges of it, no window without a partition
+    columns = LINES.split(", ")
+    rows = t.lineitem.select(*columns, F.col("l_quantity").cast("long").alias("units"))
+    return ranked(rows, [F.asc_nulls_last(c) for c in columns], "r", {"shipped": "units"}).drop("l_shipdate", "units")
+
+
 def _preceding(name: str, interval: str) -> None:
     body = f"SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL {interval} PRECEDING AND CURRENT ROW) AS n FROM "
 

@@ -291,7 +291,7 @@ def test_evidence_of_errors_without_a_table(spark):
 def test_range_join_edges(spark):
     points = spark.createDataFrame([(0.0,), (10.0,), (9.99,), (None,), (-3.0,)], "x double")
     ranges = spark.createDataFrame([(0.0, 10.0, "a"), (-5.0, -3.0, "b"), (5.0, 4.0, "none"), (None, 1.0, "null")], "low double, high double, name string")
-    got = {(r.x, r.name) for r in range_join.range_join(points, ranges, "x", "low", "high", 3.0).collect()}
+    got = {(r.x, r.name) for r in range_join.range_join(points, ranges, "x", "low", "high").collect()}
     assert got == {(0.0, "a"), (10.0, "a"), (9.99, "a"), (-3.0, "b")}
 
 

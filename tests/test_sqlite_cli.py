@@ -10,7 +10,7 @@ from sparkloom import cli
 from sparkloom.engine import LAYERS, QUESTIONS, RESULTS, Engine, Settings
 from sparkloom.operators import corpus, workload
 from sparkloom.sources.catalog import Catalog
-from sparkloom.sources.sqlite import kind_of, read_sqlite
+from sparkloom.sources.sqlite import Range, SqliteReader, kind_of, pushed, read_sqlite, holds
 from sparkloom.sources.store import JsonStore
 
 
@@ -111,3 +111,43 @@ def test_reused_knowledge_is_what_was_made(spark, shop, tmp_path):
     a, b = one.analyze(), two.analyze(reuse=True)
     for name in LAYERS:
         assert sorted(map(repr, getattr(a, name).collect())) == sorted(map(repr, getattr(b, name).collect()))
+
+
+def test_sqlite_gets_columns_and_conditions(spark, shop, tmp_path):
+    sale = read_sqlite(spark, str(shop), "sale", 3, ["sale_id", "amount"])
+    assert sale.columns == ["sale_id", "amount"]
+    with pytest.raises(Exception, match="no column nothing"):
+        read_sqlite(spark, str(shop), "sale", 3, ["nothing"]).count()
+    whole = read_sqlite(spark, str(shop), "sale").cache()
+    for where in ([("amount", ">", 150.0)], [("amount", "=", 7.0), ("sale_id", "<", 60)], [("amount", "is null", None)], [("amount", "is not null", None), ("sale_id", ">=", 1386)], [("day", "=", "2024-01-01")], [("day", ">", "2024")], [("sale_id", "in", [0, 7, 8])]):
+        got = read_sqlite(spark, str(shop), "sale", 3, where=where)
+        expected = whole
+        for c in where:
+            expected = expected.where(holds(c))
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, expected.collect())), where
+    assert read_sqlite(spark, str(shop), "sale", 3, ["day"], [("sale_id", "<", 70)]).columns == ["day"]
+    whole.unpersist()
+    columns = {"sale_id": "bigint", "amount": "double", "day": "string", "note": "binary"}
+    conditions = [("amount", ">", 150.0), ("day", "=", "it's"), ("sale_id", "in", [1, 2]), ("note", "is null", None), ("amount", "<", float("nan"))]
+    reader = SqliteReader(str(shop), "sale", 1, list(columns.items()), [x for c in conditions if (x := pushed(c, columns))])
+    assert reader.statement(Range(1, 9)) == (
+        'SELECT "sale_id", "amount", "day", "note" FROM "sale" WHERE rowid BETWEEN 1 AND 9'
+        " AND (\"amount\" COLLATE BINARY > 150.0 OR (typeof(\"amount\") NOT IN ('integer', 'real') AND \"amount\" IS NOT NULL))"
+        " AND (\"day\" COLLATE BINARY = 'it''s' OR (typeof(\"day\") NOT IN ('text') AND \"day\" IS NOT NULL))"
+        " AND (\"sale_id\" COLLATE BINARY IN (1, 2) OR (typeof(\"sale_id\") NOT IN ('integer') AND \"sale_id\" IS NOT NULL))"
+    )
+    assert sum(1 for _ in reader.read(Range(1, 9000))) == 0
+
+
+def test_conditions_lose_no_row_of_odd_classes(spark, tmp_path):
+    """Values of other classes than their column's type: what SQLite sends is what Spark would keep of all rows."""
+    path = tmp_path / "odd.sqlite"
+    c = sqlite3.connect(path)
+    c.execute("CREATE TABLE t (i INT, r REAL, s TEXT COLLATE NOCASE, u)")
+    c.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", [(1, 1.5, "a", "x"), ("7", "2", 5, 5), ("odd", "odd", b"a", 5.0), (2.5, 3, "A", None), (None, None, None, b"5"), (3.0, b"1", "b", "5")])
+    c.commit()
+    c.close()
+    t = read_sqlite(spark, str(path), "t", 2)
+    every = spark.createDataFrame(t.collect(), t.schema)
+    for c in (("i", "=", 7), ("i", ">", 1), ("i", "is null", None), ("i", "is not null", None), ("r", ">=", 2.0), ("r", "<", 2.0), ("r", "is null", None), ("s", "=", "a"), ("s", ">", "A"), ("s", "=", "5"), ("u", "=", "5"), ("u", "<=", "5"), ("i", "in", [1, 3]), ("u", "in", ["5", "x"]), ("s", "is not null", None)):
+        assert sorted(map(repr, read_sqlite(spark, str(path), "t", 2, where=[c]).collect())) == sorted(map(repr, every.where(holds(c)).collect())), c

@@ -23,9 +23,9 @@ def test_ranges_know_no_key(spark, folder, tmp_path):
     assert QUERIES["flt02_ranges"](spark, str(tmp_path)).count() == before > 0
 
 
-@pytest.mark.parametrize("stretch", [7, 4096])
-def test_every_order_is_ranked(stretch, spark, folder, monkeypatch):
-    monkeypatch.setattr(sets, "RANK_STRETCH", stretch)
+@pytest.mark.parametrize("rows_of_a_range", [7, 4096])
+def test_every_order_is_ranked(rows_of_a_range, spark, folder, monkeypatch):
+    monkeypatch.setattr(sets, "RANGE_ROWS", rows_of_a_range)
     rows = sorted(QUERIES["srt04_null_placement"](spark, folder).collect(), key=lambda r: r.r)
     orders = spark.read.parquet(f"{folder}/orders.parquet").collect()
     status = {o.o_orderkey: None if o.o_orderstatus == "F" else o.o_orderstatus for o in orders}
