@@ -51,7 +51,7 @@ LEAVES, COUNTERS, PIECES_AT_ONCE = 1 << 19, 1 << 21, 512
 #: Documents looked at for the limits of ranges; different terms of them that are held; terms to a range, at most ranges.
 SAMPLE, HELD_TERMS, RANGE_TERMS, MOST_RANGES, LIMIT_BYTES = 1 / 64, 1 << 14, 1 << 12, 1 << 16, 32
 #: Bytes of text that are counted at once; a depth beyond which no more is shared.
-SLICE, DEEPEST = 8 << 20, 0xFFFF
+SLICE, DEEPEST = 4 << 20, 0xFFFF
 #: Sources in a block, terms in a piece, matrices of sums held in a task.
 BLOCK, PIECE, HELD_SUMS = 128, 1 << 12, 256
 

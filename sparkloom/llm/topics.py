@@ -1,0 +1,98 @@
+"""Topics of documents from words that stand together, with DataFrame functions only.
+
+A lexicon holds the words that most documents hold, of ``LETTERS`` letters or more and
+in at most ``MOST`` of all documents. It is exact: counts by a hash of the word tell which
+words may belong to it, those are counted by themselves, and more of them while one
+that was left out could still belong to it. The first ``TOPICS`` words of the lexicon name a
+topic each. A word of the lexicon belongs to the topic whose name it most often stands
+with, as a share of the documents that hold the name (ties to the earlier name); a
+word that stands with none has no topic. A document's topic is that of most of its
+different words (ties to the earlier one), or ``other`` if no word of it has one.
+
+All words of all documents are counted. The driver holds the lexicon, counts by hash,
+and counts of names with words; none of them grows with the documents.
+"""
+
+from __future__ import annotations
+
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+TOPICS, LETTERS, MOST, LEXICON, BUCKETS = 24, 4, 0.02, 1024, 1 << 16
+OTHER = "other"
+WORD = r"[^\p{L}\p{N}]+"
+
+
+def words_of(text: Column) -> Column:
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), WORD)
+
+
+def countable(words: Column) -> Column:
+    """The different words that the lexicon may take."""
+    return F.array_distinct(F.filter(words, lambda w: F.length(w) >= LETTERS))
+
+
+def tokens_of(words: Column) -> Column:
+    return F.greatest(F.lit(1), F.size(F.filter(words, lambda w: w != ""))).cast("long")
+
+
+def lexicon(rows: DataFrame, words: str, most: float, size: int = LEXICON, buckets: int = BUCKETS) -> dict[str, int]:
+    """The ``size`` words that most rows hold, but no more than ``most`` of them, with their numbers; ties to the smaller word."""
+    bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(buckets))
+    each = rows.select(F.explode(words).alias("w"))
+    held = {r["b"]: r["n"] for r in each.groupBy(bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n")).collect()}
+    order, taken = sorted(held, key=lambda b: (-held[b], b)), 4 * size
+    while True:
+        chosen = order[:taken]
+        some = rows.select(F.explode(F.filter(words, lambda w: bucket(w).isin(chosen))).alias("w")) if taken < len(order) else each  # noqa: B023
+        found = some.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") <= most).orderBy(F.desc("n"), "w").limit(size).collect()
+        # a word of another bucket has no higher count than that
+        beyond = held[order[taken]] if taken < len(order) else 0
+        if not beyond or len(found) == size and found[-1]["n"] > beyond:
+            return {r["w"]: r["n"] for r in found}
+        taken *= 4
+
+
+def learned(rows: DataFrame, words: str, topics: int = TOPICS, most: float = MOST, size: int = LEXICON) -> list[list[str]]:
+    """The words of each topic, its name first; rows hold arrays of different words."""
+    known = lexicon(rows, words, rows.count() * most, size)
+    names = list(known)[:topics]
+    if not names:
+        return []
+    found = rows.select(F.filter(words, lambda w: w.isin(list(known))).alias("found"))
+    named = found.select(F.explode(F.filter("found", lambda w: w.isin(names))).alias("name"), "found")
+    together = named.select("name", F.explode("found").alias("w")).groupBy("name", "w").agg(F.count("*").alias("n")).collect()
+    best: dict[str, tuple[Fraction, int]] = {}
+    for r in together:
+        best[r["w"]] = max(best.get(r["w"], (Fraction(0), 0)), (Fraction(r["n"], known[r["name"]]), -names.index(r["name"])))
+    out = [[name] for name in names]
+    for w in known:
+        if w not in names and w in best:
+            out[-best[w][1]].append(w)
+    return out
+
+
+def topic_of(words: Column, topics: list[list[str]]) -> Column:
+    """The topic's name, from an array of words."""
+    if not topics:
+        return F.lit(OTHER)
+    every = [w for t in topics for w in t]
+    number = F.when(F.lit(False), F.lit(0))
+
+    def code(w: Column) -> Column:
+        of = number
+        for i, t in enumerate(topics):
+            of = of.when(w.isin(t), i)
+        return of
+
+    def best(codes: Column) -> Column:
+        # how many words each topic has; the first of the highest
+        times = F.transform(F.array(*(F.lit(i) for i in range(len(topics)))), lambda i: F.struct(F.size(F.filter(codes, lambda c: c == i)).alias("n"), (-i).alias("i")))
+        top = F.array_max(F.filter(times, lambda x: x["n"] > 0))
+        return F.coalesce(F.get(F.array(*(F.lit(t[0]) for t in topics)), -top["i"]), F.lit(OTHER))
+
+    found = F.array_distinct(F.filter(words, lambda w: w.isin(every)))
+    # codes are computed once
+    return F.get(F.transform(F.array(F.transform(found, code)), best), F.lit(0))

@@ -8,7 +8,7 @@ cover all of a text; in each, a GRU runs both ways, attention weighs its states,
 the weighted state gives a logit. A document's evidence (the highest logit, the mean
 of the ``TOP`` highest, the mean of all) becomes a score by a logistic curve.
 
-The network is fitted on the driver, on a bounded sample of labelled documents:
+The network is fitted in one task, on a bounded sample of labelled documents:
 ``MAX_TOXIC`` and ``MAX_CLEAN`` of them, by order of a hash of their ids, and of each
 kind no more than ``SAMPLE_BYTES``; a document that doesn't fit any more is passed
 over whole. Documents with crc32(doc_id as text) mod 5 = 0 are never learned from.
@@ -28,6 +28,7 @@ and takes a free name where they hold a ``score``).
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -412,8 +413,8 @@ def score_texts(net: Network | None, texts: pa.Array) -> np.ndarray:
     return sigmoid(found @ net.curve[:-1] + net.curve[-1])
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> list[tuple]:
-    """The labelled sample: (key, text, label, half), bounded by MAX_TOXIC, MAX_CLEAN and SAMPLE_BYTES of each kind."""
+def training_sample(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame | None:
+    """The labelled sample (key, text, label, half), bounded by MAX_TOXIC, MAX_CLEAN and SAMPLE_BYTES of each kind; None if there is none."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2")
     part = F.pmod(F.crc32(F.col("k").cast("string")), F.lit(5))
     known = known.withColumn("part", part).where("part <> 0").select("k", "y", "part", F.xxhash64("k").alias("h"))
@@ -428,20 +429,38 @@ def training_rows(documents: DataFrame, labels: DataFrame, key: str = "doc_id",
                 held += r["size"]
                 chosen.append((r["k"], r["y"], r["part"] % 2 == 0, r["mark"]))
     if not chosen:
-        return []
+        return None
     wanted = documents.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("k", documents.schema[key].dataType), T.StructField("y", T.IntegerType()), T.StructField("half", T.BooleanType()), T.StructField("mark", T.LongType())]))
     rows = documents.select(F.col(key).alias("k"), body.alias("text")).withColumn("mark", F.xxhash64("text")).join(F.broadcast(wanted), ["k", "mark"])
-    return sorted(map(tuple, rows.select("k", "text", "y", "half").dropDuplicates(["k"]).collect()))
+    return rows.select("k", "text", "y", "half").dropDuplicates(["k"])
+
+
+def training_rows(documents: DataFrame, labels: DataFrame, **names: str) -> list[tuple]:
+    """The sample's rows, by key."""
+    sample = training_sample(documents, labels, **names)
+    return [] if sample is None else sorted(map(tuple, sample.collect()))
 
 
 def train(documents: DataFrame, labels: DataFrame, **names: str) -> Network | None:
-    rows = training_rows(documents, labels, **names)
-    try:
-        return fit([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows])
-    finally:
-        del rows
+    """The network fitted in a task of its own: the sample's texts never reach the driver, only the parameters come back."""
+    sample = training_sample(documents, labels, **names)
+    if sample is None:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((tuple(r.values()) for batch in batches for r in batch.to_pylist()), key=lambda r: r[0])
+        net = fit([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows])
+        rows.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net and (net.p, net.curve))], pa.binary())], names=["net"])
         released()
 
+    found = pickle.loads(sample.repartition(1).mapInArrow(run, "net binary").first()["net"])
+    if found is None:
+        return None
+    net = Network()
+    net.p, net.curve = found
+    return net
+
 
 def with_score(documents: DataFrame, net: Network | None, text: str = "text", name: str = "score") -> DataFrame:
     """documents with one more column, the score; ``name`` must be none of theirs (see :func:`shared.unused`)."""

@@ -10,7 +10,7 @@ fetched. Rules without a token are tried on every url.
 Rules are written in the public form of filter lists (:func:`pattern_rule`):
 ``||host^`` for a host and its subdomains, ``|`` for a start or an end, ``*`` for
 anything, ``^`` for a separator or the end, ``/expression/``, ``@@`` before a rule that
-allows; besides, whole words (:func:`word_rule`) and a stated list of host and path
+allows (A-Z are folded to a-z, no other letters, in patterns as in tokens); besides, whole words (:func:`word_rule`) and a stated list of host and path
 prefixes (:func:`host_rule`), which goes before all others.
 
 Up to ``MAX_RULES`` rules are sent to every task; beyond, urls and rules meet in a join by
@@ -61,7 +61,7 @@ def host_rule(name: str, verdict: str) -> Rule:
 
 def word_rule(word: str, verdict: str = "block") -> Rule:
     """A general pattern: the word as a whole token of host, path or query."""
-    return Rule(word, verdict, rf"(?i)(?:^|[^a-z0-9]){re.escape(word)}(?:[^a-z0-9]|$)", (word,), listed=False)
+    return Rule(word, verdict, rf"(?ai)(?:^|[^a-z0-9]){re.escape(word)}(?:[^a-z0-9]|$)", (word,), listed=False)
 
 
 def pattern_rule(line: str) -> Rule:
@@ -69,7 +69,7 @@ def pattern_rule(line: str) -> Rule:
     verdict, body = ("allow", line[2:]) if line.startswith("@@") else ("block", line)
     if len(body) > 2 and body[0] == body[-1] == "/":
         # what an expression demands literally can't be told from its text
-        return Rule(line, verdict, f"(?i){body[1:-1]}", (), listed=False)
+        return Rule(line, verdict, f"(?ai){body[1:-1]}", (), listed=False)
     host, start, end = body.startswith("||"), body.startswith("|"), body.endswith("|")
     inner = body.removeprefix("||" if host else "|").removesuffix("|")
     pattern = "".join(".*" if c == "*" else r"(?:[^a-z0-9_.%-]|$)" if c == "^" else re.escape(c) for c in inner)
@@ -77,7 +77,7 @@ def pattern_rule(line: str) -> Rule:
     low = inner.translate(_LOWER)
     # a token is whole only between characters that the rule names, or at a stated start or end
     tokens = [m[0] for m in TOKEN.finditer(low) if (low[m.start() - 1] != "*" if m.start() else host or start) and (low[m.end()] != "*" if m.end() < len(low) else end)]
-    return Rule(line, verdict, f"(?i){pattern}", tuple(tokens), listed=False)
+    return Rule(line, verdict, f"(?ai){pattern}", tuple(tokens), listed=False)
 
 
 #: The list's rules.
@@ -212,7 +212,8 @@ def joined(pages: DataFrame, rules: Iterable[Rule], counts: dict[str, int], key:
 
 def _sql_rules() -> str:
     general = [r for r in DEFAULT if not r.listed]
-    return ", ".join("('{}', '{}', '{}')".format(*(x.replace("'", "''") for x in (r.name, r.verdict, r.pattern))) for r in general)
+    # DuckDB folds letters beyond A-Z as well; these patterns are in small letters and meet text with A-Z in small letters
+    return ", ".join("('{}', '{}', '{}')".format(*(x.replace("'", "''") for x in (r.name, r.verdict, r.pattern.removeprefix("(?ai)")))) for r in general)
 
 
 #: The same judgement in DuckDB's SQL.
@@ -229,7 +230,7 @@ ruled AS (
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
-    host || path || query AS whole
+    translate(host || path || query, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS whole
   FROM parts),
 judged AS (
   SELECT *, (SELECT [name, verdict] FROM (VALUES {_sql_rules()}) t(name, verdict, pattern) WHERE whole <> '' AND regexp_matches(whole, pattern) ORDER BY length(name) DESC, name LIMIT 1) AS general FROM ruled)

@@ -36,7 +36,8 @@ from .shared import checkpointed, removed, shared_folder
 SEGMENT_BYTES = 64 << 10
 CHUNK_BYTES = 16 << 10
 LEAST_BYTES = 100
-RECORDS_PER_FILE = 4000
+#: A record holds a segment at most, so a file is of about 64 MB at most; readers hold one file at a time.
+RECORDS_PER_FILE = 1000
 #: Repeated payloads (about 100 bytes each) are broadcast up to this many.
 FEW_GROUPS = 50_000
 END = b"\r\n"

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import jaccard, merkle, mixing, packing, queries, shared, substrings, topk, toxicity, url_filter, warc, wrappers, words
+from sparkloom.llm import jaccard, merkle, mixing, packing, queries, shared, substrings, topics, topk, toxicity, url_filter, warc, wrappers, words
 
 EXTRA = ", id string, n string, bucket string, score string, host string, k string, kept string, topic string, fingerprint string"
 CLASH = ("x",) * 9
@@ -353,17 +353,55 @@ def test_mixing(spark):
     assert sample.columns == df.columns and sorted((r.doc_id is None, r.doc_id) for r in sample.collect()) == sorted((r.doc_id is None, r.doc_id) for r in got.collect() if r[kept])
 
 
-def test_topics_come_from_the_words(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "TOPIC_SHARE", 1)
-    monkeypatch.setattr(mixing, "TOPIC_MOST", 0.5)
-    rows = [(i, f"{'common ' * 3} {['Whale', 'RIVER', 'x'][i % 3]} {['whale', 'river', 'y'][i % 3]}! {'whale' if i == 1 else ''}") for i in range(30)] + [(30, "whale river"), (31, None), (32, ""), (33, "river whale river")]
-    docs = documents(spark, rows).drop("topic")
-    names = mixing.topic_words(docs, topics=2)
-    assert names == ["whale", "river"]  # common is in more than half of all, the others are too short
-    got = {r.doc_id: (r.t, r.n) for r in mixing.described(docs, names, "text", "t", "n").collect()}
-    assert [got[i][0] for i in (0, 1, 2, 30, 31, 32, 33)] == ["whale", "river", "other", "whale", "other", "other", "river"]
-    assert got[0][1] == 5 and got[31][1] == got[32][1] == 1
-    assert mixing.described(docs.limit(1), [], "text", "t", "n").first().t == "other"
+def plain_topics(texts, topics, most, size):
+    """(words of each topic, topic of each text) by plain counts."""
+    split = [re.findall(r"[^\W_]+", (t or "").lower()) for t in texts]
+    held = [{w for w in x if len(w) >= 4} for x in split]
+    count = {}
+    for x in held:
+        for w in x:
+            count[w] = count.get(w, 0) + 1
+    known = sorted((w for w in count if count[w] <= most * len(texts)), key=lambda w: (-count[w], w))[:size]
+    names = known[:topics]
+    of = {}
+    for w in known:
+        share = [(sum(w in x and s in x for x in held) / count[s], -i) for i, s in enumerate(names)]
+        best = max(share, default=(0, 0))
+        if best[0] > 0:
+            of[w] = names.index(w) if w in names else -best[1]
+    told = []
+    for x in held:
+        n = [sum(of.get(w) == i for w in x) for i in range(len(names))]
+        told.append(names[n.index(max(n))] if n and max(n) else "other")
+    return [[s, *(w for w in known if w not in names and of.get(w) == i)] for i, s in enumerate(names)], told
+
+
+@pytest.mark.parametrize(("topics_", "size", "buckets"), [(3, 20, 1 << 16), (6, 300, 8), (2, 2, 40), (1, 1, 16)])
+def test_topics_come_from_all_words(spark, corpus, topics_, size, buckets):
+    rng = random.Random(12)
+    fields = [["whale", "harbour", "tide", "sail"], ["oven", "bread", "flour", "yeast"], ["court", "judge", "appeal", "verdict"]]
+    texts = [" ".join(rng.choices(fields[i % 3], k=rng.randint(1, 6)) + ["common"] * (i % 4 < 3) + rng.choices(["Xx", "noisy", "it"], k=2)) for i in range(90)]
+    texts += [t for _, t in corpus[:60]] + [None, "", "12 34", "common common"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", topics.countable(topics.words_of(F.col("t"))).alias("w"))
+    words_, told = plain_topics(texts, topics_, 0.3, size)
+    known = topics.lexicon(rows, "w", 0.3 * len(texts), size, buckets)
+    learned = topics.learned(rows, "w", topics_, 0.3, size)
+    assert list(known) == sorted([w for t in words_ for w in t] + [w for w in known if not any(w in t for t in words_)], key=lambda w: (-known[w], w))
+    assert learned == words_
+    got = {r.i: r.t for r in rows.select("i", topics.topic_of(F.col("w"), learned).alias("t")).collect()}
+    assert [got[i] for i in range(len(texts))] == told
+    assert topics.learned(rows.limit(0), "w") == [] and rows.limit(1).select(topics.topic_of(F.col("w"), []).alias("t")).first().t == "other"
+
+
+def test_cells_of_documents(spark, corpus):
+    docs = documents(spark, corpus)
+    cells, known = mixing.cells_of(docs)
+    rows = cells.collect()
+    assert sum(r.tokens for r in rows) == sum(max(1, len(re.findall(r"[^\W_]+", t or ""))) for _, t in corpus)
+    assert {r._source for r in rows} == {"=s0", "=s1", "null"} and {r._topic for r in rows} <= {"=other", *("=" + t[0] for t in known)}
+    mixed = mixing.mix(docs)
+    by = mixed.groupBy(mixing.added(docs)[0]).agg(F.sum(mixing.added(docs)[1]).alias("n")).collect()
+    assert {"=" + r[0]: r.n for r in by} == {t: sum(r.tokens for r in rows if r._topic == t) for t in {r._topic for r in rows}}
 
 
 def test_marginals_tell_what_is_reached(spark):
@@ -383,7 +421,9 @@ def test_raking_agrees_with_plain_loops(spark):
     tokens = rng.integers(50, 5000, (3, 2, 4))
     rows = [(f"={i}", f"={j}", f"={k}", int(tokens[i, j, k])) for i in range(3) for j in range(2) for k in range(4)]
     cells = spark.createDataFrame(rows, "_source string, _lang string, _topic string, tokens long").coalesce(1)
-    got = {(r._source, r._lang, r._topic): r.weight for r in mixing.rake(cells, {"source": 0.0, "lang": 0.5, "topic": {"0": 0.5}}, keep=0.3).collect()}
+    both = [{(r._source, r._lang, r._topic): r.weight for r in mixing.rake(cells, {"source": 0.0, "lang": 0.5, "topic": {"0": 0.5}}, keep=0.3, small=small).collect()} for small in (True, False)]
+    got = both[0]
+    assert all(abs(got[k] - both[1][k]) < 1e-6 * got[k] for k in got)  # one rule tells both when to stop
     total, w = tokens.sum() * 0.3, tokens * 0.3
     own = [tokens.sum((1, 2)) / tokens.sum(), tokens.sum((0, 2)) / tokens.sum(), tokens.sum((0, 1)) / tokens.sum()]
     target = [np.ones(3) / 3, own[1] ** 0.5 / (own[1] ** 0.5).sum(), np.r_[0.5, 0.5 * own[2][1:] / own[2][1:].sum()]]
