@@ -23,16 +23,61 @@ LEVELS = ("simple", "moderate", "complex", "expert")
 #: Share of each complexity level.
 LEVEL_SHARES = (0.30, 0.40, 0.20, 0.10)
 #: Use cases with weights by part, one line for each level from simple to expert.
-USE_CASES = {
-    "record_lookup": ("data_viewing 0.5 data_filtering 0.5", "data_filtering 0.6 data_viewing 0.4", "data_filtering 0.5 relationship_analysis 0.3 conditional_logic 0.2", "conditional_logic 0.4 relationship_analysis 0.3 advanced_analysis 0.3"),
-    "sorting_and_pagination": ("data_viewing 0.4 ranking_analysis 0.6", "ranking_analysis 0.5 data_filtering 0.5", "ranking_analysis 0.4 conditional_logic 0.3 data_aggregation 0.3", "ranking_analysis 0.3 advanced_analysis 0.4 trend_analysis 0.3"),
-    "distinct_and_dedup": ("data_viewing 0.5 data_filtering 0.5", "data_aggregation 0.5 data_filtering 0.5", "data_aggregation 0.4 conditional_logic 0.3 relationship_analysis 0.3", "advanced_analysis 0.4 multi_dimensional_analysis 0.3 data_aggregation 0.3"),
-    "group_by_aggregation": ("data_viewing 0.3 data_aggregation 0.7", "data_aggregation 0.7 data_filtering 0.3", "data_aggregation 0.4 ranking_analysis 0.3 conditional_logic 0.3", "advanced_analysis 0.4 multi_dimensional_analysis 0.3 data_aggregation 0.3"),
-    "having_filtering": ("data_aggregation 0.6 data_filtering 0.4", "data_aggregation 0.6 conditional_logic 0.4", "conditional_logic 0.4 data_aggregation 0.3 ranking_analysis 0.3", "advanced_analysis 0.5 conditional_logic 0.3 multi_dimensional_analysis 0.2"),
-    "distribution_analysis": ("data_aggregation 0.5 data_viewing 0.5", "data_aggregation 0.5 ranking_analysis 0.5", "data_aggregation 0.3 advanced_analysis 0.4 conditional_logic 0.3", "advanced_analysis 0.5 multi_dimensional_analysis 0.3 trend_analysis 0.2"),
-    "inner_join_lookup": ("data_viewing 0.3 relationship_analysis 0.7", "relationship_analysis 0.5 data_filtering 0.3 data_viewing 0.2", "relationship_analysis 0.4 data_aggregation 0.3 conditional_logic 0.3", "relationship_analysis 0.3 advanced_analysis 0.4 recursive_analysis 0.3"),
-    "multi_table_aggregation": ("relationship_analysis 0.4 data_aggregation 0.6", "data_aggregation 0.4 relationship_analysis 0.4 ranking_analysis 0.2", "data_aggregation 0.3 relationship_analysis 0.3 ranking_analysis 0.2 conditional_logic 0.2", "advanced_analysis 0.4 multi_dimensional_analysis 0.3 relationship_analysis 0.3"),
-    "set_operations": ("relationship_analysis 0.5 data_filtering 0.5", "relationship_analysis 0.5 data_aggregation 0.3 data_filtering 0.2", "relationship_analysis 0.4 conditional_logic 0.3 advanced_analysis 0.3", "advanced_analysis 0.4 recursive_analysis 0.3 relationship_analysis 0.3"),
+USE_CASES: dict[str, tuple[dict[str, float], ...]] = {
+    "record_lookup": (
+        {"data_viewing": 0.5, "data_filtering": 0.5},
+        {"data_filtering": 0.6, "data_viewing": 0.4},
+        {"data_filtering": 0.5, "relationship_analysis": 0.3, "conditional_logic": 0.2},
+        {"conditional_logic": 0.4, "relationship_analysis": 0.3, "advanced_analysis": 0.3},
+    ),
+    "sorting_and_pagination": (
+        {"data_viewing": 0.4, "ranking_analysis": 0.6},
+        {"ranking_analysis": 0.5, "data_filtering": 0.5},
+        {"ranking_analysis": 0.4, "conditional_logic": 0.3, "data_aggregation": 0.3},
+        {"ranking_analysis": 0.3, "advanced_analysis": 0.4, "trend_analysis": 0.3},
+    ),
+    "distinct_and_dedup": (
+        {"data_viewing": 0.5, "data_filtering": 0.5},
+        {"data_aggregation": 0.5, "data_filtering": 0.5},
+        {"data_aggregation": 0.4, "conditional_logic": 0.3, "relationship_analysis": 0.3},
+        {"advanced_analysis": 0.4, "multi_dimensional_analysis": 0.3, "data_aggregation": 0.3},
+    ),
+    "group_by_aggregation": (
+        {"data_viewing": 0.3, "data_aggregation": 0.7},
+        {"data_aggregation": 0.7, "data_filtering": 0.3},
+        {"data_aggregation": 0.4, "ranking_analysis": 0.3, "conditional_logic": 0.3},
+        {"advanced_analysis": 0.4, "multi_dimensional_analysis": 0.3, "data_aggregation": 0.3},
+    ),
+    "having_filtering": (
+        {"data_aggregation": 0.6, "data_filtering": 0.4},
+        {"data_aggregation": 0.6, "conditional_logic": 0.4},
+        {"conditional_logic": 0.4, "data_aggregation": 0.3, "ranking_analysis": 0.3},
+        {"advanced_analysis": 0.5, "conditional_logic": 0.3, "multi_dimensional_analysis": 0.2},
+    ),
+    "distribution_analysis": (
+        {"data_aggregation": 0.5, "data_viewing": 0.5},
+        {"data_aggregation": 0.5, "ranking_analysis": 0.5},
+        {"data_aggregation": 0.3, "advanced_analysis": 0.4, "conditional_logic": 0.3},
+        {"advanced_analysis": 0.5, "multi_dimensional_analysis": 0.3, "trend_analysis": 0.2},
+    ),
+    "inner_join_lookup": (
+        {"data_viewing": 0.3, "relationship_analysis": 0.7},
+        {"relationship_analysis": 0.5, "data_filtering": 0.3, "data_viewing": 0.2},
+        {"relationship_analysis": 0.4, "data_aggregation": 0.3, "conditional_logic": 0.3},
+        {"relationship_analysis": 0.3, "advanced_analysis": 0.4, "recursive_analysis": 0.3},
+    ),
+    "multi_table_aggregation": (
+        {"relationship_analysis": 0.4, "data_aggregation": 0.6},
+        {"data_aggregation": 0.4, "relationship_analysis": 0.4, "ranking_analysis": 0.2},
+        {"data_aggregation": 0.3, "relationship_analysis": 0.3, "ranking_analysis": 0.2, "conditional_logic": 0.2},
+        {"advanced_analysis": 0.4, "multi_dimensional_analysis": 0.3, "relationship_analysis": 0.3},
+    ),
+    "set_operations": (
+        {"relationship_analysis": 0.5, "data_filtering": 0.5},
+        {"relationship_analysis": 0.5, "data_aggregation": 0.3, "data_filtering": 0.2},
+        {"relationship_analysis": 0.4, "conditional_logic": 0.3, "advanced_analysis": 0.3},
+        {"advanced_analysis": 0.4, "recursive_analysis": 0.3, "relationship_analysis": 0.3},
+    ),
 }
 
 
@@ -72,9 +117,9 @@ def use_cases(spark: SparkSession) -> DataFrame:
     """(sub_scenario, complexity_level, use_case, weight, low, high): shares of use cases with their running bounds."""
     rows = []
     for part, levels in USE_CASES.items():
-        for i, text in enumerate(levels):
-            words, low = text.split(), 0.0
-            for name, w in zip(words[::2], map(float, words[1::2]), strict=True):
+        for i, weights in enumerate(levels):
+            low = 0.0
+            for name, w in weights.items():
                 rows.append((part, i + 1, name, w, round(low, 6), round(low + w, 6)))
                 low += w
     return spark.createDataFrame(rows, "sub_scenario string, complexity_level int, use_case string, weight double, low double, high double")
