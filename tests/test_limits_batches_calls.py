@@ -75,7 +75,7 @@ def stopping(patch, step):
 
 @pytest.mark.parametrize("step", ["training", "manifest", "published"])
 def test_a_run_that_stops_goes_on_with_whole_batches(spark, folder, tmp_path, monkeypatch, step):
-    make = lambda: Engine(spark, folder, JsonStore(spark, f"{tmp_path}/history"), Settings(tables=("nation", "region"), batch_size=2))
+    make = lambda: Engine(spark, folder, JsonStore(spark, f"{tmp_path}/history"), Settings(tables=("nation", "region", "supplier"), batch_size=2))
     out = f"{tmp_path}/training"
     engine = make()
     with monkeypatch.context() as patch:
@@ -98,7 +98,7 @@ def test_a_run_that_stops_goes_on_with_whole_batches(spark, folder, tmp_path, mo
 
 
 def test_a_new_run_starts_empty(spark, folder, tmp_path):
-    make = lambda: Engine(spark, folder, JsonStore(spark, f"{tmp_path}/history"), Settings(tables=("nation", "region"), batch_size=2))
+    make = lambda: Engine(spark, folder, JsonStore(spark, f"{tmp_path}/history"), Settings(tables=("nation", "region", "supplier"), batch_size=2))
     for _ in range(2):
         make().run(2, f"{tmp_path}/training")
         assert corpus.load(spark, f"{tmp_path}/training").count() >= 2
