@@ -1,12 +1,14 @@
 """Exact top-k search by inner product.
 
-Vectors become integers floor(scale * x). Rows are packed into shards (one row
-holds the ids and the matrix of a few thousand vectors) and queries into blocks
-of the same kind. A tile is one shard against one block: a matrix product, from
-which each query keeps its k best. Tiles of one task are merged as they come,
-then the per-task lists by a tree over (query, part) and finally by query.
-Products are exact: float64 where every sum stays below 2**53, else 64-bit or
-unbounded integers, cut to the range of long.
+Vectors become integers floor(scale * x). Queries are dealt into stripes of at
+most ``HELD_BYTES`` and candidates into parts, and a cell is one stripe against
+one part. A task holds its stripe as blocks, and the part's vectors stream past
+as shards, a batch of rows each; a shard against a block is a tile: a matrix
+product, from which each query keeps its k best, held against the k best of the
+tiles before. The cells' lists meet by a tree over (query, branch) and finally
+by query. Only a count of rows and queries and the longest vector's length reach
+the driver. Products are exact: float64 where every sum stays below 2**53, else
+64-bit or unbounded integers, cut to the range of long.
 
 Results for odd input: vectors that are null, empty or hold null or non-finite
 components take no part; vectors of another length are no candidates of a
@@ -27,8 +29,11 @@ from pyspark.sql import functions as F
 
 from .shared import partitions
 
-SHARD_ROWS = 8192
 BLOCK_ROWS = 1024
+#: Bytes of a task's queries; bytes up to which copies of queries, one for each part, don't matter beside the candidates.
+HELD_BYTES, FEW_BYTES = 1 << 26, 1 << 28
+#: Scores of a tile over the bars of its queries, beyond which the tile's own k best are selected first.
+MANY = 1 << 20
 LONG = (-(1 << 63), (1 << 63) - 1)
 
 
@@ -40,47 +45,20 @@ def integer_vectors(df: DataFrame, key: str, vector: str, scale: float) -> DataF
     return df.where(F.coalesce(usable, F.lit(False))).select(F.col(key).cast("long").alias("id"), F.transform(x, lambda c: c * scale).alias("v")).where(F.forall("v", lambda c: F.abs(c) != float("inf")))
 
 
-def _pack(rows: int, groups: int | None):
-    """Pack vectors of one length into rows (part, n, dim, ids, values); values are float64 whole numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        waiting: dict[int, list] = {}
-        serial = TaskContext.get().partitionId()
-
-        def packed(dim: int, take: list) -> pa.RecordBatch:
-            nonlocal serial
-            serial += 1
-            ids, values = np.concatenate([x[0] for x in take]), np.concatenate([x[1] for x in take])
-            return pa.RecordBatch.from_pydict({"part": pa.array([serial % groups if groups else 0], pa.int32()), "dim": pa.array([dim], pa.int32()), "ids": [ids.tobytes()], "vals": [values.tobytes()]})
-
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            v = batch.column(1)
-            lengths = v.value_lengths().to_numpy(zero_copy_only=False)
-            flat = np.floor(v.flatten().to_numpy(zero_copy_only=False))
-            ends = np.cumsum(lengths)
-            for dim in np.unique(lengths):
-                at = np.flatnonzero(lengths == dim)
-                whole = flat[(ends[at] - dim)[:, None] + np.arange(dim)]
-                for i in range(0, len(at), rows):
-                    waiting.setdefault(int(dim), []).append((ids[at[i : i + rows]], whole[i : i + rows]))
-                    if sum(len(x[0]) for x in waiting[int(dim)]) >= rows:
-                        yield packed(int(dim), waiting.pop(int(dim)))
-        for dim, take in waiting.items():
-            yield packed(dim, take)
-
-    return run
-
-
-PACKED = "part int, dim int, ids binary, vals binary"
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dim, ids, matrix) for each length of a batch's vectors."""
+    ids, v = batch["id"].to_numpy(zero_copy_only=False), batch["v"]
+    lengths = v.value_lengths().to_numpy(zero_copy_only=False)
+    flat, ends = np.floor(v.flatten().to_numpy(zero_copy_only=False)), np.cumsum(lengths)
+    for dim in np.unique(lengths):
+        at = np.flatnonzero(lengths == dim)
+        yield int(dim), ids[at], flat[(ends[at] - dim)[:, None] + np.arange(dim)]
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if top < 2**53:
-        return (a @ b.T).astype(np.int64)
+        return a @ b.T
     if top < 2**62:
         return a.astype(np.int64) @ b.astype(np.int64).T
     whole = [[int(x) for x in row] for row in a], [[int(x) for x in row] for row in b]
@@ -94,48 +72,111 @@ def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tupl
     return query[rank < k], ids[rank < k], score[rank < k]
 
 
-def _tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, values: np.ndarray, k: int) -> tuple:
+def _tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, values: np.ndarray, k: int, bar: tuple | None = None) -> tuple:
+    """The tile's (query, id, score) that may be among a query's k best. bar: the score and id of each query's k-th best so far."""
+    order = np.argsort(ids, kind="stable")
+    ids, values = ids[order], values[order]
     score = _product(queries, values)
-    own = query_ids[:, None] == ids[None, :]
-    if score.shape[1] > 4 * k:  # those below the k-th best other score can't matter; ties with it stay
-        least = np.where(own, LONG[0], score)
-        bar = np.partition(least, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
-        keep = ~own & (score >= bar[:, None])
+    over = score >= bar[0][:, None] if bar else None
+    if bar and np.count_nonzero(over) > MANY:  # say, of candidates that get better and better
+        bar = None
+    if bar:
+        q, c = np.nonzero(over)
+        least, last = bar[0][q], bar[1][q]
     else:
-        keep = ~own
-    q, c = np.nonzero(keep)
-    return _best(query_ids[q], ids[c], score[q, c], k)
+        own = query_ids[:, None] == ids[None, :]
+        if score.shape[1] > k:  # those below the k-th best other score can't matter
+            low = np.partition(np.where(own, LONG[0], score), score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+        else:
+            low = np.full(len(query_ids), LONG[0])
+        q, c = np.nonzero(~own & (score >= low[:, None]))
+        # of those equal to it the first k in the order of ids
+        level = score[q, c] == low[q]
+        before = np.cumsum(level) - level
+        first = before[np.searchsorted(q, q)]
+        kept = ~level | (before - first < k)
+        q, c = q[kept], c[kept]
+    found = query_ids[q], ids[c], score[q, c].astype(np.int64)
+    if bar:
+        kept = (found[0] != found[1]) & ((found[2] > least) | (found[1] < last))
+        found = tuple(x[kept] for x in found)
+    return _best(*found, k)
+
+
+class _Block:
+    """Queries of one length, with their k best candidates so far."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray):
+        none = np.zeros(0, np.int64)
+        self.ids, self.values, self.held, self.bar = ids, values, (none, none, none), None
 
+    def meet(self, ids: np.ndarray, values: np.ndarray, k: int) -> None:
+        found = _tile(self.ids, self.values, ids, values, k, self.bar)
+        if len(found[0]):
+            self.held = _best(*(np.concatenate(x) for x in zip(self.held, found, strict=True)), k)
+            last = np.searchsorted(self.held[0], self.ids, "right") - 1
+            if np.all(last - np.searchsorted(self.held[0], self.ids) == k - 1):
+                self.bar = self.held[2][last], self.held[1][last]
 
-def top_k(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: float = 1024.0) -> DataFrame:
-    """Per query its k best candidates: query_id long, rank int, <key> long, score long."""
-    spark = df.sparkSession
-    whole = integer_vectors(df, key, vector, scale)
-    groups = 2 * partitions(spark)
-    shards = whole.mapInArrow(_pack(SHARD_ROWS, groups), PACKED)
-    asked = integer_vectors(df.where(is_query), key, vector, scale).groupBy("id").agg(F.min("v").alias("v"))
-    blocks = asked.coalesce(max(1, groups // 8)).mapInArrow(_pack(BLOCK_ROWS, None), PACKED).select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "dim", F.col("ids").alias("query_ids"), F.col("vals").alias("queries"))
+
+def _search(k: int):
+    """The k best of each cell: rows (cell, asked, id, v) come by cell, its queries first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.int64)
-        held = (none, none, none)
+        cell, waiting, blocks = None, {}, {}
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["query_id", "id", "score"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for block in (b for same in blocks.values() for b in same):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in block.held], names=["query_id", "id", "score"])
 
         for batch in batches:
-            for r in batch.to_pylist():
-                dim = r["dim"]
-                found = _tile(np.frombuffer(r["query_ids"], np.int64), np.frombuffer(r["queries"]).reshape(-1, dim), np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vals"]).reshape(-1, dim), k)
-                held = _best(*(np.concatenate(x) for x in zip(held, found, strict=True)), k)
-                if len(held[0]) > 1 << 18:
-                    yield out()
-                    held = (none, none, none)
-        yield out()
-
-    tiles = shards.join(blocks, ["part", "dim"]).select("dim", "query_ids", "queries", "ids", "vals").mapInArrow(run, "query_id long, id long, score long")
+            at, asked = batch["cell"].to_numpy(), batch["asked"].to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (asked[1:] != asked[:-1])]) if len(at) else []
+            for i, j in zip(starts, [*starts[1:], len(at)], strict=True):
+                if at[i] != cell:
+                    yield from out()
+                    cell, waiting, blocks = at[i], {}, {}
+                if asked[i]:
+                    for dim, ids, values in _by_length(batch.slice(i, j - i)):
+                        waiting.setdefault(dim, []).append((ids, values))
+                    continue
+                while waiting:
+                    dim, held = waiting.popitem()
+                    ids, values = map(np.concatenate, zip(*held, strict=True))
+                    order = np.argsort(ids)
+                    blocks[dim] = [_Block(ids[o], values[o]) for o in (order[n : n + BLOCK_ROWS] for n in range(0, len(order), BLOCK_ROWS))]
+                for dim, ids, values in _by_length(batch.slice(i, j - i)):
+                    for block in blocks.get(dim, ()):
+                        block.meet(ids, values, k)
+        yield from out()
+
+    return run
+
+
+def _grid(rows: int, asked: int, dim: int, tasks: int) -> tuple[int, int]:
+    """Parts of the candidates and stripes of the queries: stripes so that a task can hold one, parts so that copies of queries are at most half as many as those of candidates."""
+    one = 8 * max(1, dim)
+    stripes = max(1, -(-asked * one // HELD_BYTES))
+    copies = max(rows * stripes // 2, FEW_BYTES // one)
+    return max(1, min(-(-tasks // stripes), copies // max(1, asked))), stripes
+
+
+def top_k(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: float = 1024.0) -> DataFrame:
+    """Per query its k best candidates: query_id long, rank int, <key> long, score long."""
+    spark = df.sparkSession
+    size = df.agg(F.count("*").alias("rows"), F.count_if(is_query).alias("asked"), F.max(F.size(vector)).alias("dim")).first()
+    parts, stripes = _grid(size["rows"], size["asked"], size["dim"] or 1, 2 * partitions(spark))
+    whole = integer_vectors(df, key, vector, scale)
+    asked = integer_vectors(df.where(is_query), key, vector, scale).groupBy("id").agg(F.min("v").alias("v"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # rows are dealt to parts in turn, so that copies of a row are spread
+    candidates = whole.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(parts))).withColumn("stripe", each(stripes))
+    queries = asked.withColumn("stripe", F.pmod(F.xxhash64("id"), F.lit(stripes))).withColumn("part", each(parts))
+    cell = (F.col("part") * stripes + F.col("stripe")).cast("int").alias("cell")
+    both = queries.select(cell, F.lit(True).alias("asked"), "id", "v").unionByName(candidates.select(cell, F.lit(False).alias("asked"), "id", "v"))
+    tiles = both.repartitionById(parts * stripes, "cell").sortWithinPartitions("cell", F.desc("asked")).mapInArrow(_search(k), "query_id long, id long, score long")
     order = [F.desc("score"), F.asc("id")]
-    # the tree: lists meet by (query, branch) first, so that no task gets the lists of all tiles of a query
+    # the tree: lists meet by (query, branch) first, so that no task gets the lists of all cells of a query
     tiles = tiles.withColumn("branch", F.pmod(F.xxhash64("id"), F.lit(16)))
     half = tiles.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "branch").orderBy(*order))).where(F.col("r") <= k)
     ranked = half.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)

@@ -277,6 +277,25 @@ def test_top_k_selects_per_tile(spark, monkeypatch):
         assert sorted((-int(x), int(j)) for x, j in zip(s[q == query], i[q == query], strict=True)) == want
 
 
+def test_top_k_in_cells(spark, monkeypatch):
+    # one dense shard of candidates met 300 blocks of queries in one Arrow batch, which no executor could hold
+    assert topk._grid(14_600_000, 146_000, 64, 1200) == (100, 2)
+    assert topk._grid(0, 0, 1, 24) == (24, 1) and topk._grid(1000, 1000, 1 << 20, 24)[1] == 125
+    rng = np.random.default_rng(3)
+    a = rng.integers(-2, 3, (700, 5))
+    a[::3] = [2, 2, 2, 2, 2]  # copies: ties go to the smaller id
+    df = spark.createDataFrame([(i, [float(x) / 1024 for x in v]) for i, v in enumerate(a)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "HELD_BYTES", 80 * 5)
+    monkeypatch.setattr(topk, "FEW_BYTES", 40 * 1000)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 7)
+    want = [(q, n, j, -s) for q in range(0, 700, 10) for n, (s, j) in enumerate(sorted((-int(a[q] @ a[j]), j) for j in range(700) if j != q)[:10], 1)]
+    for parts, many in ((8, 1 << 20), (30, 20)):
+        monkeypatch.setattr(topk, "MANY", many)
+        monkeypatch.setattr(topk, "partitions", lambda _, n=parts: 4 * n)  # seven stripes of queries
+        got = topk.top_k(df, F.col("vec_id") % 10 == 0).collect()
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == want
+
+
 def test_packing(spark, corpus):
     from tokenizers import Tokenizer
 
