@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Bits of a value that a level of the tree stands for, and of the span of all ranges.
 BITS, SPAN_BITS = 2, 30
+#: Nodes of all ranges, or asked for by all points, up to which that side is broadcast instead of dealing both out.
+FEW_NODES = 100_000
 
 
 def _number(df: DataFrame, column: str) -> Column:
@@ -41,9 +43,12 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     steps of what the ranges span, and a range is filed at the nodes of a tree over the
     steps that make it up, a few on each level and the logarithm of its width in all. A
     point asks at its own node of each level that ranges use, and meets a range at one
-    node at most; the limits are compared as they are. Both sides are dealt by node, and
-    a node with very many points is split by adaptive execution. Only the span and the
-    levels in use (SPAN_BITS / bits at most) reach the driver. Null limits and values, and
+    node at most; the limits are compared as they are. Ranges of up to FEW_NODES nodes, or
+    else points that ask at no more, are broadcast; beyond, both sides are dealt by node,
+    and a node with very many points is split by adaptive execution. Which it is follows
+    from counts: Spark takes points for as small as their table, but they stand there once
+    a level. Beside what is broadcast only the span and the number of nodes on each level
+    (SPAN_BITS / bits of them at most) reach the driver. Null limits and values, and
     limits in wrong order, meet nothing. The sides have no column name in common.
     """
     levels = SPAN_BITS // bits + 1
@@ -60,7 +65,15 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
         return F.when(F.isnan(c), top).otherwise(F.greatest(F.lit(0), F.least(at, F.lit(top)))).cast("long")
 
     filed = proper.withColumns({"_a": place(a), "_b": place(b)}).withColumn("_node", F.explode(_nodes("_a", "_b", bits, levels))).drop("_a", "_b")
-    used = sorted(r["level"] for r in filed.select("_node.level").distinct().collect())
+    nodes = {r["level"]: r["count"] for r in filed.groupBy("_node.level").count().collect()}
+    used = sorted(nodes)
     inside = points.where((x >= F.lit(span["low"])) & (x <= F.lit(span["high"]))) if used else points.limit(0)
     asks = F.explode(F.array(*(F.struct(F.lit(n).alias("level"), F.shiftright(place(x), bits * n).alias("place")) for n in used)).cast("array<struct<level:int,place:bigint>>"))
-    return inside.withColumn("_node", asks).join(filed, "_node").where(F.col(point).between(F.col(low), F.col(high))).drop("_node")
+    asking = inside.withColumn("_node", asks)
+    if sum(nodes.values()) <= FEW_NODES:
+        met = asking.join(F.broadcast(filed), "_node")
+    elif inside.count() * len(used) <= FEW_NODES:
+        met = F.broadcast(asking).join(filed, "_node")
+    else:
+        met = asking.join(filed.hint("merge"), "_node")
+    return met.where(F.col(point).between(F.col(low), F.col(high))).drop("_node")

@@ -146,6 +146,21 @@ def test_ranges_of_all_widths(spark):
         assert len(got) == len(expected) and {(r.i, r.k) for r in got} == expected
 
 
+def test_many_points_of_a_range_join_are_not_broadcast(spark, monkeypatch):
+    # the table is small, its rows times the levels are not
+    points = spark.range(3000).selectExpr("id AS i", "CAST(id % 100 AS double) AS x")
+    ranges = [("a", 0.0, 50.0), ("b", 20.0, 70.5), ("c", 70.5, 9999.0)]
+    expected = sorted((i, n) for i in range(3000) for n, a, b in ranges if a <= i % 100 <= b)
+    typed = spark.createDataFrame(ranges, "name string, a double, b double"), spark.sql("SELECT * FROM VALUES ('a', 0D, 50D), ('b', 20D, 70.5D), ('c', 70.5D, 9999D) AS r(name, a, b)")
+    for few, rows, kind in ((range_join.FEW_NODES, 3000, "BuildRight"), (1, 3000, "SortMergeJoin"), (50, 2, "BuildLeft")):
+        monkeypatch.setattr(range_join, "FEW_NODES", few)
+        for small in typed:
+            df = range_join.range_join(points.where(F.col("i") < rows), small, "x", "a", "b")
+            assert sorted((r.i, r.name) for r in df.collect()) == [x for x in expected if x[0] < rows]
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert [x for x in ("BuildLeft", "BuildRight", "SortMergeJoin") if x in plan] == [kind]
+
+
 def test_a_range_is_filed_at_few_nodes(spark):
     rng = random.Random(2)
     stretches = [(a := rng.randrange(1 << 30), min((1 << 30), a + rng.randrange(1 << rng.randrange(1, 30)))) for _ in range(50)] + [(0, 1 << 30), (5, 5), (0, 0), (1 << 30, 1 << 30)]
