@@ -1,7 +1,7 @@
 """Mixing sources to target weights by iterative proportional fitting, with DataFrame functions only.
 
-A token is a run of letters or digits. Topics come from the data: of a share of
-all words (by hash, and of ``TOPIC_LETTERS`` letters or more), the ``TOPICS`` that most documents
+A token is a run of letters or digits. Topics come from the data: of all words of
+``TOPIC_LETTERS`` letters or more, counted over all documents, the ``TOPICS`` that most documents
 hold, but not more than ``TOPIC_MOST`` of all documents do, name a topic each; a
 document's topic is the one it holds most often (ties to the more frequent word), or
 ``other``. Tokens are summed over all documents by (source, language, topic). The
@@ -39,7 +39,9 @@ TARGETS = {"source": 0.5, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1},
 #: Values without a target of their own: no step scales them.
 FREE = {"topic": ("other",)}
 KEEP = 0.6
-TOPICS, TOPIC_LETTERS, TOPIC_MOST, TOPIC_SHARE = 24, 4, 0.02, 16
+TOPICS, TOPIC_LETTERS, TOPIC_MOST = 24, 4, 0.02
+#: One in so many words may name a topic: each, whatever it is set to.
+TOPIC_SHARE = 1
 #: Up to this many, and this many times the values of all dimensions, the cells are raked in one task, and are broadcast to the documents; beyond, sums by value are joined to them.
 SMALL_CELLS, SMALL_WORK = 50_000, 10_000_000
 #: Sweeps between looks at how far weights move, in one task and in joins; rounds of those; the share of a cell's tokens by which the last sweep may move it.
@@ -54,7 +56,7 @@ def words_of(text: Column) -> Column:
 
 def named_words(words: Column) -> Column:
     """Those of the words that may name a topic."""
-    return F.filter(words, lambda w: (F.length(w) >= TOPIC_LETTERS) & (F.pmod(F.xxhash64(w), F.lit(TOPIC_SHARE)) == 0))
+    return F.filter(words, lambda w: F.length(w) >= TOPIC_LETTERS)
 
 
 def topic_words(documents: DataFrame, text: str = "text", topics: int = TOPICS) -> list[str]:
@@ -77,7 +79,7 @@ def described(documents: DataFrame, names: list[str], text: str, topic: str, tok
         return F.coalesce(top["t"], F.lit("other"))
 
     rows = documents.withColumn(words, words_of(F.col(text)))
-    found = F.filter(named_words(F.col(words)), lambda w: F.array_contains(known, w))
+    found = F.filter(F.col(words), lambda w: w.isin(names))
     topic_of = F.get(F.transform(F.array(found), best), F.lit(0)) if names else F.lit("other")
     return rows.withColumns({topic: topic_of, tokens: F.greatest(F.lit(1), F.size(F.filter(F.col(words), lambda w: w != ""))).cast("long")}).drop(words)
 

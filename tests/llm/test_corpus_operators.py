@@ -372,6 +372,15 @@ def test_mixing(spark):
     assert sample.columns == df.columns and sorted((r.doc_id is None, r.doc_id) for r in sample.collect()) == sorted((r.doc_id is None, r.doc_id) for r in got.collect() if r[kept])
 
 
+def test_all_words_may_name_topics(spark):
+    # 24 words, each in 2 % of the documents: one in sixteen words was looked at before
+    named = [f"topic{n:02}" for n in range(24)]
+    df = documents(spark, [(i, f"word{i} is here {named[i // 4] if i < 96 else 'once%d' % i}") for i in range(200)])
+    assert mixing.topic_words(df) == named
+    got = {r.doc_id: r[mixing.added(df)[0]] for r in mixing.mix(df).collect()}
+    assert got == {i: named[i // 4] if i < 96 else "other" for i in range(200)}
+
+
 def test_topics_come_from_the_words(spark, monkeypatch):
     monkeypatch.setattr(mixing, "TOPIC_SHARE", 1)
     monkeypatch.setattr(mixing, "TOPIC_MOST", 0.5)
