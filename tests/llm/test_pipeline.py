@@ -1,9 +1,12 @@
 """The corpus pipeline: each stage on its input, and all of them."""
 
+import collections
+import re
+
 import corpus_pipeline
 import pytest
 
-from sparkloom.llm import queries
+from sparkloom.llm import mixing, queries
 
 
 def test_stages(spark, folder):
@@ -33,3 +36,14 @@ def test_run_is_the_stages(spark, folder):
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_queries_give_rows(name, spark, folder):
     assert queries.queries()[name](spark, folder).count() > 0
+
+
+def test_mixing_counts_all_words(spark, folder, monkeypatch):
+    docs = queries.table(spark, folder, "documents")
+    seen, described = [], mixing.described
+    monkeypatch.setattr(mixing, "described", lambda df, names, *rest: seen.append(names) or described(df, names, *rest))
+    corpus_pipeline.mix_sources(spark, docs, folder)
+    texts = [r.text or "" for r in docs.select("text").collect()]
+    held = collections.Counter(w for t in texts for w in {w for w in re.split(r"[\W_]+", t.lower()) if len(w) >= mixing.TOPIC_LETTERS})
+    expected = sorted((-n, w) for w, n in held.items() if n <= mixing.TOPIC_MOST * len(texts))
+    assert seen == [[w for _, w in expected[: mixing.TOPICS]]]
